@@ -152,6 +152,7 @@ def _sessionize_bucketed(df, key, ts, order_cols, gap_minutes, carry, bucket):
     per_session = Window.partitionBy("_k", "_kn", "_sess")
     summ = summ.select(
         *part,
+        "_bn",
         "_prev_max",
         "_starts",
         "_sess",
