@@ -1,0 +1,254 @@
+"""Datasets behind the growth dashboard.
+
+The reference page holds hand-typed numbers; these are the tables that feed
+it, computed from the models.  Every function takes the model graph ``m``;
+to filter the page by channel or industry, pass ``m.scoped(channel=...,
+industry=...)`` -- the expert set is narrowed at the sources, so every
+number on the page follows.  All combining happens on one-row or per-stage
+aggregates (a handful of rows), never on experts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.quantiles import group_quantiles
+from ..functions.scalar import month_start, pct
+from ..functions.vocab import SIGNUP_SOURCES
+from . import funnel, reports, steps
+
+# --- fixed values: bands shown on the page ---------------------------------
+DROP_BANDS = [(35.0, "high"), (25.0, "medium")]  # >= threshold, else "low"
+NEVER_SUBMITTED_BANDS = [(50.0, "high"), (35.0, "medium")]  # > threshold, else "low"
+STALE_AFTER_DAYS = 30
+DEFAULT_AS_OF = "2024-12-31"
+DEFAULT_RECOVERY_RATE = 0.25
+
+
+def _band(c, bands, strict: bool):
+    expr = None
+    for t, name in bands:
+        cond = (c > F.lit(t)) if strict else (c >= F.lit(t))
+        expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
+    return F.when(c.isNotNull(), expr.otherwise(F.lit("low")))
+
+
+def _never_submitted_flag():
+    return F.col("reached_profile_completed") & ~F.col("reached_verification_submitted")
+
+
+def never_submitted(m) -> DataFrame:
+    """Experts who completed a profile but never submitted for verification."""
+    s = m.expert_funnel_summary
+    g = s.agg(
+        F.count_if("reached_profile_completed").alias("completed_profiles"),
+        F.count_if(_never_submitted_flag()).alias("never_submitted"),
+        F.count_if("reached_verification_submitted").alias("submitted"),
+    )
+    return g.select(
+        "completed_profiles",
+        "submitted",
+        "never_submitted",
+        pct("never_submitted", "completed_profiles", 1).alias("never_submitted_pct"),
+    )
+
+
+def never_submitted_by_channel(m) -> DataFrame:
+    g = m.expert_with_engagement.groupBy("signup_source").agg(
+        F.count_if("reached_profile_completed").alias("completed_profiles"),
+        F.count_if(_never_submitted_flag()).alias("never_submitted"),
+    )
+    rate = pct("never_submitted", "completed_profiles", 1)
+    return g.select(
+        "signup_source",
+        "completed_profiles",
+        "never_submitted",
+        rate.alias("never_submitted_pct"),
+        _band(rate, NEVER_SUBMITTED_BANDS, strict=True).alias("band"),
+    ).orderBy(F.col("never_submitted_pct").desc_nulls_last(), "signup_source")
+
+
+def never_submitted_stale(m, as_of: str = DEFAULT_AS_OF, stale_after_days: int = STALE_AFTER_DAYS) -> DataFrame:
+    """Share of never-submitted experts whose profile was completed more than
+    ``stale_after_days`` days before ``as_of``."""
+    s = m.expert_funnel_summary.where(_never_submitted_flag())
+    stale = F.datediff(F.lit(as_of).cast("date"), F.to_date("profile_completed_at")) > F.lit(stale_after_days)
+    g = s.agg(F.count(F.lit(1)).alias("never_submitted"), F.count_if(stale).alias("stale_count"))
+    return g.select(
+        F.lit(as_of).cast("date").alias("as_of_date"),
+        "never_submitted",
+        "stale_count",
+        pct("stale_count", "never_submitted", 1).alias("stale_pct"),
+    )
+
+
+def recovery_whatif(m, recovery_rate: float = DEFAULT_RECOVERY_RATE) -> DataFrame:
+    """Recover a share of the never-submitted: experts added and the lift on
+    verification submissions."""
+    ns = never_submitted(m)
+    added = F.col("never_submitted") * F.lit(float(recovery_rate))
+    return ns.select(
+        F.lit(float(recovery_rate)).alias("recovery_rate"),
+        "never_submitted",
+        "submitted",
+        F.floor(added).cast("bigint").alias("recovered_experts"),
+        F.round(F.try_divide(added * F.lit(100.0), F.col("submitted").cast("double")), 1).alias("submission_lift_pct"),
+    )
+
+
+def kpis(m) -> DataFrame:
+    """The four headline cards: signup-to-activated %, its change between the
+    two periods, never-submitted count and share, sessions to activate, and
+    the stage with the largest drop-off."""
+    counts = funnel.stage_counts(m.expert_funnel_summary)
+    by_stage = Window.orderBy("stage_order")
+    drops = counts.select(
+        "stage",
+        "experts_reached",
+        F.first("experts_reached").over(by_stage).alias("signups"),
+        F.round(
+            F.lit(100.0)
+            - F.try_divide(F.col("experts_reached").cast("double"), F.lag("experts_reached").over(by_stage).cast("double"))
+            * F.lit(100.0),
+            1,
+        ).alias("dropoff"),
+    )
+    head = drops.agg(
+        F.max(F.when(F.col("stage") == "activated", F.col("experts_reached"))).alias("_act"),
+        F.max("signups").alias("_signups"),
+        F.max(F.struct(F.col("dropoff"), F.col("stage"))).alias("_worst"),
+    ).select(
+        pct("_act", "_signups", 1).alias("signup_to_activated_pct"),
+        F.col("_worst.stage").alias("biggest_dropoff_stage"),
+        F.col("_worst.dropoff").alias("biggest_dropoff_pct"),
+    )
+    period = reports.period_comparison(m.expert_with_engagement).select(
+        F.col("activation_rate_pp_change").alias("period_activation_pp_change")
+    )
+    ns = never_submitted(m).select("never_submitted", "never_submitted_pct")
+    sta = steps.sessions_to_activate(m.expert_sessions, m.expert_funnel_summary)
+    # one-row frames: a cross join of single rows is a single row
+    return (
+        head.crossJoin(F.broadcast(ns))
+        .crossJoin(F.broadcast(sta))
+        .join(F.broadcast(period), F.lit(True), "left")
+        .select(
+            "signup_to_activated_pct",
+            "period_activation_pp_change",
+            "never_submitted",
+            "never_submitted_pct",
+            "avg_sessions_to_activate",
+            "median_sessions_to_activate",
+            "biggest_dropoff_stage",
+            "biggest_dropoff_pct",
+        )
+    )
+
+
+def funnel_bars(m) -> DataFrame:
+    """Stage bars: count, conversion, drop, session break, avg hours, drop
+    band and bar width (% of signup)."""
+    fsa = steps.funnel_step_analysis(m.expert_funnel_summary, m.funnel_step_sessions, m.expert_sessions)
+    return fsa.select(
+        "stage",
+        "stage_order",
+        "experts_reached",
+        "conversion_from_previous_pct",
+        "dropoff_rate_pct",
+        "session_break_rate_pct",
+        "avg_hours_to_reach",
+        _band(F.col("dropoff_rate_pct"), DROP_BANDS, strict=False).alias("drop_band"),
+        F.col("conversion_from_signup_pct").alias("bar_width_pct"),
+    ).orderBy("stage_order")
+
+
+def step_detail(m) -> DataFrame:
+    """One row per transition into a report stage: experts reaching it,
+    hours avg/median/p90, session break rate, drop-off."""
+    fsa = steps.funnel_step_analysis(m.expert_funnel_summary, m.funnel_step_sessions, m.expert_sessions)
+    return (
+        fsa.where(F.col("from_step").isNotNull())
+        .select(
+            F.concat(F.col("from_step"), F.lit(" -> "), F.col("stage")).alias("transition"),
+            "stage_order",
+            F.col("experts_reached").alias("experts"),
+            F.col("avg_hours_to_reach").alias("avg_hours"),
+            F.col("median_hours_to_reach").alias("median_hours"),
+            F.col("p90_hours_to_reach").alias("p90_hours"),
+            "session_break_rate_pct",
+            "dropoff_rate_pct",
+        )
+        .orderBy("stage_order")
+    )
+
+
+def weekly_activation(m) -> DataFrame:
+    """Activation rate per signup week, with the week's running number."""
+    cc = reports.cohort_conversion(m.expert_with_engagement)
+    return cc.select(
+        "signup_week",
+        F.row_number().over(Window.orderBy("signup_week")).alias("week_number"),
+        "total_signups",
+        "activation_rate_pct",
+    ).orderBy("signup_week")
+
+
+def monthly_days_to_activate(m, window_days: int = 60, quantile_method: str = "exact") -> DataFrame:
+    """Days to activate by signup month (activations inside the window):
+    count, average, median, p90."""
+    act = reports.activated_within(window_days)
+    base = m.expert_with_engagement.select(
+        month_start("signup_date").alias("signup_month"), F.when(act, F.col("days_to_activate")).alias("d")
+    )
+    g = base.groupBy("signup_month").agg(
+        F.count("d").alias("activated_count"), F.round(F.avg("d"), 1).alias("avg_days_to_activate")
+    )
+    q = group_quantiles(base, ["signup_month"], "d", [0.5, 0.9], ["median_days_to_activate", "p90_days_to_activate"], quantile_method)
+    return g.join(q, "signup_month", "left").orderBy("signup_month")
+
+
+def channel_bubble(m) -> DataFrame:
+    cp = reports.channel_performance(m.expert_with_engagement, m.channel_spend_summary)
+    return cp.select("signup_source", "total_signups", "activation_rate_pct", "total_payouts")
+
+
+def monthly_signups(m) -> DataFrame:
+    """Signups per month, one column per channel (fixed list: no extra job to
+    discover the pivot values)."""
+    e = m.stg_experts.select(month_start("signup_date").alias("signup_month"), "signup_source")
+    wide = e.groupBy("signup_month").pivot("signup_source", SIGNUP_SOURCES).agg(F.count(F.lit(1)))
+    return wide.select(
+        "signup_month", *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in SIGNUP_SOURCES]
+    ).orderBy("signup_month")
+
+
+def channel_costs(m) -> DataFrame:
+    """Cost table per channel; unpaid channels keep NULL costs (the page's $0
+    and infinity are display choices)."""
+    cp = reports.channel_performance(m.expert_with_engagement, m.channel_spend_summary)
+    return cp.select(
+        "signup_source",
+        "total_signups",
+        "activation_rate_pct",
+        "total_spend",
+        "cost_per_signup",
+        "cost_per_activated",
+        "ltv_to_cac_ratio",
+    )
+
+
+__all__ = [
+    "channel_bubble",
+    "channel_costs",
+    "funnel_bars",
+    "kpis",
+    "monthly_days_to_activate",
+    "monthly_signups",
+    "never_submitted",
+    "never_submitted_by_channel",
+    "never_submitted_stale",
+    "recovery_whatif",
+    "step_detail",
+    "weekly_activation",
+]

@@ -1,0 +1,221 @@
+"""Data-quality checks: the generic column tests and the four business tests.
+
+Every check returns a report -- one row per (table, column) for the generic
+tests, one row for each business test -- with the failing and total row
+counts and a ``failed`` flag, so a passing check is a row too.  Checks on
+the same table share one scan where they can (all not-null columns of a
+table are one aggregate); a uniqueness test is one aggregate keyed by the
+column (map-side combined).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scalar import safe_div
+from ..functions.vocab import (
+    ENGAGEMENT_TYPES,
+    EVENT_NAMES,
+    NULL_PAYOUT_THRESHOLD,
+    NULL_UTM_THRESHOLD,
+    PAID_CHANNELS,
+    SIGNUP_SOURCES,
+    TIMESTAMP_ORDER_THRESHOLD,
+    UNPAID_CHANNELS,
+)
+from .sequence import lag_within_key
+
+REPORT_COLUMNS = ["check_name", "table_name", "column_name", "failing_rows", "total_rows", "failed"]
+
+
+def _report(df: DataFrame, check: str, table: str, column: str, failing, total) -> DataFrame:
+    return df.agg(failing.cast("bigint").alias("failing_rows"), total.cast("bigint").alias("total_rows")).select(
+        F.lit(check).alias("check_name"),
+        F.lit(table).alias("table_name"),
+        F.lit(column).alias("column_name"),
+        "failing_rows",
+        "total_rows",
+        (F.col("failing_rows") > 0).alias("failed"),
+    )
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def not_null(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
+    """Rows with NULL, per column; one scan for all columns of the table."""
+    counts = df.agg(F.count(F.lit(1)).alias("_total"), *[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+    rows = ", ".join(f"'{c}', `{c}`" for c in columns)
+    return counts.select(
+        F.lit("not_null").alias("check_name"),
+        F.lit(table).alias("table_name"),
+        F.expr(f"stack({len(columns)}, {rows}) AS (column_name, failing_rows)"),
+        F.col("_total").alias("total_rows"),
+    ).select(*REPORT_COLUMNS[:-1], (F.col("failing_rows") > 0).alias("failed"))
+
+
+def unique(df: DataFrame, table: str, column: str) -> DataFrame:
+    """Number of non-NULL values that occur more than once."""
+    per_value = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    return _report(
+        per_value, "unique", table, column, F.count_if(F.col(column).isNotNull() & (F.col("_n") > 1)), F.sum("_n")
+    )
+
+
+def accepted_values(df: DataFrame, table: str, column: str, values: Sequence[str]) -> DataFrame:
+    """Rows whose value is outside the list (NULL passes)."""
+    return _report(df, "accepted_values", table, column, F.count_if(~F.col(column).isin(list(values))), F.count(F.lit(1)))
+
+
+def relationships(child: DataFrame, table: str, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
+    """Child rows whose non-NULL key has no parent row.
+
+    The parent keys are reduced to distinct values first, so the left join
+    cannot fan out; a hot child key is split by AQE's skew-join handling.
+    """
+    keys = parent.select(F.col(parent_column).alias("_pk")).where(F.col("_pk").isNotNull()).distinct()
+    keys = keys.withColumn("_hit", F.lit(True))
+    j = child.select(F.col(column).alias("_ck")).join(keys, F.col("_ck") == F.col("_pk"), "left")
+    return _report(
+        j, "relationships", table, column, F.count_if(F.col("_ck").isNotNull() & F.col("_hit").isNull()), F.count(F.lit(1))
+    )
+
+
+def source_and_model_tests(m) -> dict[str, DataFrame]:
+    """The declared column tests of sources, staging, intermediate and marts."""
+    from . import funnel, reports
+
+    raw = m.raw
+    fc = funnel.funnel_conversion(m.expert_funnel_summary)
+    cc = reports.cohort_conversion(m.expert_with_engagement)
+    cp = reports.channel_performance(m.expert_with_engagement, m.channel_spend_summary)
+    nn = [
+        not_null(raw.experts, "experts", ["expert_id", "signup_date", "signup_source", "country", "industry"]),
+        not_null(raw.funnel_events, "funnel_events", ["event_id", "expert_id", "event_name", "event_timestamp"]),
+        not_null(
+            raw.engagements,
+            "engagements",
+            ["engagement_id", "expert_id", "engagement_type", "engagement_date", "payout_amount", "client_industry"],
+        ),
+        not_null(
+            raw.daily_channel_spend,
+            "daily_channel_spend",
+            ["date", "channel", "campaign_name", "spend_usd", "impressions", "clicks"],
+        ),
+        not_null(m.stg_experts, "stg_experts", ["expert_id", "signup_source"]),
+        not_null(m.stg_funnel_events, "stg_funnel_events", ["event_id", "expert_id", "stage_order"]),
+        not_null(m.stg_engagements, "stg_engagements", ["engagement_id", "payout_amount"]),
+        not_null(m.stg_daily_channel_spend, "stg_daily_channel_spend", ["spend_usd"]),
+        not_null(m.expert_funnel_summary, "expert_funnel_summary", ["expert_id"]),
+        not_null(m.expert_with_engagement, "expert_with_engagement", ["expert_id"]),
+        not_null(m.expert_sessions, "expert_sessions", ["event_id"]),
+        not_null(fc, "funnel_conversion", ["stage", "experts_reached"]),
+        not_null(cc, "cohort_conversion", ["signup_week"]),
+        not_null(cp, "channel_performance", ["signup_source"]),
+    ]
+    uq = [
+        unique(raw.experts, "experts", "expert_id"),
+        unique(raw.funnel_events, "funnel_events", "event_id"),
+        unique(raw.engagements, "engagements", "engagement_id"),
+        unique(m.stg_experts, "stg_experts", "expert_id"),
+        unique(m.stg_funnel_events, "stg_funnel_events", "event_id"),
+        unique(m.stg_engagements, "stg_engagements", "engagement_id"),
+        unique(m.expert_funnel_summary, "expert_funnel_summary", "expert_id"),
+        unique(m.expert_with_engagement, "expert_with_engagement", "expert_id"),
+        unique(m.expert_sessions, "expert_sessions", "event_id"),
+        unique(cc, "cohort_conversion", "signup_week"),
+        unique(cp, "channel_performance", "signup_source"),
+    ]
+    av = [
+        accepted_values(raw.experts, "experts", "signup_source", SIGNUP_SOURCES),
+        accepted_values(raw.funnel_events, "funnel_events", "event_name", EVENT_NAMES),
+        accepted_values(raw.engagements, "engagements", "engagement_type", ENGAGEMENT_TYPES),
+        accepted_values(raw.daily_channel_spend, "daily_channel_spend", "channel", PAID_CHANNELS),
+        # the raw text is unclean by design: the same lists after staging
+        accepted_values(m.stg_experts, "stg_experts", "signup_source", SIGNUP_SOURCES),
+        accepted_values(m.stg_funnel_events, "stg_funnel_events", "event_name", EVENT_NAMES),
+        accepted_values(m.stg_engagements, "stg_engagements", "engagement_type", ENGAGEMENT_TYPES),
+        accepted_values(m.stg_daily_channel_spend, "stg_daily_channel_spend", "channel", PAID_CHANNELS),
+    ]
+    rel = [
+        relationships(raw.funnel_events, "funnel_events", "expert_id", raw.experts, "expert_id"),
+        relationships(raw.engagements, "engagements", "expert_id", raw.experts, "expert_id"),
+    ]
+    return {
+        "dq_not_null": _union(nn),
+        "dq_unique": _union(uq),
+        "dq_accepted_values": _union(av),
+        "dq_relationships": _union(rel),
+    }
+
+
+def null_utm(stg_experts: DataFrame, threshold: float = NULL_UTM_THRESHOLD) -> DataFrame:
+    """Paid experts with all three UTMs NULL, over all experts (> threshold
+    fails); the share over paid experts alone is reported alongside."""
+    all_null = F.col("utm_campaign").isNull() & F.col("utm_medium").isNull() & F.col("utm_source").isNull()
+    paid = ~F.col("signup_source").isin(UNPAID_CHANNELS)
+    g = stg_experts.agg(
+        F.count(F.lit(1)).alias("total_experts"),
+        F.count_if(all_null & paid).alias("paid_with_all_nulls"),
+        F.count_if(paid).alias("paid_experts"),
+    )
+    ratio = safe_div("paid_with_all_nulls", "total_experts")
+    return g.select(
+        "total_experts",
+        "paid_with_all_nulls",
+        "paid_experts",
+        F.round(ratio, 6).alias("failure_ratio"),
+        F.round(safe_div("paid_with_all_nulls", "paid_experts"), 6).alias("paid_only_ratio"),
+        F.coalesce(ratio > F.lit(threshold), F.lit(False)).alias("failed"),
+    )
+
+
+def timestamp_ordering(stg_events: DataFrame, threshold: float = TIMESTAMP_ORDER_THRESHOLD) -> DataFrame:
+    """Experts with an event whose stage is lower than the previous event's
+    (time order, ties by stage then event_id), over all experts."""
+    lagged = lag_within_key(
+        stg_events.select("expert_id", "event_at", "stage_order", "event_id"),
+        "expert_id",
+        "event_at",
+        ["stage_order", "event_id"],
+        ["stage_order"],
+    )
+    viol = F.col("prev_stage_order").isNotNull() & (F.col("stage_order") < F.col("prev_stage_order"))
+    per_expert = lagged.groupBy("expert_id").agg(F.count_if(viol).alias("_v"))
+    g = per_expert.agg(
+        F.count("expert_id").alias("total_experts"), F.count_if(F.col("_v") > 0).alias("experts_with_violations")
+    )
+    ratio = safe_div("experts_with_violations", "total_experts")
+    return g.select(
+        "total_experts",
+        "experts_with_violations",
+        F.round(ratio, 6).alias("failure_ratio"),
+        F.coalesce(ratio > F.lit(threshold), F.lit(False)).alias("failed"),
+    )
+
+
+def activated_rejected(summary: DataFrame) -> DataFrame:
+    """Rejected experts that nevertheless have a first engagement (any row fails)."""
+    return summary.where(F.col("is_rejected") & F.col("first_engagement_at").isNotNull()).select(
+        "expert_id", "is_rejected", "reached_activated"
+    )
+
+
+def null_payout(stg_engagements: DataFrame, threshold: float = NULL_PAYOUT_THRESHOLD) -> DataFrame:
+    """NULL or zero payouts over all engagements (> threshold fails)."""
+    g = stg_engagements.agg(
+        F.count(F.lit(1)).alias("total_engagements"),
+        F.count_if(F.col("payout_amount").isNull() | (F.col("payout_amount") == 0)).alias("null_or_zero_payouts"),
+    )
+    ratio = safe_div("null_or_zero_payouts", "total_engagements")
+    return g.select(
+        "total_engagements",
+        "null_or_zero_payouts",
+        F.round(ratio, 6).alias("failure_ratio"),
+        F.coalesce(ratio > F.lit(threshold), F.lit(False)).alias("failed"),
+    )

@@ -32,9 +32,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.scalar import minutes_between
+from .sequence import BUCKET_MINUTES, NO_BUCKET, with_bucket_keys
 
 SESSION_COLUMNS = [
     "prev_event_at",
@@ -46,9 +46,6 @@ SESSION_COLUMNS = [
     "events_in_session",
 ]
 
-_BUCKET_MINUTES = {"minute": 1, "hour": 60, "day": 1440}
-
-
 def sessionize(
     df: DataFrame,
     key: str,
@@ -73,7 +70,7 @@ def sessionize(
         raise ValueError(f"unknown strategy {strategy!r}")
     if bucket is None:
         bucket = "hour" if gap_minutes >= 59 else "minute"
-    if _BUCKET_MINUTES[bucket] > gap_minutes + 1:
+    if BUCKET_MINUTES[bucket] > gap_minutes + 1:
         raise ValueError(f"bucket {bucket!r} is wider than gap_minutes + 1 minutes")
     return _sessionize_bucketed(df, key, ts, order_cols, gap_minutes, carry, bucket)
 
@@ -104,33 +101,9 @@ def _sessionize_window(df, key, ts, order_cols, gap_minutes, carry):
     return ev
 
 
-_NO_BUCKET = -(2**63)  # bucket of NULL times; sorts first, as NULL times do
-
-
-def _zero_of(dtype):
-    if isinstance(dtype, T.StringType):
-        return F.lit("")
-    if isinstance(dtype, T.NumericType):
-        return F.lit(0).cast(dtype)
-    return F.lit(None).cast(dtype)
-
-
 def _sessionize_bucketed(df, key, ts, order_cols, gap_minutes, carry, bucket):
     extra = [c for c in (key, ts) if c not in carry]
-    ts_type = df.schema[ts].dataType
-    width_us = _BUCKET_MINUTES[bucket] * 60_000_000
-    epoch = F.lit("1970-01-01 00:00:00").cast(ts_type)
-    # (key, key-is-null, bucket index) partitions everything below; NULL
-    # keys and NULL times get non-null stand-ins so the equi-join keeps them
-    ev = df.select(*carry, *extra).select(
-        "*",
-        F.coalesce(F.col(key), _zero_of(df.schema[key].dataType)).alias("_k"),
-        F.col(key).isNull().alias("_kn"),
-        F.coalesce(
-            F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)) / F.lit(float(width_us))).cast("bigint"),
-            F.lit(_NO_BUCKET).cast("bigint"),
-        ).alias("_b"),
-    )
+    ev = with_bucket_keys(df.select(*carry, *extra), key, ts, bucket)
     part = ["_k", "_kn", "_b"]
 
     # 1. inside each (key, bucket): previous event and position
@@ -141,7 +114,7 @@ def _sessionize_bucketed(df, key, ts, order_cols, gap_minutes, carry, bucket):
     summ = ev.groupBy(*part).agg(F.min(ts).alias("_bmin"), F.max(ts).alias("_bmax"), F.count(F.lit(1)).alias("_bn"))
     by_key = Window.partitionBy("_k", "_kn").orderBy("_b")
     upto = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    null_bucket = F.col("_b") == F.lit(_NO_BUCKET)
+    null_bucket = F.col("_b") == F.lit(NO_BUCKET)
     summ = summ.withColumn("_prev_max", F.lag("_bmax").over(by_key))
     # rows of the NULL-time bucket each start a session (their previous time
     # is NULL); any other bucket starts at most one, at its first event

@@ -14,6 +14,9 @@ from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalar import clean
 
 from ..operators import enrich, funnel, sessions, staging, steps
 from ..sources.fixtures import fixture_tables
@@ -67,6 +70,31 @@ class Models:
     def funnel_step_sessions(self) -> DataFrame:
         return steps.funnel_step_sessions(self.expert_sessions)
 
+    def scoped(self, channel: str | None = None, industry: str | None = None) -> "Models":
+        """The same graph over a subset of experts (a dashboard filter).
+
+        Experts are filtered on their cleaned channel / industry; events and
+        engagements keep only those experts (a left-semi join on expert_id).
+        Spend is not per expert and stays whole.
+        """
+        if channel is None and industry is None:
+            return self
+        e = self.raw.experts
+        cond = F.lit(True)
+        if channel is not None:
+            cond = cond & (clean("signup_source") == F.lit(channel))
+        if industry is not None:
+            cond = cond & (F.trim("industry") == F.lit(industry))
+        e = e.where(cond)
+        ids = e.select("expert_id")
+        raw = RawTables(
+            experts=e,
+            funnel_events=self.raw.funnel_events.join(ids, "expert_id", "left_semi"),
+            engagements=self.raw.engagements.join(ids, "expert_id", "left_semi"),
+            daily_channel_spend=self.raw.daily_channel_spend,
+        )
+        return Models(raw, session_gap_minutes=self.session_gap_minutes)
+
     def persist_shared(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "Models":
         """Cache the multi-consumer nodes (recomputed from lineage if lost)."""
         for name in ("expert_with_engagement", "expert_sessions", "expert_funnel_summary"):

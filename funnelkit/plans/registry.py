@@ -53,6 +53,35 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
         m.expert_with_engagement, m.channel_spend_summary, spend_mode="summed"
     ),
     "campaign_deep_dive": lambda m: reports.campaign_deep_dive(m.expert_with_engagement, m.channel_spend_summary),
+    # diagnostics
+    "edge_signup_only": lambda m: edge_cases.signup_only(m.stg_experts, m.expert_funnel_summary),
+    "edge_stage_skips": lambda m: edge_cases.stage_skips(m.expert_funnel_summary),
+    "edge_before_signup": lambda m: edge_cases.before_signup(m.stg_funnel_events, m.stg_experts),
+    "edge_duplicates": lambda m: edge_cases.duplicates(m.stg_funnel_events),
+    "edge_spend_gaps": lambda m: edge_cases.spend_gaps(m.stg_daily_channel_spend),
+    "edge_unknown_profile": lambda m: edge_cases.unknown_profile(m.expert_with_engagement),
+    # data quality
+    "dq_not_null": lambda m: quality.source_and_model_tests(m)["dq_not_null"],
+    "dq_unique": lambda m: quality.source_and_model_tests(m)["dq_unique"],
+    "dq_accepted_values": lambda m: quality.source_and_model_tests(m)["dq_accepted_values"],
+    "dq_relationships": lambda m: quality.source_and_model_tests(m)["dq_relationships"],
+    "dq_null_utm": lambda m: quality.null_utm(m.stg_experts),
+    "dq_timestamp_ordering": lambda m: quality.timestamp_ordering(m.stg_funnel_events),
+    "dq_no_activated_rejected": lambda m: quality.activated_rejected(m.expert_funnel_summary),
+    "dq_null_payout": lambda m: quality.null_payout(m.stg_engagements),
+    # dashboard datasets
+    "dash_kpis": dashboard.kpis,
+    "dash_funnel": dashboard.funnel_bars,
+    "dash_step_detail": dashboard.step_detail,
+    "dash_never_submitted": dashboard.never_submitted,
+    "dash_never_submitted_by_channel": dashboard.never_submitted_by_channel,
+    "dash_never_submitted_stale": dashboard.never_submitted_stale,
+    "dash_recovery_whatif": dashboard.recovery_whatif,
+    "dash_weekly_activation": dashboard.weekly_activation,
+    "dash_monthly_days_to_activate": dashboard.monthly_days_to_activate,
+    "dash_channel_bubble": dashboard.channel_bubble,
+    "dash_monthly_signups": dashboard.monthly_signups,
+    "dash_channel_costs": dashboard.channel_costs,
 }
 
 
