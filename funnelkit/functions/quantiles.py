@@ -56,3 +56,45 @@ def group_quantiles(
         rank = F.greatest(F.ceil(F.lit(float(p)) * F.col("_tot")), F.lit(1))
         picks.append(F.min(F.when(F.col("_cum") >= rank, F.col("_qv"))).alias(name))
     return hist.groupBy(*group_cols).agg(*picks)
+
+
+def histogram_stats(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    value: str | Column,
+    probs: Sequence[float] = (),
+    names: Sequence[str] = (),
+    sums: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Counts, sums and exact discrete quantiles of ``value`` per group, in one pass.
+
+    Rows are reduced once to ``(group, value)`` buckets -- map-side combined,
+    so a hot group costs its number of distinct values -- carrying the row
+    count and any extra per-row sums; everything else is computed from those
+    buckets.  Output per group: ``_rows`` (all rows), ``_n`` (rows with a
+    non-NULL value), ``_sum`` (sum of the value, exact for integers), each
+    extra sum under its name, and one column per quantile.  Callers derive
+    averages as ``_sum / _n``: the exact sum divided once, as SQL's AVG of
+    an integer column gives.
+    """
+    group_cols = list(group_cols)
+    sums = dict(sums or {})
+    base = df.select(*group_cols, col_(value).alias("_qv"), *[c.alias(f"_s_{k}") for k, c in sums.items()])
+    hist = base.groupBy(*group_cols, "_qv").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.sum(f"_s_{k}").alias(f"_s_{k}") for k in sums]
+    )
+    nn = F.when(F.col("_qv").isNotNull(), F.col("_c")).otherwise(F.lit(0))
+    part = Window.partitionBy(*group_cols)
+    running = part.orderBy("_qv").rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.withColumn("_cum", F.sum(nn).over(running)).withColumn("_tot", F.sum(nn).over(part))
+    picks = []
+    for p, name in zip(probs, names):
+        rank = F.greatest(F.ceil(F.lit(float(p)) * F.col("_tot")), F.lit(1))
+        picks.append(F.min(F.when(F.col("_qv").isNotNull() & (F.col("_cum") >= rank), F.col("_qv"))).alias(name))
+    return hist.groupBy(*group_cols).agg(
+        F.sum("_c").alias("_rows"),
+        F.sum(nn).alias("_n"),
+        F.sum(F.col("_qv") * F.col("_c")).alias("_sum"),
+        *[F.sum(f"_s_{k}").alias(k) for k in sums],
+        *picks,
+    )

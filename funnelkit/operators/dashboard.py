@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import group_quantiles
+from ..functions.quantiles import histogram_stats
 from ..functions.scalar import month_start, pct
-from ..functions.vocab import SIGNUP_SOURCES
-from . import funnel, reports, steps
+from ..functions.vocab import REPORT_STAGES, SIGNUP_SOURCES
+from . import reports, steps
 
 # --- fixed values: bands shown on the page ---------------------------------
 DROP_BANDS = [(35.0, "high"), (25.0, "medium")]  # >= threshold, else "low"
@@ -100,56 +100,58 @@ def recovery_whatif(m, recovery_rate: float = DEFAULT_RECOVERY_RATE) -> DataFram
 def kpis(m) -> DataFrame:
     """The four headline cards: signup-to-activated %, its change between the
     two periods, never-submitted count and share, sessions to activate, and
-    the stage with the largest drop-off."""
-    counts = funnel.stage_counts(m.expert_funnel_summary)
-    by_stage = Window.orderBy("stage_order")
-    drops = counts.select(
-        "stage",
-        "experts_reached",
-        F.first("experts_reached").over(by_stage).alias("signups"),
-        F.round(
-            F.lit(100.0)
-            - F.try_divide(F.col("experts_reached").cast("double"), F.lag("experts_reached").over(by_stage).cast("double"))
-            * F.lit(100.0),
-            1,
-        ).alias("dropoff"),
+    the stage with the largest drop-off.
+
+    One pass over the sessions (the per-expert rollup feeds a single global
+    histogram aggregate) and one over the enriched experts (period change).
+    """
+    r = steps.expert_rollup(m.expert_sessions)
+    flags = {stage: F.col(flag).cast("bigint") for stage, _, flag in REPORT_STAGES}
+    flags["_completed"] = F.col("reached_profile_completed").cast("bigint")
+    flags["_never"] = _never_submitted_flag().cast("bigint")
+    st = histogram_stats(
+        r, [], F.when(F.col("reached_activated"), F.col("max_session")), [0.5], ["_q50"], sums=flags
     )
-    head = drops.agg(
-        F.max(F.when(F.col("stage") == "activated", F.col("experts_reached"))).alias("_act"),
-        F.max("signups").alias("_signups"),
-        F.max(F.struct(F.col("dropoff"), F.col("stage"))).alias("_worst"),
-    ).select(
-        pct("_act", "_signups", 1).alias("signup_to_activated_pct"),
-        F.col("_worst.stage").alias("biggest_dropoff_stage"),
-        F.col("_worst.dropoff").alias("biggest_dropoff_pct"),
+    stages = [stage for stage, _, _ in REPORT_STAGES]
+    drops = [
+        F.struct(
+            F.round(
+                F.lit(100.0) - F.try_divide(F.col(cur).cast("double"), F.col(prev).cast("double")) * F.lit(100.0), 1
+            ).alias("dropoff"),
+            F.lit(cur).alias("stage"),
+        )
+        for prev, cur in zip(stages, stages[1:])
+    ]
+    head = st.select(
+        pct("activated", "signup", 1).alias("signup_to_activated_pct"),
+        F.col("_never").alias("never_submitted"),
+        pct("_never", "_completed", 1).alias("never_submitted_pct"),
+        F.round(F.try_divide(F.col("_sum").cast("double"), F.col("_n").cast("double")), 2).alias(
+            "avg_sessions_to_activate"
+        ),
+        F.col("_q50").alias("median_sessions_to_activate"),
+        F.array_max(F.array(*drops)).alias("_worst"),
     )
     period = reports.period_comparison(m.expert_with_engagement).select(
         F.col("activation_rate_pp_change").alias("period_activation_pp_change")
     )
-    ns = never_submitted(m).select("never_submitted", "never_submitted_pct")
-    sta = steps.sessions_to_activate(m.expert_sessions, m.expert_funnel_summary)
-    # one-row frames: a cross join of single rows is a single row
-    return (
-        head.crossJoin(F.broadcast(ns))
-        .crossJoin(F.broadcast(sta))
-        .join(F.broadcast(period), F.lit(True), "left")
-        .select(
-            "signup_to_activated_pct",
-            "period_activation_pp_change",
-            "never_submitted",
-            "never_submitted_pct",
-            "avg_sessions_to_activate",
-            "median_sessions_to_activate",
-            "biggest_dropoff_stage",
-            "biggest_dropoff_pct",
-        )
+    # one-row frames: a left join on TRUE keeps the row when a period is empty
+    return head.join(F.broadcast(period), F.lit(True), "left").select(
+        "signup_to_activated_pct",
+        "period_activation_pp_change",
+        "never_submitted",
+        "never_submitted_pct",
+        "avg_sessions_to_activate",
+        "median_sessions_to_activate",
+        F.col("_worst.stage").alias("biggest_dropoff_stage"),
+        F.col("_worst.dropoff").alias("biggest_dropoff_pct"),
     )
 
 
 def funnel_bars(m) -> DataFrame:
     """Stage bars: count, conversion, drop, session break, avg hours, drop
     band and bar width (% of signup)."""
-    fsa = steps.funnel_step_analysis(m.expert_funnel_summary, m.funnel_step_sessions, m.expert_sessions)
+    fsa = steps.funnel_step_analysis(m.expert_sessions)
     return fsa.select(
         "stage",
         "stage_order",
@@ -166,7 +168,7 @@ def funnel_bars(m) -> DataFrame:
 def step_detail(m) -> DataFrame:
     """One row per transition into a report stage: experts reaching it,
     hours avg/median/p90, session break rate, drop-off."""
-    fsa = steps.funnel_step_analysis(m.expert_funnel_summary, m.funnel_step_sessions, m.expert_sessions)
+    fsa = steps.funnel_step_analysis(m.expert_sessions)
     return (
         fsa.where(F.col("from_step").isNotNull())
         .select(
@@ -194,18 +196,19 @@ def weekly_activation(m) -> DataFrame:
     ).orderBy("signup_week")
 
 
-def monthly_days_to_activate(m, window_days: int = 60, quantile_method: str = "exact") -> DataFrame:
+def monthly_days_to_activate(m, window_days: int = 60) -> DataFrame:
     """Days to activate by signup month (activations inside the window):
-    count, average, median, p90."""
-    act = reports.activated_within(window_days)
-    base = m.expert_with_engagement.select(
-        month_start("signup_date").alias("signup_month"), F.when(act, F.col("days_to_activate")).alias("d")
-    )
-    g = base.groupBy("signup_month").agg(
-        F.count("d").alias("activated_count"), F.round(F.avg("d"), 1).alias("avg_days_to_activate")
-    )
-    q = group_quantiles(base, ["signup_month"], "d", [0.5, 0.9], ["median_days_to_activate", "p90_days_to_activate"], quantile_method)
-    return g.join(q, "signup_month", "left").orderBy("signup_month")
+    count, average, median, p90 -- one histogram pass."""
+    d = F.when(reports.activated_within(window_days), F.col("days_to_activate"))
+    base = m.expert_with_engagement.select(month_start("signup_date").alias("signup_month"), d.alias("d"))
+    st = histogram_stats(base, ["signup_month"], "d", [0.5, 0.9], ["median_days_to_activate", "p90_days_to_activate"])
+    return st.select(
+        "signup_month",
+        F.col("_n").alias("activated_count"),
+        F.round(F.try_divide(F.col("_sum").cast("double"), F.col("_n").cast("double")), 1).alias("avg_days_to_activate"),
+        "median_days_to_activate",
+        "p90_days_to_activate",
+    ).orderBy("signup_month")
 
 
 def channel_bubble(m) -> DataFrame:

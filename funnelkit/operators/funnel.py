@@ -9,26 +9,21 @@ from ..functions.scalar import days_between, pct
 from ..functions.vocab import REPORT_STAGES, STAGE_TIME_COLUMNS
 
 
-def expert_funnel_summary(stg_events: DataFrame) -> DataFrame:
-    """Pivot cleaned events to one row per expert.
-
-    First time per event name (MIN absorbs duplicates and disorder), the
-    rejected flag, six reached flags (verified and activated exclude rejected
-    experts) and days_to_activate (calendar days, signed).
-
-    Plan: one hash aggregate keyed by expert_id.  MIN and MAX merge, so the
-    partial aggregate combines map-side and a hot expert shrinks to one row
-    per partition before the shuffle.
-    """
+def pivot_aggs() -> list:
+    """Aggregates of the per-expert pivot: first time per event name and the
+    rejected flag (usable on any frame with event_name and event_at)."""
     name = F.col("event_name")
     aggs = [F.min(F.when(name == ev, F.col("event_at"))).alias(c) for ev, c in STAGE_TIME_COLUMNS]
     aggs.append(
         F.max(F.when(name == "verification_rejected", F.lit(True)).otherwise(F.lit(False))).alias("is_rejected")
     )
-    p = stg_events.groupBy("expert_id").agg(*aggs)
+    return aggs
+
+
+def reached_columns() -> list:
+    """Reached flags and days_to_activate, over the pivot's columns."""
     not_rej = ~F.col("is_rejected")
-    return p.select(
-        "*",
+    return [
         F.col("signup_at").isNotNull().alias("reached_signup"),
         F.col("profile_started_at").isNotNull().alias("reached_profile_started"),
         F.col("profile_completed_at").isNotNull().alias("reached_profile_completed"),
@@ -39,7 +34,21 @@ def expert_funnel_summary(stg_events: DataFrame) -> DataFrame:
             F.col("first_engagement_at").isNotNull() & F.col("signup_at").isNotNull(),
             days_between("signup_at", "first_engagement_at"),
         ).alias("days_to_activate"),
-    )
+    ]
+
+
+def expert_funnel_summary(stg_events: DataFrame) -> DataFrame:
+    """Pivot cleaned events to one row per expert.
+
+    First time per event name (MIN absorbs duplicates and disorder), the
+    rejected flag, six reached flags (verified and activated exclude rejected
+    experts) and days_to_activate (calendar days, signed).
+
+    Plan: one hash aggregate keyed by expert_id.  MIN and MAX merge, so the
+    partial aggregate combines map-side and a hot expert shrinks to one row
+    per partition before the shuffle.
+    """
+    return stg_events.groupBy("expert_id").agg(*pivot_aggs()).select("*", *reached_columns())
 
 
 def stage_counts(summary: DataFrame) -> DataFrame:

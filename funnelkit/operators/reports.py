@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import group_quantiles
+from ..functions.quantiles import histogram_stats
 from ..functions.scalar import pct, safe_div
 from ..functions.vocab import (
     ACTIVATION_WINDOW_DAYS,
@@ -32,43 +32,28 @@ def activated_within(days: int = ACTIVATION_WINDOW_DAYS):
     return F.coalesce(F.col("reached_activated") & (F.col("days_to_activate") <= F.lit(days)), F.lit(False))
 
 
-def cohort_conversion(
-    ewe: DataFrame, window_days: int = ACTIVATION_WINDOW_DAYS, quantile_method: str = "exact"
-) -> DataFrame:
+def cohort_conversion(ewe: DataFrame, window_days: int = ACTIVATION_WINDOW_DAYS) -> DataFrame:
     """Weekly signup cohorts: signups, activated within the window, rate,
     days-to-activate median/p75/p90 (of those activated in the window) and
-    the change of the rate on the prior week (2 decimals)."""
-    base = ewe.select("signup_week", "days_to_activate", activated_within(window_days).alias("act"))
-    stats = base.groupBy("signup_week").agg(
-        F.count(F.lit(1)).alias("total_signups"),
-        F.count_if("act").alias("activated_count"),
-        pct(F.count_if("act"), F.count(F.lit(1)), 2).alias("activation_rate_pct"),
-    )
-    q = group_quantiles(
-        base,
-        ["signup_week"],
-        F.when(F.col("act"), F.col("days_to_activate")),
-        QUANTILES,
-        ["median_days_to_activate", "p75_days_to_activate", "p90_days_to_activate"],
-        quantile_method,
-    )
+    the change of the rate on the prior week (2 decimals).
+
+    One histogram pass over (week, days) gives counts and exact quantiles;
+    the week-over-week window runs on one row per week.
+    """
+    d = F.when(activated_within(window_days), F.col("days_to_activate"))
+    st = histogram_stats(ewe, ["signup_week"], d, QUANTILES, ["_q50", "_q75", "_q90"])
     by_week = Window.orderBy("signup_week")
-    return (
-        stats.join(q, "signup_week", "left")
-        .select(
-            "signup_week",
-            "total_signups",
-            "activated_count",
-            "activation_rate_pct",
-            "median_days_to_activate",
-            "p75_days_to_activate",
-            "p90_days_to_activate",
-            F.round(F.col("activation_rate_pct") - F.lag("activation_rate_pct").over(by_week), 2).alias(
-                "wow_activation_rate_change"
-            ),
-        )
-        .orderBy("signup_week")
-    )
+    rate = pct("_n", "_rows", 2)
+    return st.select(
+        "signup_week",
+        F.col("_rows").alias("total_signups"),
+        F.col("_n").alias("activated_count"),
+        rate.alias("activation_rate_pct"),
+        F.col("_q50").alias("median_days_to_activate"),
+        F.col("_q75").alias("p75_days_to_activate"),
+        F.col("_q90").alias("p90_days_to_activate"),
+        F.round(rate - F.lag(rate).over(by_week), 2).alias("wow_activation_rate_change"),
+    ).orderBy("signup_week")
 
 
 def period_comparison(

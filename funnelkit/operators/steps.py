@@ -7,6 +7,13 @@ expert, the first event of each name (by time, then event_id) with its
 session number; canonical neighbouring milestones are paired when both
 exist; duration in whole hours (may be negative), session distance = next
 minus current session number, a new session is needed when it is positive.
+
+Plan: every report here reads the sessions once.  One aggregate keyed by
+expert_id (the *rollup*: pivot, first event per name, last session number;
+all MIN/MAX, so hot experts combine map-side) feeds everything; pairs come
+out of it with ``inline`` -- no self-join, no window over experts -- and the
+statistics are one histogram pass (see ``histogram_stats``).  Only
+aggregates of a few rows are joined or windowed afterwards.
 """
 
 from __future__ import annotations
@@ -14,139 +21,209 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import group_quantiles
-from ..functions.scalar import hours_between, pct, share_pct
-from ..functions.vocab import EVENT_NAMES, QUANTILES, STEP_DEST_STAGE, STEP_PAIRS
-from .funnel import stage_counts
+from ..functions.quantiles import histogram_stats
+from ..functions.scalar import hours_between, pct
+from ..functions.vocab import EVENT_NAMES, QUANTILES, REPORT_STAGES, STAGE_TIME_COLUMNS, STEP_DEST_STAGE, STEP_PAIRS
+from .funnel import pivot_aggs, reached_columns
 
+_Q_NAMES = ["_q50", "_q75", "_q90"]
 
-def funnel_step_sessions(expert_sessions: DataFrame) -> DataFrame:
-    """One row per expert and canonical transition whose two ends exist.
 
-    Plan: a single aggregate keyed by expert_id takes the first
-    (time, event_id, session) per event name -- MIN of a struct, mergeable, so
-    hot experts combine map-side -- and the pairs are generated from that
-    one row per expert with ``inline``: no self-join, no window.
+_TIME_COL = dict(STAGE_TIME_COLUMNS)
+
+
+def expert_rollup(expert_sessions: DataFrame) -> DataFrame:
+    """One row per expert from the sessionised events: the funnel pivot and
+    reached flags, the session of the first event of each name
+    (``session_<event>``), and the last session number.
+
+    Session numbers never decrease along an expert's time order and events at
+    the same instant share a session, so the first event's session is the
+    smallest session number among that name's events: plain MIN/MAX over
+    primitive columns, which the hash aggregate runs with map-side combine.
     """
-    first = expert_sessions.groupBy("expert_id").agg(
-        *[
-            F.min(
-                F.when(
-                    F.col("event_name") == ev,
-                    F.struct(
-                        F.col("event_at").alias("at"),
-                        F.col("event_id").alias("id"),
-                        F.col("session_number").alias("session"),
-                    ),
-                )
-            ).alias(ev)
-            for ev in EVENT_NAMES
-        ]
+    name, at = F.col("event_name"), F.col("event_at")
+    first_session = [
+        F.min(F.when((name == ev) & at.isNotNull(), F.col("session_number"))).alias(f"session_{ev}") for ev in EVENT_NAMES
+    ]
+    g = expert_sessions.groupBy("expert_id").agg(
+        *pivot_aggs(), *first_session, F.max("session_number").alias("max_session")
     )
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("current_step"), F.lit(b).alias("next_step"), F.col(a).alias("cur"), F.col(b).alias("nxt"))
-            for a, b in STEP_PAIRS
-        ]
+    return g.select("*", *reached_columns())
+
+
+def _end(ev: str):
+    """(time, session) of the first event of a name, from the rollup."""
+    return F.col(_TIME_COL[ev]), F.col(f"session_{ev}")
+
+
+def _pair_rows():
+    rows = []
+    for a, b in STEP_PAIRS:
+        (a_at, a_s), (b_at, b_s) = _end(a), _end(b)
+        rows.append(
+            F.struct(
+                F.lit(a).alias("current_step"),
+                F.lit(b).alias("next_step"),
+                a_at.alias("current_step_at"),
+                b_at.alias("next_step_at"),
+                (b_s - a_s).alias("sessions_gap"),
+            )
+        )
+    return F.array(*rows)
+
+
+def _pairs(rollup: DataFrame) -> DataFrame:
+    rows = rollup.select("expert_id", F.inline(_pair_rows())).where(
+        F.col("current_step_at").isNotNull() & F.col("next_step_at").isNotNull()
     )
-    rows = first.select("expert_id", F.inline(pairs)).where(F.col("cur").isNotNull() & F.col("nxt").isNotNull())
-    gap = F.col("nxt.session") - F.col("cur.session")
     return rows.select(
         "expert_id",
         "current_step",
         "next_step",
-        F.col("cur.at").alias("current_step_at"),
-        F.col("nxt.at").alias("next_step_at"),
-        hours_between("cur.at", "nxt.at").alias("step_duration_hours"),
-        gap.alias("sessions_gap"),
-        (gap > 0).alias("required_new_session"),
+        "current_step_at",
+        "next_step_at",
+        hours_between("current_step_at", "next_step_at").alias("step_duration_hours"),
+        "sessions_gap",
+        (F.col("sessions_gap") > 0).alias("required_new_session"),
+    )
+
+
+def funnel_step_sessions(expert_sessions: DataFrame) -> DataFrame:
+    """One row per expert and canonical transition whose two ends exist."""
+    return _pairs(expert_rollup(expert_sessions))
+
+
+def _avg(sum_col: str, n_col: str, digits: int):
+    return F.round(F.try_divide(F.col(sum_col).cast("double"), F.col(n_col).cast("double")), digits)
+
+
+def _timing_stats(pairs: DataFrame, keys) -> DataFrame:
+    return histogram_stats(
+        pairs,
+        keys,
+        "step_duration_hours",
+        QUANTILES,
+        _Q_NAMES,
+        sums={
+            "_gap": F.col("sessions_gap"),
+            "_gapn": F.col("sessions_gap").isNotNull().cast("bigint"),
+            "_brk": F.col("required_new_session").cast("bigint"),
+        },
     )
 
 
-def step_timing(steps: DataFrame, quantile_method: str = "exact") -> DataFrame:
+def step_timing(steps: DataFrame) -> DataFrame:
     """Per transition: experts, hours avg/median/p75/p90, session-break %, avg session gap."""
     keys = ["current_step", "next_step"]
-    agg = steps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("experts_with_transition"),
-        F.round(F.avg("step_duration_hours"), 1).alias("avg_hours"),
-        share_pct(F.count_if("required_new_session"), F.count(F.lit(1)), 1).alias("session_break_rate_pct"),
-        F.round(F.avg("sessions_gap"), 2).alias("avg_sessions_gap"),
-    )
-    q = group_quantiles(
-        steps, keys, "step_duration_hours", QUANTILES, ["median_hours", "p75_hours", "p90_hours"], quantile_method
-    )
-    return agg.join(q, keys, "left").select(
+    st = _timing_stats(steps, keys)
+    return st.select(
         *keys,
-        "experts_with_transition",
-        "avg_hours",
-        "median_hours",
-        "p75_hours",
-        "p90_hours",
-        "session_break_rate_pct",
-        "avg_sessions_gap",
+        F.col("_rows").alias("experts_with_transition"),
+        _avg("_sum", "_n", 1).alias("avg_hours"),
+        F.col("_q50").alias("median_hours"),
+        F.col("_q75").alias("p75_hours"),
+        F.col("_q90").alias("p90_hours"),
+        F.round(F.try_divide(F.col("_brk").cast("double") * F.lit(100.0), F.col("_rows").cast("double")), 1).alias(
+            "session_break_rate_pct"
+        ),
+        _avg("_gap", "_gapn", 2).alias("avg_sessions_gap"),
     )
 
 
-def sessions_to_activate(expert_sessions: DataFrame, summary: DataFrame, quantile_method: str = "exact") -> DataFrame:
-    """Mean and median of the last session number of activated experts (one row).
-
-    The per-expert MAX is aggregated before the semi-join, so the join sees
-    one row per expert on both sides (both already partitioned by expert_id).
-    """
-    last = expert_sessions.groupBy("expert_id").agg(F.max("session_number").alias("max_session"))
-    activated = summary.where(F.col("reached_activated")).select("expert_id")
-    last = last.join(activated, "expert_id", "left_semi")
-    avg = last.agg(F.round(F.avg("max_session"), 2).alias("avg_sessions_to_activate"))
-    med = group_quantiles(last, [], "max_session", [0.5], ["median_sessions_to_activate"], quantile_method)
-    return avg.crossJoin(med)
+def sessions_to_activate(expert_sessions: DataFrame) -> DataFrame:
+    """Mean and median of the last session number of activated experts (one row)."""
+    r = expert_rollup(expert_sessions).where(F.col("reached_activated"))
+    st = histogram_stats(r, [], "max_session", [0.5], ["_q50"])
+    return st.select(
+        _avg("_sum", "_n", 2).alias("avg_sessions_to_activate"), F.col("_q50").alias("median_sessions_to_activate")
+    )
 
 
-def _dest_stage(col):
-    expr = None
-    for ev, stage in STEP_DEST_STAGE:
-        expr = F.when(col == ev, F.lit(stage)) if expr is None else expr.when(col == ev, F.lit(stage))
-    return expr
+def _stage_dim(spark) -> DataFrame:
+    """The six report stages with the event whose transition leads into each."""
+    dest = {stage: ev for ev, stage in STEP_DEST_STAGE}
+    rows = [
+        F.struct(F.lit(stage).alias("stage"), F.lit(order).alias("stage_order"), F.lit(dest.get(stage)).cast("string").alias("dest_event"))
+        for stage, order, _ in REPORT_STAGES
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def funnel_step_analysis(
-    summary: DataFrame, steps: DataFrame, expert_sessions: DataFrame, quantile_method: str = "exact"
-) -> DataFrame:
+def funnel_step_analysis(expert_sessions: DataFrame) -> DataFrame:
     """Six report stages with conversion (1 decimal), drop-off, the timing of
     the transition into the stage, and sessions-to-activate on every row.
 
-    All windows and joins run on aggregates of at most six rows.
+    One pass: the rollup emits, per expert, a row per reached stage, per
+    step pair and (if activated) one for its session count; one histogram
+    aggregate turns them into at most 13 statistic rows, which are folded
+    onto the six stages.
     """
+    r = expert_rollup(expert_sessions)
+    null_s, null_l = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def row(kind, a, b, v, g, keep):
+        return F.struct(
+            F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), v.alias("v"), g.alias("g"), keep.alias("keep")
+        )
+
+    measures = [row("stage", F.lit(s), null_s, null_l, null_l, F.col(flag)) for s, _, flag in REPORT_STAGES]
+    for a, b in STEP_PAIRS:
+        (a_at, a_s), (b_at, b_s) = _end(a), _end(b)
+        measures.append(
+            row("pair", F.lit(a), F.lit(b), hours_between(a_at, b_at), b_s - a_s, a_at.isNotNull() & b_at.isNotNull())
+        )
+    measures.append(row("sta", null_s, null_s, F.col("max_session"), null_l, F.col("reached_activated")))
+    rows = r.select(F.inline(F.array(*measures))).where(F.col("keep"))
+    st = histogram_stats(
+        rows,
+        ["kind", "a", "b"],
+        "v",
+        QUANTILES,
+        _Q_NAMES,
+        sums={
+            "_gap": F.col("g"),
+            "_gapn": F.col("g").isNotNull().cast("bigint"),
+            "_brk": (F.col("g") > 0).cast("bigint"),
+        },
+    )
+    dim = _stage_dim(rows.sparkSession)
+    on = (
+        ((st.kind == "stage") & (st.a == dim.stage))
+        | ((st.kind == "pair") & (st.b == dim.dest_event))
+        | (st.kind == "sta")
+    )
+    j = dim.join(F.broadcast(st), on, "left")  # at most 13 statistic rows
+
+    def pick(kind, c):
+        return F.max(F.when(F.col("kind") == kind, c))
+
+    per_stage = j.groupBy("stage", "stage_order").agg(
+        F.coalesce(pick("stage", F.col("_rows")), F.lit(0).cast("bigint")).alias("experts_reached"),
+        pick("pair", F.col("a")).alias("from_step"),
+        pick("pair", _avg("_sum", "_n", 1)).alias("avg_hours_to_reach"),
+        pick("pair", F.col("_q50")).alias("median_hours_to_reach"),
+        pick("pair", F.col("_q75")).alias("p75_hours_to_reach"),
+        pick("pair", F.col("_q90")).alias("p90_hours_to_reach"),
+        pick(
+            "pair",
+            F.round(F.try_divide(F.col("_brk").cast("double") * F.lit(100.0), F.col("_rows").cast("double")), 1),
+        ).alias("session_break_rate_pct"),
+        pick("pair", _avg("_gap", "_gapn", 2)).alias("avg_sessions_gap"),
+        pick("sta", _avg("_sum", "_n", 2)).alias("avg_sessions_to_activate"),
+        pick("sta", F.col("_q50")).alias("median_sessions_to_activate"),
+    )
     by_stage = Window.orderBy("stage_order")
     prev = F.lag("experts_reached").over(by_stage)
-    conv = stage_counts(summary).select(
+    return per_stage.select(
         "stage",
         "stage_order",
         "experts_reached",
         pct("experts_reached", prev, 1).alias("conversion_from_previous_pct"),
         pct("experts_reached", F.first("experts_reached").over(by_stage), 1).alias("conversion_from_signup_pct"),
-        F.round(F.lit(100.0) - F.try_divide(F.col("experts_reached").cast("double"), prev.cast("double")) * F.lit(100.0), 1).alias(
-            "dropoff_rate_pct"
-        ),
-    )
-    st = step_timing(steps, quantile_method).select(
-        _dest_stage(F.col("next_step")).alias("dest_stage"),
-        F.col("current_step").alias("from_step"),
-        F.col("avg_hours").alias("avg_hours_to_reach"),
-        F.col("median_hours").alias("median_hours_to_reach"),
-        F.col("p75_hours").alias("p75_hours_to_reach"),
-        F.col("p90_hours").alias("p90_hours_to_reach"),
-        "session_break_rate_pct",
-        "avg_sessions_gap",
-    )
-    sc = sessions_to_activate(expert_sessions, summary, quantile_method)
-    out = conv.join(F.broadcast(st), conv.stage == st.dest_stage, "left").crossJoin(F.broadcast(sc))
-    return out.select(
-        "stage",
-        "stage_order",
-        "experts_reached",
-        "conversion_from_previous_pct",
-        "conversion_from_signup_pct",
-        "dropoff_rate_pct",
+        F.round(
+            F.lit(100.0) - F.try_divide(F.col("experts_reached").cast("double"), prev.cast("double")) * F.lit(100.0), 1
+        ).alias("dropoff_rate_pct"),
         "from_step",
         "avg_hours_to_reach",
         "median_hours_to_reach",

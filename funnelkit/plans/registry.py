@@ -7,19 +7,39 @@ nothing is collected.
 
 from __future__ import annotations
 
+import os
+import threading
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import dashboard, edge_cases, funnel, quality, reports, sessions, steps
-from ..sources.fixtures import read_testdata
+from ..sources.fixtures import load_fixture, read_testdata
 from .models import Models
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _m(spark: SparkSession, sf_dir: str) -> Models:
-    return Models.from_testdata(spark, sf_dir)
+# One model graph per (session, data folder).  The four raw tables are
+# derived from the test tables and loaded once (written under the session's
+# spark.checkpoint.dir and read back, as the reference loads its CSVs into
+# warehouse tables); every report then plans from those stored tables.  Set
+# FUNNELKIT_LOAD_RAW=0 to derive them inside every query instead.
+_GRAPHS: "weakref.WeakKeyDictionary[SparkSession, dict[str, Models]]" = weakref.WeakKeyDictionary()
+_LOCK = threading.Lock()
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Models:
+    """The model graph of a test-data folder for this session (built once)."""
+    with _LOCK:
+        per_session = _GRAPHS.setdefault(spark, {})
+        if sf_dir not in per_session:
+            if os.environ.get("FUNNELKIT_LOAD_RAW", "1") == "0":
+                per_session[sf_dir] = Models.from_testdata(spark, sf_dir)
+            else:
+                per_session[sf_dir] = Models(load_fixture(spark, sf_dir))
+        return per_session[sf_dir]
 
 
 def _events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +62,8 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     # marts
     "funnel_conversion": lambda m: funnel.funnel_conversion(m.expert_funnel_summary),
     "step_timing": lambda m: steps.step_timing(m.funnel_step_sessions),
-    "sessions_to_activate": lambda m: steps.sessions_to_activate(m.expert_sessions, m.expert_funnel_summary),
-    "funnel_step_analysis": lambda m: steps.funnel_step_analysis(
-        m.expert_funnel_summary, m.funnel_step_sessions, m.expert_sessions
-    ),
+    "sessions_to_activate": lambda m: steps.sessions_to_activate(m.expert_sessions),
+    "funnel_step_analysis": lambda m: steps.funnel_step_analysis(m.expert_sessions),
     "cohort_conversion": lambda m: reports.cohort_conversion(m.expert_with_engagement),
     "period_comparison": lambda m: reports.period_comparison(m.expert_with_engagement),
     "channel_performance": lambda m: reports.channel_performance(m.expert_with_engagement, m.channel_spend_summary),
@@ -86,6 +104,6 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {name: (lambda f: lambda spark, sf_dir: f(_m(spark, sf_dir)))(f) for name, f in QUERIES.items()}
+    out: dict[str, Query] = {name: (lambda f: lambda spark, sf_dir: f(graph(spark, sf_dir)))(f) for name, f in QUERIES.items()}
     out["expert_sessions_events"] = _events_sessions
     return out

@@ -174,11 +174,38 @@ def read_testdata(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, Da
 
 
 def fixture_tables(spark: SparkSession, sf_dir: str) -> RawTables:
-    """The four raw funnel tables derived from ``{sf_dir}/*.parquet`` (lazy)."""
-    t = read_testdata(spark, sf_dir, "orders", "customer", "nation", "lineitem", "events")
-    return RawTables(
-        experts=experts(t["orders"], t["customer"], t["nation"]),
-        funnel_events=funnel_events(t["orders"], t["lineitem"]),
-        engagements=engagements(t["lineitem"]),
-        daily_channel_spend=daily_channel_spend(t["events"]),
-    )
+    """The four raw funnel tables derived from ``{sf_dir}/*.parquet``.
+
+    Each test table is read on first use and each raw table is planned on
+    first use, so a report touching only experts reads only their sources.
+    """
+    reads: dict[str, DataFrame] = {}
+
+    def t(name: str) -> DataFrame:
+        if name not in reads:
+            reads[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return reads[name]
+
+    builders = {
+        "experts": lambda: experts(t("orders"), t("customer"), t("nation")),
+        "funnel_events": lambda: funnel_events(t("orders"), t("lineitem")),
+        "engagements": lambda: engagements(t("lineitem")),
+        "daily_channel_spend": lambda: daily_channel_spend(t("events")),
+    }
+    return RawTables(loader=lambda name: builders[name]())
+
+
+def load_fixture(spark: SparkSession, sf_dir: str, base: str | None = None) -> RawTables:
+    """Derive the raw tables once, store them as parquet, return readers.
+
+    ``base`` defaults to a fresh folder under the session's
+    ``spark.checkpoint.dir`` (shared storage on a cluster).
+    """
+    import uuid
+
+    from ..session import checkpoint_dir
+    from .raw import read_parquet_tables, write_raw
+
+    base = base or f"{checkpoint_dir(spark).rstrip('/')}/funnelkit-raw-{uuid.uuid4().hex[:12]}"
+    write_raw(fixture_tables(spark, sf_dir), base)
+    return read_parquet_tables(spark, base)

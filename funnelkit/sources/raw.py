@@ -6,29 +6,63 @@ Every read carries the explicit schema of ``schemas.py``; nothing is inferred
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .schemas import RAW_SCHEMAS
 
+TABLES = ("experts", "funnel_events", "engagements", "daily_channel_spend")
+
 
-@dataclass(frozen=True)
 class RawTables:
-    """The four source tables of the funnel."""
+    """The four source tables of the funnel.
 
-    experts: DataFrame
-    funnel_events: DataFrame
-    engagements: DataFrame
-    daily_channel_spend: DataFrame
+    Give the DataFrames, or a ``loader(name)`` that builds one on first use,
+    so a report that needs one table never plans the others.
+    """
 
-    def as_dict(self) -> dict[str, DataFrame]:
-        return {
-            "experts": self.experts,
-            "funnel_events": self.funnel_events,
-            "engagements": self.engagements,
-            "daily_channel_spend": self.daily_channel_spend,
+    def __init__(
+        self,
+        experts: DataFrame | None = None,
+        funnel_events: DataFrame | None = None,
+        engagements: DataFrame | None = None,
+        daily_channel_spend: DataFrame | None = None,
+        loader: Callable[[str], DataFrame] | None = None,
+    ):
+        self._frames = {
+            "experts": experts,
+            "funnel_events": funnel_events,
+            "engagements": engagements,
+            "daily_channel_spend": daily_channel_spend,
         }
+        self._loader = loader
+
+    def _get(self, name: str) -> DataFrame:
+        if self._frames[name] is None:
+            if self._loader is None:
+                raise ValueError(f"raw table {name!r} not given")
+            self._frames[name] = self._loader(name)
+        return self._frames[name]
+
+    @property
+    def experts(self) -> DataFrame:
+        return self._get("experts")
+
+    @property
+    def funnel_events(self) -> DataFrame:
+        return self._get("funnel_events")
+
+    @property
+    def engagements(self) -> DataFrame:
+        return self._get("engagements")
+
+    @property
+    def daily_channel_spend(self) -> DataFrame:
+        return self._get("daily_channel_spend")
+
+    def as_dict(self) -> dict[str, DataFrame]:
+        return {name: self._get(name) for name in TABLES}
 
 
 def read_csv_tables(spark: SparkSession, base_dir: str) -> RawTables:

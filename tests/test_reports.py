@@ -165,8 +165,7 @@ def test_step_analysis_and_dashboard(spark):
         for i, n in enumerate(SIX[: 2 + x]):
             events.append(ev(x * 10 + i, x, n, hours[i]))
     m = models(spark, experts=[expert(x) for x in range(1, 5)], events=events)
-    fsa = {r.stage: r for r in steps.funnel_step_analysis(m.expert_funnel_summary, m.funnel_step_sessions,
-                                                          m.expert_sessions).collect()}
+    fsa = {r.stage: r for r in steps.funnel_step_analysis(m.expert_sessions).collect()}
     assert fsa["profile_completed"].session_break_rate_pct == 100.0  # 28 h gap > 24 h
     assert fsa["profile_started"].session_break_rate_pct == 0.0
     assert fsa["activated"].experts_reached == 1
