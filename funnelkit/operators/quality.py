@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_div
@@ -27,7 +27,7 @@ from ..functions.vocab import (
     TIMESTAMP_ORDER_THRESHOLD,
     UNPAID_CHANNELS,
 )
-from .sequence import lag_within_key
+from .sequence import with_bucket_keys
 
 REPORT_COLUMNS = ["check_name", "table_name", "column_name", "failing_rows", "total_rows", "failed"]
 
@@ -175,20 +175,36 @@ def null_utm(stg_experts: DataFrame, threshold: float = NULL_UTM_THRESHOLD) -> D
     )
 
 
-def timestamp_ordering(stg_events: DataFrame, threshold: float = TIMESTAMP_ORDER_THRESHOLD) -> DataFrame:
+def timestamp_ordering(
+    stg_events: DataFrame, threshold: float = TIMESTAMP_ORDER_THRESHOLD, bucket: str = "hour"
+) -> DataFrame:
     """Experts with an event whose stage is lower than the previous event's
-    (time order, ties by stage then event_id), over all experts."""
-    lagged = lag_within_key(
-        stg_events.select("expert_id", "event_at", "stage_order", "event_id"),
-        "expert_id",
-        "event_at",
-        ["stage_order", "event_id"],
-        ["stage_order"],
+    (time order, ties by stage then event_id), over all experts.
+
+    Skew-safe, without a join: rows are ordered only inside (expert, time
+    bucket) slices, which yields the violations inside each bucket and the
+    bucket's first and last stage; one row per bucket then checks each
+    bucket boundary against the previous bucket of the same expert.
+    """
+    ev = with_bucket_keys(stg_events.select("expert_id", "event_at", "stage_order", "event_id"), "expert_id", "event_at", bucket)
+    part = ["_k", "_kn", "_b"]
+    w = Window.partitionBy(*part).orderBy("event_at", "stage_order", "event_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    prev = F.lag("stage_order").over(w)
+    ev = ev.select(
+        *part,
+        (prev.isNotNull() & (F.col("stage_order") < prev)).alias("_v"),
+        F.first("stage_order").over(whole).alias("_first"),
+        F.last("stage_order").over(whole).alias("_last"),
+    )
+    per_bucket = ev.groupBy(*part).agg(
+        F.count_if("_v").alias("_iv"), F.max("_first").alias("_first"), F.max("_last").alias("_last")
     )
-    viol = F.col("prev_stage_order").isNotNull() & (F.col("stage_order") < F.col("prev_stage_order"))
-    per_expert = lagged.groupBy("expert_id").agg(F.count_if(viol).alias("_v"))
+    prev_last = F.lag("_last").over(Window.partitionBy("_k", "_kn").orderBy("_b"))
+    per_bucket = per_bucket.withColumn("_bv", prev_last.isNotNull() & (F.col("_first") < prev_last))
+    per_expert = per_bucket.groupBy("_k", "_kn").agg((F.sum("_iv") + F.count_if("_bv")).alias("_v"))
     g = per_expert.agg(
-        F.count("expert_id").alias("total_experts"), F.count_if(F.col("_v") > 0).alias("experts_with_violations")
+        F.count_if(~F.col("_kn")).alias("total_experts"), F.count_if(F.col("_v") > 0).alias("experts_with_violations")
     )
     ratio = safe_div("experts_with_violations", "total_experts")
     return g.select(

@@ -1,20 +1,17 @@
-"""Previous-row values within a key, without sorting a whole key in one task.
-
-``lag_within_key`` gives each row the values of the row before it in
-(ts, *order_cols) order within its key -- what ``lag(...) OVER (PARTITION BY
-key ORDER BY ts, ...)`` gives -- but sorts only (key, time bucket) slices:
-rows are lagged inside their bucket, and the first row of a bucket takes the
-last row of the key's previous non-empty bucket from a bucket summary (one
-row per key and bucket, built with map-side combine).  A key holding a third
-of all rows is thus spread over its buckets.  Any bucket width is correct;
-narrower buckets split hot keys further at the cost of a larger summary.
+"""Time buckets for ordered work within a key, without sorting a whole key in
+one task.
+
+Operators that need a key's rows in time order (sessions, ordering checks)
+sort only (key, time bucket) slices and carry what crosses a bucket border
+through a summary of one row per key and bucket, built with map-side
+combine.  A key holding a third of all rows is thus spread over its buckets;
+only its summary -- bounded by its time span over the bucket width -- is
+ordered per key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,33 +43,3 @@ def with_bucket_keys(df: DataFrame, key: str, ts: str, bucket: str) -> DataFrame
             F.lit(NO_BUCKET).cast("bigint"),
         ).alias("_b"),
     )
-
-
-def lag_within_key(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    order_cols: Sequence[str],
-    cols: Sequence[str],
-    bucket: str = "hour",
-    prefix: str = "prev_",
-) -> DataFrame:
-    """``df`` plus ``{prefix}{c}`` = value of ``c`` on the previous row of the key."""
-    order_cols, cols = list(order_cols), list(cols)
-    out_cols = df.columns
-    ev = with_bucket_keys(df, key, ts, bucket)
-    part = ["_k", "_kn", "_b"]
-    w = Window.partitionBy(*part).orderBy(ts, *order_cols)
-    ev = ev.select("*", F.row_number().over(w).alias("_rn"), *[F.lag(c).over(w).alias(f"_p_{c}") for c in cols])
-    # last row of each bucket: the largest (ts, order..., values) struct
-    srt = [ts, *order_cols]
-    last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(srt)], *[F.col(c).alias(c) for c in cols]))
-    summ = ev.groupBy(*part).agg(last.alias("_last"))
-    by_key = Window.partitionBy("_k", "_kn").orderBy("_b")
-    summ = summ.select(*part, F.lag("_last").over(by_key).alias("_prev_last")).repartition(*part)
-    j = ev.join(summ, part, "inner")
-    first = F.col("_rn") == 1
-    return j.select(
-        *out_cols,
-        *[F.when(first, F.col(f"_prev_last.{c}")).otherwise(F.col(f"_p_{c}")).alias(f"{prefix}{c}") for c in cols],
-    )

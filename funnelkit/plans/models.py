@@ -30,6 +30,7 @@ class Models:
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str, **kw) -> "Models":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         return cls(fixture_tables(spark, sf_dir), **kw)
 
     # staging

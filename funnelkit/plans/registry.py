@@ -32,6 +32,8 @@ _LOCK = threading.Lock()
 
 def graph(spark: SparkSession, sf_dir: str) -> Models:
     """The model graph of a test-data folder for this session (built once)."""
+    # zone-free timestamps are differenced through the session zone: pin UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     with _LOCK:
         per_session = _GRAPHS.setdefault(spark, {})
         if sf_dir not in per_session:

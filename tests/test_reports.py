@@ -183,3 +183,30 @@ def test_step_analysis_and_dashboard(spark):
     assert bands["profile_completed"] == "low"
     scoped = dashboard.never_submitted(m.scoped(channel="referral")).first()
     assert scoped.completed_profiles == 0
+
+
+def test_timestamp_ordering_across_buckets_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows, eid = [], 0
+    for x in range(1, 30):
+        n = 400 if x == 1 else rnd.randint(1, 12)  # expert 1 is hot
+        for _ in range(n):
+            eid += 1
+            rows.append((eid, x, rnd.choice(SIX), T0 + timedelta(minutes=rnd.randint(0, 60 * 24 * 20)), None))
+    m = models(spark, experts=[expert(x) for x in range(1, 30)], events=rows)
+    (r,) = quality.timestamp_ordering(m.stg_funnel_events).collect()
+    order = {n: i + 1 for i, n in enumerate(SIX)}
+    bad = set()
+    by_x = {}
+    for e, x, n, t, _ in rows:
+        by_x.setdefault(x, []).append((t, order[n], e))
+    for x, evs in by_x.items():
+        evs.sort()
+        if any(b[1] < a[1] for a, b in zip(evs, evs[1:])):
+            bad.add(x)
+    assert (r.total_experts, r.experts_with_violations) == (len(by_x), len(bad))
+    for b in ("minute", "day"):
+        (rb,) = quality.timestamp_ordering(m.stg_funnel_events, bucket=b).collect()
+        assert rb.experts_with_violations == len(bad)
