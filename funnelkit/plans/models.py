@@ -96,6 +96,28 @@ class Models:
         )
         return Models(raw, session_gap_minutes=self.session_gap_minutes)
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register the raw, staging and intermediate nodes as temp views (the
+        reference's view layer), for users who write SQL on top."""
+        names = []
+        for name, df in self.raw.as_dict().items():
+            df.createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        for name in (
+            "stg_experts",
+            "stg_funnel_events",
+            "stg_engagements",
+            "stg_daily_channel_spend",
+            "expert_funnel_summary",
+            "expert_with_engagement",
+            "channel_spend_summary",
+            "expert_sessions",
+            "funnel_step_sessions",
+        ):
+            getattr(self, name).createOrReplaceTempView(prefix + name)
+            names.append(prefix + name)
+        return names
+
     def persist_shared(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> "Models":
         """Cache the multi-consumer nodes (recomputed from lineage if lost)."""
         for name in ("expert_with_engagement", "expert_sessions", "expert_funnel_summary"):
