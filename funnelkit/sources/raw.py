@@ -14,6 +14,9 @@ from .schemas import RAW_SCHEMAS
 
 TABLES = ("experts", "funnel_events", "engagements", "daily_channel_spend")
 
+# text is kept byte for byte: staging, not the loader, trims and lower-cases
+CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
 
 class RawTables:
     """The four source tables of the funnel.
@@ -74,7 +77,7 @@ def read_csv_tables(spark: SparkSession, base_dir: str) -> RawTables:
     for name, schema in RAW_SCHEMAS.items():
         frames[name] = (
             spark.read.schema(schema)
-            .option("header", True)
+            .options(**CSV_OPTIONS)
             .option("mode", "FAILFAST")
             .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]")
             .csv(f"{base_dir}/{name}.csv")
@@ -95,6 +98,8 @@ def write_raw(tables: RawTables, base_dir: str, fmt: str = "parquet") -> None:
     for name, df in tables.as_dict().items():
         writer = df.write.mode("overwrite")
         if fmt == "csv":
-            writer.option("header", True).csv(f"{base_dir}/{name}.csv")
+            writer.options(**CSV_OPTIONS).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(
+                f"{base_dir}/{name}.csv"
+            )
         else:
             writer.parquet(f"{base_dir}/{name}")
