@@ -75,14 +75,17 @@ def accepted_values(df: DataFrame, table: str, column: str, values: Sequence[str
 def relationships(child: DataFrame, table: str, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
     """Child rows whose non-NULL key has no parent row.
 
-    The parent keys are reduced to distinct values first, so the left join
-    cannot fan out; a hot child key is split by AQE's skew-join handling.
+    Both sides are first reduced to one row per key (the child side with a
+    map-side-combined count), so the join sees distinct keys only: a hot
+    child key costs one row, and the join cannot fan out.
     """
+    child_keys = child.groupBy(F.col(column).alias("_ck")).agg(F.count(F.lit(1)).alias("_n"))
     keys = parent.select(F.col(parent_column).alias("_pk")).where(F.col("_pk").isNotNull()).distinct()
     keys = keys.withColumn("_hit", F.lit(True))
-    j = child.select(F.col(column).alias("_ck")).join(keys, F.col("_ck") == F.col("_pk"), "left")
+    j = child_keys.join(keys, F.col("_ck") == F.col("_pk"), "left")
+    orphan = F.col("_ck").isNotNull() & F.col("_hit").isNull()
     return _report(
-        j, "relationships", table, column, F.count_if(F.col("_ck").isNotNull() & F.col("_hit").isNull()), F.count(F.lit(1))
+        j, "relationships", table, column, F.sum(F.when(orphan, F.col("_n")).otherwise(F.lit(0))), F.sum("_n")
     )
 
 
