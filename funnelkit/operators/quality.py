@@ -28,6 +28,7 @@ from ..functions.vocab import (
     UNPAID_CHANNELS,
 )
 from .sequence import with_bucket_keys
+from .staging import STAGING_COLUMNS
 
 REPORT_COLUMNS = ["check_name", "table_name", "column_name", "failing_rows", "total_rows", "failed"]
 
@@ -89,31 +90,80 @@ def relationships(child: DataFrame, table: str, column: str, parent: DataFrame,
     )
 
 
+# declared tests per source table: source columns, and the staging model's
+# columns, that must not be NULL; the key that must be unique; accepted values
+SOURCE_TESTS = {
+    "experts": {
+        "not_null": ["expert_id", "signup_date", "signup_source", "country", "industry"],
+        "stg_not_null": ["expert_id", "signup_source"],
+        "unique": "expert_id",
+        "accepted": ("signup_source", SIGNUP_SOURCES),
+    },
+    "funnel_events": {
+        "not_null": ["event_id", "expert_id", "event_name", "event_timestamp"],
+        "stg_not_null": ["event_id", "expert_id", "stage_order"],
+        "unique": "event_id",
+        "accepted": ("event_name", EVENT_NAMES),
+    },
+    "engagements": {
+        "not_null": ["engagement_id", "expert_id", "engagement_type", "engagement_date", "payout_amount", "client_industry"],
+        "stg_not_null": ["engagement_id", "payout_amount"],
+        "unique": "engagement_id",
+        "accepted": ("engagement_type", ENGAGEMENT_TYPES),
+    },
+    "daily_channel_spend": {
+        "not_null": ["date", "channel", "campaign_name", "spend_usd", "impressions", "clicks"],
+        "stg_not_null": ["spend_usd"],
+        "unique": None,
+        "accepted": ("channel", PAID_CHANNELS),
+    },
+}
+
+
+def _source_checks(raw: DataFrame, table: str, spec: dict, kind: str) -> DataFrame:
+    """The source-level and staging-level checks of one table in one scan.
+
+    Staging is a projection of its source (same rows), so both sets of
+    column checks are conditional counts of a single aggregate over the
+    source; the report has one row per (table, column).
+    """
+    stg_name, stg_cols = STAGING_COLUMNS[table]
+    combined = raw.select(*[F.col(c).alias(f"raw__{c}") for c in raw.columns], *stg_cols())
+    checks = []  # (table, column, failing-row condition)
+    if kind == "not_null":
+        checks += [(table, c, F.col(f"raw__{c}").isNull()) for c in spec["not_null"]]
+        checks += [(stg_name, c, F.col(c).isNull()) for c in spec["stg_not_null"]]
+    else:
+        col, values = spec["accepted"]
+        checks += [(table, col, ~F.col(f"raw__{col}").isin(list(values)))]
+        checks += [(stg_name, col, ~F.col(col).isin(list(values)))]
+    counts = combined.agg(F.count(F.lit(1)).alias("_total"), *[F.count_if(c).alias(f"_f{i}") for i, (_, _, c) in enumerate(checks)])
+    rows = ", ".join(f"'{t}', '{c}', `_f{i}`" for i, (t, c, _) in enumerate(checks))
+    return counts.select(
+        F.lit(kind).alias("check_name"),
+        F.expr(f"stack({len(checks)}, {rows}) AS (table_name, column_name, failing_rows)"),
+        F.col("_total").alias("total_rows"),
+    ).select(*REPORT_COLUMNS[:-1], (F.col("failing_rows") > 0).alias("failed"))
+
+
+def _unique_both(raw: DataFrame, table: str, column: str) -> DataFrame:
+    """Uniqueness of a key that staging passes through unchanged: one
+    aggregate, reported for the source and for the staging model."""
+    stg_name = STAGING_COLUMNS[table][0]
+    r = unique(raw, table, column)
+    return r.unionByName(r.withColumn("table_name", F.lit(stg_name)))
+
+
 def source_and_model_tests(m) -> dict[str, DataFrame]:
     """The declared column tests of sources, staging, intermediate and marts."""
     from . import funnel, reports
 
-    raw = m.raw
+    raw = m.raw.as_dict()
     fc = funnel.funnel_conversion(m.expert_funnel_summary)
     cc = reports.cohort_conversion(m.expert_with_engagement)
     cp = reports.channel_performance(m.expert_with_engagement, m.channel_spend_summary)
-    nn = [
-        not_null(raw.experts, "experts", ["expert_id", "signup_date", "signup_source", "country", "industry"]),
-        not_null(raw.funnel_events, "funnel_events", ["event_id", "expert_id", "event_name", "event_timestamp"]),
-        not_null(
-            raw.engagements,
-            "engagements",
-            ["engagement_id", "expert_id", "engagement_type", "engagement_date", "payout_amount", "client_industry"],
-        ),
-        not_null(
-            raw.daily_channel_spend,
-            "daily_channel_spend",
-            ["date", "channel", "campaign_name", "spend_usd", "impressions", "clicks"],
-        ),
-        not_null(m.stg_experts, "stg_experts", ["expert_id", "signup_source"]),
-        not_null(m.stg_funnel_events, "stg_funnel_events", ["event_id", "expert_id", "stage_order"]),
-        not_null(m.stg_engagements, "stg_engagements", ["engagement_id", "payout_amount"]),
-        not_null(m.stg_daily_channel_spend, "stg_daily_channel_spend", ["spend_usd"]),
+    nn = [_source_checks(raw[t], t, spec, "not_null") for t, spec in SOURCE_TESTS.items()]
+    nn += [
         not_null(m.expert_funnel_summary, "expert_funnel_summary", ["expert_id"]),
         not_null(m.expert_with_engagement, "expert_with_engagement", ["expert_id"]),
         not_null(m.expert_sessions, "expert_sessions", ["event_id"]),
@@ -121,33 +171,18 @@ def source_and_model_tests(m) -> dict[str, DataFrame]:
         not_null(cc, "cohort_conversion", ["signup_week"]),
         not_null(cp, "channel_performance", ["signup_source"]),
     ]
-    uq = [
-        unique(raw.experts, "experts", "expert_id"),
-        unique(raw.funnel_events, "funnel_events", "event_id"),
-        unique(raw.engagements, "engagements", "engagement_id"),
-        unique(m.stg_experts, "stg_experts", "expert_id"),
-        unique(m.stg_funnel_events, "stg_funnel_events", "event_id"),
-        unique(m.stg_engagements, "stg_engagements", "engagement_id"),
+    uq = [_unique_both(raw[t], t, spec["unique"]) for t, spec in SOURCE_TESTS.items() if spec["unique"]]
+    uq += [
         unique(m.expert_funnel_summary, "expert_funnel_summary", "expert_id"),
         unique(m.expert_with_engagement, "expert_with_engagement", "expert_id"),
         unique(m.expert_sessions, "expert_sessions", "event_id"),
         unique(cc, "cohort_conversion", "signup_week"),
         unique(cp, "channel_performance", "signup_source"),
     ]
-    av = [
-        accepted_values(raw.experts, "experts", "signup_source", SIGNUP_SOURCES),
-        accepted_values(raw.funnel_events, "funnel_events", "event_name", EVENT_NAMES),
-        accepted_values(raw.engagements, "engagements", "engagement_type", ENGAGEMENT_TYPES),
-        accepted_values(raw.daily_channel_spend, "daily_channel_spend", "channel", PAID_CHANNELS),
-        # the raw text is unclean by design: the same lists after staging
-        accepted_values(m.stg_experts, "stg_experts", "signup_source", SIGNUP_SOURCES),
-        accepted_values(m.stg_funnel_events, "stg_funnel_events", "event_name", EVENT_NAMES),
-        accepted_values(m.stg_engagements, "stg_engagements", "engagement_type", ENGAGEMENT_TYPES),
-        accepted_values(m.stg_daily_channel_spend, "stg_daily_channel_spend", "channel", PAID_CHANNELS),
-    ]
+    av = [_source_checks(raw[t], t, spec, "accepted_values") for t, spec in SOURCE_TESTS.items()]
     rel = [
-        relationships(raw.funnel_events, "funnel_events", "expert_id", raw.experts, "expert_id"),
-        relationships(raw.engagements, "engagements", "expert_id", raw.experts, "expert_id"),
+        relationships(raw["funnel_events"], "funnel_events", "expert_id", raw["experts"], "expert_id"),
+        relationships(raw["engagements"], "engagements", "expert_id", raw["experts"], "expert_id"),
     ]
     return {
         "dq_not_null": _union(nn),

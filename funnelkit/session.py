@@ -64,3 +64,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run, from the input size and the core count.
+
+    Shuffle partitions are sized so one partition holds about
+    ``target_partition_bytes`` of the largest shuffle (the event stream keyed
+    by expert, roughly the size of its projected columns), rounded up to a
+    multiple of the cores so waves are full; AQE then coalesces small ones
+    and splits skewed ones.  Scans read ``target_partition_bytes`` per task.
+    """
+    parts = max(cores, -(-input_bytes // target_partition_bytes))
+    parts = -(-parts // cores) * cores
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        # broadcast only what AQE measured small at runtime
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
