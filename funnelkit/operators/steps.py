@@ -140,13 +140,27 @@ def sessions_to_activate(expert_sessions: DataFrame) -> DataFrame:
     )
 
 
+# measure ids of the step analysis: 0 = the expert, 1..6 = the step pairs in
+# STEP_PAIRS order, 7 = the activated expert's session count
+_PAIR_MID = {pair: i + 1 for i, pair in enumerate(STEP_PAIRS)}
+_STA_MID = len(STEP_PAIRS) + 1
+
+
 def _stage_dim(spark) -> DataFrame:
-    """The six report stages with the event whose transition leads into each."""
-    dest = {stage: ev for ev, stage in STEP_DEST_STAGE}
-    rows = [
-        F.struct(F.lit(stage).alias("stage"), F.lit(order).alias("stage_order"), F.lit(dest.get(stage)).cast("string").alias("dest_event"))
-        for stage, order, _ in REPORT_STAGES
-    ]
+    """The six report stages, each with the step pair leading into it."""
+    into = {stage: (a, b) for a, b in STEP_PAIRS for ev, stage in STEP_DEST_STAGE if ev == b}
+    rows = []
+    for i, (stage, order, _) in enumerate(REPORT_STAGES):
+        pair = into.get(stage)
+        rows.append(
+            F.struct(
+                F.lit(stage).alias("stage"),
+                F.lit(order).alias("stage_order"),
+                F.lit(i).alias("stage_idx"),
+                F.lit(_PAIR_MID.get(pair)).cast("int").alias("pair_mid"),
+                F.lit(pair[0] if pair else None).cast("string").alias("pair_from"),
+            )
+        )
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
@@ -154,64 +168,68 @@ def funnel_step_analysis(expert_sessions: DataFrame) -> DataFrame:
     """Six report stages with conversion (1 decimal), drop-off, the timing of
     the transition into the stage, and sessions-to-activate on every row.
 
-    One pass: the rollup emits, per expert, a row per reached stage, per
-    step pair and (if activated) one for its session count; one histogram
-    aggregate turns them into at most 13 statistic rows, which are folded
-    onto the six stages.
+    One pass: the rollup emits per expert one row carrying its six reached
+    flags, one row per step pair it completed and, if activated, one row
+    with its session count -- all keyed by a small integer measure id.  One
+    histogram aggregate turns them into at most 8 statistic rows, which are
+    folded onto the six stages.
     """
-    r = expert_rollup(expert_sessions)
-    null_s, null_l = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    return step_analysis_of_rollup(expert_rollup(expert_sessions))
+
 
-    def row(kind, a, b, v, g, keep):
+def step_analysis_of_rollup(r: DataFrame) -> DataFrame:
+    null_l = F.lit(None).cast("bigint")
+    n_stages = len(REPORT_STAGES)
+
+    def row(mid, v, g, keep, flags=None):
+        flags = flags or [null_l] * n_stages
         return F.struct(
-            F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), v.alias("v"), g.alias("g"), keep.alias("keep")
+            F.lit(mid).alias("mid"),
+            v.alias("v"),
+            g.alias("g"),
+            keep.alias("keep"),
+            *[f.alias(f"r{i}") for i, f in enumerate(flags)],
         )
 
-    measures = [row("stage", F.lit(s), null_s, null_l, null_l, F.col(flag)) for s, _, flag in REPORT_STAGES]
-    for a, b in STEP_PAIRS:
+    measures = [row(0, null_l, null_l, F.lit(True), [F.col(flag).cast("bigint") for _, _, flag in REPORT_STAGES])]
+    for (a, b), mid in _PAIR_MID.items():
         (a_at, a_s), (b_at, b_s) = _end(a), _end(b)
-        measures.append(
-            row("pair", F.lit(a), F.lit(b), hours_between(a_at, b_at), b_s - a_s, a_at.isNotNull() & b_at.isNotNull())
-        )
-    measures.append(row("sta", null_s, null_s, F.col("max_session"), null_l, F.col("reached_activated")))
+        measures.append(row(mid, hours_between(a_at, b_at), b_s - a_s, a_at.isNotNull() & b_at.isNotNull()))
+    measures.append(row(_STA_MID, F.col("max_session"), null_l, F.col("reached_activated")))
     rows = r.select(F.inline(F.array(*measures))).where(F.col("keep"))
-    st = histogram_stats(
-        rows,
-        ["kind", "a", "b"],
-        "v",
-        QUANTILES,
-        _Q_NAMES,
-        sums={
-            "_gap": F.col("g"),
-            "_gapn": F.col("g").isNotNull().cast("bigint"),
-            "_brk": (F.col("g") > 0).cast("bigint"),
-        },
-    )
+    sums = {
+        "_gap": F.col("g"),
+        "_gapn": F.col("g").isNotNull().cast("bigint"),
+        "_brk": (F.col("g") > 0).cast("bigint"),
+    }
+    sums.update({f"_r{i}": F.col(f"r{i}") for i in range(n_stages)})
+    st = histogram_stats(rows, ["mid"], "v", QUANTILES, _Q_NAMES, sums=sums)
     dim = _stage_dim(rows.sparkSession)
-    on = (
-        ((st.kind == "stage") & (st.a == dim.stage))
-        | ((st.kind == "pair") & (st.b == dim.dest_event))
-        | (st.kind == "sta")
-    )
-    j = dim.join(F.broadcast(st), on, "left")  # at most 13 statistic rows
+    on = (st.mid == 0) | (st.mid == dim.pair_mid) | (st.mid == _STA_MID)
+    j = dim.join(F.broadcast(st), on, "left")  # at most 8 statistic rows
 
-    def pick(kind, c):
-        return F.max(F.when(F.col("kind") == kind, c))
+    def pick(mid, c):
+        return F.max(F.when(F.col("mid") == mid, c))
 
+    reached = None
+    for i in range(n_stages):
+        c = F.col(f"_r{i}")
+        reached = F.when(F.col("stage_idx") == i, c) if reached is None else reached.when(F.col("stage_idx") == i, c)
+    pair = F.col("pair_mid")
     per_stage = j.groupBy("stage", "stage_order").agg(
-        F.coalesce(pick("stage", F.col("_rows")), F.lit(0).cast("bigint")).alias("experts_reached"),
-        pick("pair", F.col("a")).alias("from_step"),
-        pick("pair", _avg("_sum", "_n", 1)).alias("avg_hours_to_reach"),
-        pick("pair", F.col("_q50")).alias("median_hours_to_reach"),
-        pick("pair", F.col("_q75")).alias("p75_hours_to_reach"),
-        pick("pair", F.col("_q90")).alias("p90_hours_to_reach"),
+        F.coalesce(pick(0, reached), F.lit(0).cast("bigint")).alias("experts_reached"),
+        pick(pair, F.col("pair_from")).alias("from_step"),
+        pick(pair, _avg("_sum", "_n", 1)).alias("avg_hours_to_reach"),
+        pick(pair, F.col("_q50")).alias("median_hours_to_reach"),
+        pick(pair, F.col("_q75")).alias("p75_hours_to_reach"),
+        pick(pair, F.col("_q90")).alias("p90_hours_to_reach"),
         pick(
-            "pair",
+            pair,
             F.round(F.try_divide(F.col("_brk").cast("double") * F.lit(100.0), F.col("_rows").cast("double")), 1),
         ).alias("session_break_rate_pct"),
-        pick("pair", _avg("_gap", "_gapn", 2)).alias("avg_sessions_gap"),
-        pick("sta", _avg("_sum", "_n", 2)).alias("avg_sessions_to_activate"),
-        pick("sta", F.col("_q50")).alias("median_sessions_to_activate"),
+        pick(pair, _avg("_gap", "_gapn", 2)).alias("avg_sessions_gap"),
+        pick(_STA_MID, _avg("_sum", "_n", 2)).alias("avg_sessions_to_activate"),
+        pick(_STA_MID, F.col("_q50")).alias("median_sessions_to_activate"),
     )
     by_stage = Window.orderBy("stage_order")
     prev = F.lag("experts_reached").over(by_stage)
