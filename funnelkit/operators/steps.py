@@ -216,9 +216,11 @@ def step_analysis_of_rollup(r: DataFrame) -> DataFrame:
         c = F.col(f"_r{i}")
         reached = F.when(F.col("stage_idx") == i, c) if reached is None else reached.when(F.col("stage_idx") == i, c)
     pair = F.col("pair_mid")
-    per_stage = j.groupBy("stage", "stage_order").agg(
+    # the pair's name is a grouping key (a dimension attribute), so the fold
+    # stays a hash aggregate; it shows only when the pair has statistics
+    per_stage = j.groupBy("stage", "stage_order", "pair_from").agg(
         F.coalesce(pick(0, reached), F.lit(0).cast("bigint")).alias("experts_reached"),
-        pick(pair, F.col("pair_from")).alias("from_step"),
+        pick(pair, F.lit(1)).alias("_has_pair"),
         pick(pair, _avg("_sum", "_n", 1)).alias("avg_hours_to_reach"),
         pick(pair, F.col("_q50")).alias("median_hours_to_reach"),
         pick(pair, F.col("_q75")).alias("p75_hours_to_reach"),
@@ -242,7 +244,7 @@ def step_analysis_of_rollup(r: DataFrame) -> DataFrame:
         F.round(
             F.lit(100.0) - F.try_divide(F.col("experts_reached").cast("double"), prev.cast("double")) * F.lit(100.0), 1
         ).alias("dropoff_rate_pct"),
-        "from_step",
+        F.when(F.col("_has_pair").isNotNull(), F.col("pair_from")).alias("from_step"),
         "avg_hours_to_reach",
         "median_hours_to_reach",
         "p75_hours_to_reach",
