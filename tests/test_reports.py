@@ -210,3 +210,24 @@ def test_timestamp_ordering_across_buckets_brute_force(spark):
     for b in ("minute", "day"):
         (rb,) = quality.timestamp_ordering(m.stg_funnel_events, bucket=b).collect()
         assert rb.experts_with_violations == len(bad)
+
+
+def test_scoped_by_industry_and_gap_parameter(spark):
+    experts = [expert(1, industry="tech"), expert(2, industry=" Health "), expert(3, source="referral", industry="tech")]
+    events = [ev(1, 1, "signup", 0), ev(2, 1, "profile_started", 2), ev(3, 2, "signup", 0), ev(4, 3, "signup", 0),
+              ev(5, 3, "profile_started", 30)]
+    m = models(spark, experts=experts, events=events)
+    tech = funnel.funnel_conversion(m.scoped(industry="tech").expert_funnel_summary).collect()
+    assert {r.stage: r.experts_reached for r in tech}["signup"] == 2
+    health = m.scoped(industry="Health")
+    assert health.stg_experts.count() == 1 and health.stg_funnel_events.count() == 1
+    both = m.scoped(channel="referral", industry="tech")
+    assert [r.expert_id for r in both.stg_experts.collect()] == [3]
+    # the session gap is a parameter: at 60 minutes expert 3's 30 h gap and
+    # expert 1's 2 h gap both split
+    from funnelkit.plans.models import Models
+
+    short = Models(m.raw, session_gap_minutes=60)
+    n = {r.expert_id: r.n for r in short.expert_sessions.groupBy("expert_id").agg({"session_number": "max"})
+         .withColumnRenamed("max(session_number)", "n").collect()}
+    assert n == {1: 2, 2: 1, 3: 2}
