@@ -94,3 +94,14 @@ def test_session_invariants_sf001(spark):
     assert bad == 0
     sizes = s.groupBy("expert_id", "session_number").agg(F.count(F.lit(1)).alias("c"), F.max("events_in_session").alias("e"))
     assert sizes.where("c != e").count() == 0
+
+
+def test_one_hot_expert_from_real_data(spark):
+    # every funnel event of sf0.001 on one expert: both plans still agree
+    from conftest import SF0001
+    from funnelkit.plans.models import Models
+
+    hot = Models.from_testdata(spark, SF0001).stg_funnel_events.withColumn("expert_id", F.lit(7).cast("bigint"))
+    a = expert_sessions(hot, strategy="bucketed")
+    b = expert_sessions(hot, strategy="window")
+    _same(a, b, key=lambda r: r.event_id)
