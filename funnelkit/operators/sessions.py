@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import minutes_between
 from .sequence import BUCKET_MINUTES, NO_BUCKET, with_bucket_keys
 
+# columns added to every event
 SESSION_COLUMNS = [
     "prev_event_at",
     "gap_minutes",
@@ -46,6 +47,7 @@ SESSION_COLUMNS = [
     "events_in_session",
 ]
 
+
 def sessionize(
     df: DataFrame,
     key: str,

@@ -54,11 +54,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local runs and tests) is a
-    fresh scratch folder set.  On a cluster the setting names shared storage.
+    Read from the session; only when it is unset in local mode (local runs
+    and tests) is a fresh scratch folder set.  On a cluster the setting must
+    name shared storage, and an unset one is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            # a machine-local folder is invisible to other executors
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
         d = tempfile.mkdtemp(prefix="funnelkit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
