@@ -77,8 +77,14 @@ def period_comparison(
     in_b = d.between(F.lit(period_b[0]).cast("date"), F.lit(period_b[1]).cast("date"))
     act = activated_within(window_days)
     days = F.col("days_to_activate")
+    # the same range on the zone-free signup time, which reaches the parquet
+    # scan (row groups outside both periods are skipped)
+    lo, hi = min(period_a[0], period_b[0]), max(period_a[1], period_b[1])
+    bounds = (F.col("signup_at") >= F.lit(lo).cast("timestamp_ntz")) & (
+        F.col("signup_at") < F.date_add(F.lit(hi).cast("date"), 1).cast("timestamp_ntz")
+    )
     g = (
-        ewe.where(in_a | in_b)
+        ewe.where(bounds & (in_a | in_b))
         .agg(
             F.count_if(in_a).alias("q3_signups"),
             F.count_if(in_b).alias("q4_signups"),
