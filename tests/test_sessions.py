@@ -105,3 +105,26 @@ def test_one_hot_expert_from_real_data(spark):
     a = expert_sessions(hot, strategy="bucketed")
     b = expert_sessions(hot, strategy="window")
     _same(a, b, key=lambda r: r.event_id)
+
+
+def test_property_bucketed_equals_window(spark):
+    """Random keys, times (sub-second, ties, NULLs) and gaps: same rows."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    base = ts("2024-06-01 00:00:00")
+    event = st.tuples(
+        st.one_of(st.none(), st.integers(0, 3)),
+        st.one_of(st.none(), st.integers(0, 5 * 24 * 3600 * 1000)),  # milliseconds over 5 days
+    )
+
+    @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(event, min_size=1, max_size=60), st.sampled_from([0, 1, 30, 59, 60, 1440]))
+    def check(events, gap):
+        rows = [(i, k, None if t is None else base + timedelta(milliseconds=t)) for i, (k, t) in enumerate(events)]
+        df = spark.createDataFrame(rows, "id bigint, k bigint, t timestamp_ntz")
+        a = sessionize(df, "k", "t", ["id"], gap_minutes=gap, strategy="bucketed")
+        b = sessionize(df, "k", "t", ["id"], gap_minutes=gap, strategy="window")
+        _same(a, b, key=lambda r: r.id)
+
+    check()
