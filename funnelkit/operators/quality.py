@@ -273,3 +273,39 @@ def null_payout(stg_engagements: DataFrame, threshold: float = NULL_PAYOUT_THRES
         F.round(ratio, 6).alias("failure_ratio"),
         F.coalesce(ratio > F.lit(threshold), F.lit(False)).alias("failed"),
     )
+
+
+def run_all(m) -> DataFrame:
+    """Every check of the project as one report (check, table, column,
+    failing rows, total rows, failed): the generic column tests plus the four
+    business tests, the latter failing on their thresholds."""
+    generic = source_and_model_tests(m)
+    no_col = F.lit(None).cast("string")
+
+    def row(df: DataFrame, check: str, table: str, failing: str, total: str) -> DataFrame:
+        return df.select(
+            F.lit(check).alias("check_name"),
+            F.lit(table).alias("table_name"),
+            no_col.alias("column_name"),
+            F.col(failing).cast("bigint").alias("failing_rows"),
+            F.col(total).cast("bigint").alias("total_rows"),
+            "failed",
+        )
+
+    rejected = m.expert_funnel_summary.agg(
+        F.count_if(F.col("is_rejected") & F.col("first_engagement_at").isNotNull()).alias("_bad"),
+        F.count(F.lit(1)).alias("_all"),
+    ).withColumn("failed", F.col("_bad") > 0)
+    singular = [
+        row(null_utm(m.stg_experts), "null_utm", "stg_experts", "paid_with_all_nulls", "total_experts"),
+        row(
+            timestamp_ordering(m.stg_funnel_events),
+            "timestamp_ordering",
+            "stg_funnel_events",
+            "experts_with_violations",
+            "total_experts",
+        ),
+        row(rejected, "no_activated_rejected", "expert_funnel_summary", "_bad", "_all"),
+        row(null_payout(m.stg_engagements), "null_payout", "stg_engagements", "null_or_zero_payouts", "total_engagements"),
+    ]
+    return _union([*generic.values(), *singular])

@@ -59,7 +59,7 @@ def build_all(
     m = materialize(spark, m)
     out = {name: f(m) for name, f in MARTS.items()}
     if run_tests:
-        out.update(quality.source_and_model_tests(m))
+        out["dq_report"] = quality.run_all(m)
     for name, df in out.items():
         if sink is not None:
             sink(df)

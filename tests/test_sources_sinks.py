@@ -27,6 +27,12 @@ def test_build_all_writes_marts(spark):
     for name in MARTS:
         stored = spark.read.parquet(f"{out}/{name}")
         assert stored.count() == built[name].count()
+    report = {(r.check_name, r.table_name, r.column_name): r for r in spark.read.parquet(f"{out}/dq_report").collect()}
+    assert len(report) == 36 + 11 + 8 + 2 + 4
+    assert report[("timestamp_ordering", "stg_funnel_events", None)].failed  # the fixture has disorder
+    assert not report[("unique", "funnel_events", "event_id")].failed
+    assert report[("accepted_values", "experts", "signup_source")].failed  # raw text is unclean by design
+    assert not report[("accepted_values", "stg_experts", "signup_source")].failed
     fc = {r.stage: r.experts_reached for r in spark.read.parquet(f"{out}/mart_funnel_conversion").collect()}
     assert fc["signup"] == 1470  # FIXTURES.md C, sf0.001
     views = m.register_views("t_")
