@@ -92,8 +92,8 @@ def histogram_stats(
         rank = F.greatest(F.ceil(F.lit(float(p)) * F.col("_tot")), F.lit(1))
         picks.append(F.min(F.when(F.col("_qv").isNotNull() & (F.col("_cum") >= rank), F.col("_qv"))).alias(name))
     return hist.groupBy(*group_cols).agg(
-        F.sum("_c").alias("_rows"),
-        F.sum(nn).alias("_n"),
+        F.coalesce(F.sum("_c"), F.lit(0).cast("bigint")).alias("_rows"),  # 0, not NULL, on empty input
+        F.coalesce(F.sum(nn), F.lit(0).cast("bigint")).alias("_n"),
         F.sum(F.col("_qv") * F.col("_c")).alias("_sum"),
         *[F.sum(f"_s_{k}").alias(k) for k in sums],
         *picks,

@@ -2,14 +2,16 @@
 
 The reference page holds hand-typed numbers; these are the tables that feed
 it, computed from the models.  Every function takes the model graph ``m``;
-to filter the page by channel or industry, pass ``m.scoped(channel=...,
-industry=...)`` -- the expert set is narrowed at the sources, so every
+every function takes the page's two filters, ``channel=`` and ``industry=``,
+which narrow the expert set at the sources (``m.scoped(...)``), so every
 number on the page follows.  All combining happens on one-row or per-stage
 aggregates (a handful of rows), never on experts.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,17 @@ DEFAULT_AS_OF = "2024-12-31"
 DEFAULT_RECOVERY_RATE = 0.25
 
 
+def _filterable(fn):
+    """Give a dashboard dataset the page's two filters: ``channel=`` and
+    ``industry=`` narrow the expert set at the sources (``Models.scoped``)."""
+
+    @functools.wraps(fn)
+    def wrapper(m, *args, channel: str | None = None, industry: str | None = None, **kw):
+        return fn(m.scoped(channel=channel, industry=industry), *args, **kw)
+
+    return wrapper
+
+
 def _band(c, bands, strict: bool):
     expr = None
     for t, name in bands:
@@ -38,6 +51,7 @@ def _never_submitted_flag():
     return F.col("reached_profile_completed") & ~F.col("reached_verification_submitted")
 
 
+@_filterable
 def never_submitted(m) -> DataFrame:
     """Experts who completed a profile but never submitted for verification."""
     s = m.expert_funnel_summary
@@ -54,6 +68,7 @@ def never_submitted(m) -> DataFrame:
     )
 
 
+@_filterable
 def never_submitted_by_channel(m) -> DataFrame:
     g = m.expert_with_engagement.groupBy("signup_source").agg(
         F.count_if("reached_profile_completed").alias("completed_profiles"),
@@ -69,6 +84,7 @@ def never_submitted_by_channel(m) -> DataFrame:
     ).orderBy(F.col("never_submitted_pct").desc_nulls_last(), "signup_source")
 
 
+@_filterable
 def never_submitted_stale(m, as_of: str = DEFAULT_AS_OF, stale_after_days: int = STALE_AFTER_DAYS) -> DataFrame:
     """Share of never-submitted experts whose profile was completed more than
     ``stale_after_days`` days before ``as_of``."""
@@ -83,6 +99,7 @@ def never_submitted_stale(m, as_of: str = DEFAULT_AS_OF, stale_after_days: int =
     )
 
 
+@_filterable
 def recovery_whatif(m, recovery_rate: float = DEFAULT_RECOVERY_RATE) -> DataFrame:
     """Recover a share of the never-submitted: experts added and the lift on
     verification submissions."""
@@ -97,6 +114,7 @@ def recovery_whatif(m, recovery_rate: float = DEFAULT_RECOVERY_RATE) -> DataFram
     )
 
 
+@_filterable
 def kpis(m) -> DataFrame:
     """The four headline cards: signup-to-activated %, its change between the
     two periods, never-submitted count and share, sessions to activate, and
@@ -122,6 +140,7 @@ def kpis(m) -> DataFrame:
         )
         for prev, cur in zip(stages, stages[1:])
     ]
+    st = st.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in flags})  # counts: 0 on no experts
     head = st.select(
         pct("activated", "signup", 1).alias("signup_to_activated_pct"),
         F.col("_never").alias("never_submitted"),
@@ -143,11 +162,13 @@ def kpis(m) -> DataFrame:
         "never_submitted_pct",
         "avg_sessions_to_activate",
         "median_sessions_to_activate",
-        F.col("_worst.stage").alias("biggest_dropoff_stage"),
+        # no stage has a drop-off (e.g. no experts): no biggest one either
+        F.when(F.col("_worst.dropoff").isNotNull(), F.col("_worst.stage")).alias("biggest_dropoff_stage"),
         F.col("_worst.dropoff").alias("biggest_dropoff_pct"),
     )
 
 
+@_filterable
 def funnel_bars(m) -> DataFrame:
     """Stage bars: count, conversion, drop, session break, avg hours, drop
     band and bar width (% of signup)."""
@@ -165,6 +186,7 @@ def funnel_bars(m) -> DataFrame:
     ).orderBy("stage_order")
 
 
+@_filterable
 def step_detail(m) -> DataFrame:
     """One row per transition into a report stage: experts reaching it,
     hours avg/median/p90, session break rate, drop-off."""
@@ -185,6 +207,7 @@ def step_detail(m) -> DataFrame:
     )
 
 
+@_filterable
 def weekly_activation(m) -> DataFrame:
     """Activation rate per signup week, with the week's running number."""
     cc = reports.cohort_conversion(m.expert_with_engagement)
@@ -196,6 +219,7 @@ def weekly_activation(m) -> DataFrame:
     ).orderBy("signup_week")
 
 
+@_filterable
 def monthly_days_to_activate(m, window_days: int = 60) -> DataFrame:
     """Days to activate by signup month (activations inside the window):
     count, average, median, p90 -- one histogram pass."""
@@ -211,11 +235,13 @@ def monthly_days_to_activate(m, window_days: int = 60) -> DataFrame:
     ).orderBy("signup_month")
 
 
+@_filterable
 def channel_bubble(m) -> DataFrame:
     cp = reports.channel_performance(m.expert_with_engagement, m.channel_spend_summary)
     return cp.select("signup_source", "total_signups", "activation_rate_pct", "total_payouts")
 
 
+@_filterable
 def monthly_signups(m) -> DataFrame:
     """Signups per month, one column per channel (fixed list: no extra job to
     discover the pivot values)."""
@@ -226,6 +252,7 @@ def monthly_signups(m) -> DataFrame:
     ).orderBy("signup_month")
 
 
+@_filterable
 def channel_costs(m) -> DataFrame:
     """Cost table per channel; unpaid channels keep NULL costs (the page's $0
     and infinity are display choices)."""

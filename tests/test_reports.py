@@ -183,6 +183,8 @@ def test_step_analysis_and_dashboard(spark):
     assert bands["profile_completed"] == "low"
     scoped = dashboard.never_submitted(m.scoped(channel="referral")).first()
     assert scoped.completed_profiles == 0
+    assert dashboard.never_submitted(m, channel="organic").first().completed_profiles == 4
+    assert dashboard.kpis(m, industry="none such").first().never_submitted == 0
 
 
 def test_timestamp_ordering_across_buckets_brute_force(spark):
