@@ -15,7 +15,10 @@ current as events arrive.
 
 ``run_available_now`` drains what is available and stops -- the scheduled
 (e.g. weekly) refresh -- keeping its progress in a checkpoint folder on
-shared storage.
+shared storage.  Closed sessions append to a parquet table;
+``refresh_summary_table`` rewrites the per-expert table from the pivot's
+state each refresh (file sinks only append, so it goes through
+``foreachBatch``).
 """
 
 from __future__ import annotations
@@ -83,3 +86,26 @@ def run_available_now(df: DataFrame, sink_path: str, checkpoint: str, mode: str
     )
     q.awaitTermination()
     return q
+
+
+def refresh_summary_table(raw_events: DataFrame, table_path: str, checkpoint: str):
+    """Bring the per-expert summary table at ``table_path`` up to date.
+
+    The streaming pivot keeps one row per expert in its state; each refresh
+    writes the whole state (complete mode) over the table, so the table is
+    always the summary of every event seen so far.
+    """
+
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(table_path)
+
+    q = (
+        summary_stream(raw_events)
+        .writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return q

@@ -34,3 +34,26 @@ def test_stream_matches_batch(spark):
     assert a.count() == batch.count()
     assert a.exceptAll(batch).count() == 0
     assert sessions.agg(F.sum("events_in_session")).first()[0] == m.stg_funnel_events.count()
+
+
+def test_refresh_to_tables(spark):
+    from funnelkit.streaming.incremental import refresh_summary_table, run_available_now
+
+    m = Models.from_testdata(spark, SF0001)
+    base = tempfile.mkdtemp(prefix="funnelkit-stream-files-")
+    write_raw(m.raw, base)
+    events = f"{base}/funnel_events"
+    refresh_summary_table(read_event_stream(spark, events), f"{base}/summary", f"{base}/ckpt_summary")
+    got = spark.read.parquet(f"{base}/summary")
+    want = m.expert_funnel_summary
+    cols = sorted(want.columns)
+    assert got.select(cols).exceptAll(want.select(cols)).count() == 0 and got.count() == want.count()
+    # closed sessions append to a parquet table: only sessions the watermark
+    # has passed are final, so the table holds a subset of the batch sessions
+    # and every row of it is one of them
+    run_available_now(session_stream(read_event_stream(spark, events), watermark="1 hour"), f"{base}/sessions",
+                      f"{base}/ckpt_sessions")
+    closed = spark.read.parquet(f"{base}/sessions")
+    batch = m.expert_sessions.select("expert_id", "session_start_at", "session_end_at", "events_in_session").distinct()
+    assert closed.count() > 0
+    assert closed.select(batch.columns).exceptAll(batch).count() == 0
