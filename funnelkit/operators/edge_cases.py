@@ -33,7 +33,10 @@ def signup_only(stg_experts: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def stage_skips(summary: DataFrame) -> DataFrame:
-    """Counts of three skip patterns, from one scan of the summary."""
+    """Counts of three skip patterns, from one scan of the summary.
+
+    "Activated without verification" looks at the first engagement alone and
+    ignores rejection, unlike the activated stage, as in the reference."""
     g = summary.agg(
         F.count_if(F.col("profile_completed_at").isNotNull() & F.col("profile_started_at").isNull()).alias("a"),
         F.count_if(F.col("verification_submitted_at").isNotNull() & F.col("profile_completed_at").isNull()).alias("b"),

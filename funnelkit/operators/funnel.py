@@ -67,8 +67,9 @@ def stage_counts(summary: DataFrame) -> DataFrame:
 def funnel_conversion(summary: DataFrame) -> DataFrame:
     """Six stages: experts reached, % of the previous stage and % of signup.
 
-    The window runs over the 6 aggregated rows only (never over experts).
-    Conversion may exceed 100 when the funnel is not monotone.
+    Rates have 2 decimals here (the step analysis uses 1, as in the
+    reference).  The window runs over the 6 aggregated rows only (never over
+    experts).  Conversion may exceed 100 when the funnel is not monotone.
     """
     by_stage = Window.orderBy("stage_order")
     c = stage_counts(summary)

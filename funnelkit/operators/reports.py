@@ -37,8 +37,10 @@ def cohort_conversion(ewe: DataFrame, window_days: int = ACTIVATION_WINDOW_DAYS)
     days-to-activate median/p75/p90 (of those activated in the window) and
     the change of the rate on the prior week (2 decimals).
 
-    One histogram pass over (week, days) gives counts and exact quantiles;
-    the week-over-week window runs on one row per week.
+    Recent cohorts have had less than the window to activate (right
+    censoring); nothing corrects for it, as in the reference.  One histogram
+    pass over (week, days) gives counts and exact quantiles; the
+    week-over-week window runs on one row per week.
     """
     d = F.when(activated_within(window_days), F.col("days_to_activate"))
     st = histogram_stats(ewe, ["signup_week"], d, QUANTILES, ["_q50", "_q75", "_q90"])
@@ -129,6 +131,8 @@ def channel_performance(ewe: DataFrame, spend_summary: DataFrame, spend_mode: st
     campaign rows, which all carry the same total); ``"summed"`` reproduces
     the reference as written, summing the repeated total once per campaign.
     Unpaid channels have no spend row, so their cost metrics are NULL.
+    Total payouts cover all experts of the channel, the per-activated
+    averages only activated ones (as in the reference).
     The spend side is one row per channel; AQE broadcasts it once its
     runtime size is known to be under the broadcast threshold.
     """

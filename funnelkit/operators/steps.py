@@ -165,8 +165,11 @@ def _stage_dim(spark) -> DataFrame:
 
 
 def funnel_step_analysis(expert_sessions: DataFrame) -> DataFrame:
-    """Six report stages with conversion (1 decimal), drop-off, the timing of
-    the transition into the stage, and sessions-to-activate on every row.
+    """Six report stages with conversion (1 decimal, the funnel report uses 2),
+    drop-off, the timing of the transition into the stage, and
+    sessions-to-activate on every row.  The submitted-to-rejected transition
+    leads into no report stage, so it appears in ``step_timing`` only, as in
+    the reference.
 
     One pass: the rollup emits per expert one row carrying its six reached
     flags, one row per step pair it completed and, if activated, one row
