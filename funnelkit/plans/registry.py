@@ -1,8 +1,8 @@
 """Every public report as ``(spark, sf_dir) -> DataFrame``, keyed by name.
 
-Each callable derives the raw tables from the test parquet files
-(``sources.fixtures``) and builds its report through the shared model graph;
-nothing is collected.
+Each callable builds its report through the session's model graph of the
+test folder (``graph``), whose raw tables are derived from the test parquet
+files once (``sources.fixtures``); nothing is collected.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Models:
 
 
 def _events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     ev = read_testdata(spark, sf_dir, "events")["events"]
     return sessions.event_sessions(ev)
 
