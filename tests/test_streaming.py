@@ -57,3 +57,22 @@ def test_refresh_to_tables(spark):
     batch = m.expert_sessions.select("expert_id", "session_start_at", "session_end_at", "events_in_session").distinct()
     assert closed.count() > 0
     assert closed.select(batch.columns).exceptAll(batch).count() == 0
+
+
+def test_late_event_merges_into_its_session(spark):
+    from datetime import datetime, timedelta
+
+    from funnelkit.sources.schemas import FUNNEL_EVENTS
+
+    base = tempfile.mkdtemp(prefix="funnelkit-late-")
+    t0 = datetime(2024, 3, 1, 8, 0, 0)
+    first = [(1, 1, "signup", t0, None), (2, 1, "profile_completed", t0 + timedelta(hours=48), None)]
+    # arrives later, but lies between the two: 23 h after signup, 25 h before
+    # the second event -- still more than 1440 minutes from it
+    late = [(3, 1, "profile_started", t0 + timedelta(hours=23), None)]
+    spark.createDataFrame(first, FUNNEL_EVENTS).coalesce(1).write.parquet(f"{base}/events/part=1")
+    spark.createDataFrame(late, FUNNEL_EVENTS).coalesce(1).write.parquet(f"{base}/events/part=2")
+    stream = spark.readStream.schema(FUNNEL_EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{base}/events/*")
+    got = _collect_stream(session_stream(stream, watermark="30 days"), "complete", "late_sessions_t")
+    rows = sorted((r.session_start_at, r.events_in_session) for r in got.collect())
+    assert rows == [(t0, 2), (t0 + timedelta(hours=48), 1)]
