@@ -38,3 +38,15 @@ def test_build_all_writes_marts(spark):
     views = m.register_views("t_")
     assert "t_expert_sessions" in views
     assert spark.sql("SELECT count(*) FROM t_stg_funnel_events").first()[0] == 7419
+
+
+def test_command_line_build(spark):
+    from funnelkit.__main__ import main
+
+    m = Models.from_testdata(spark, SF0001)
+    raw = tempfile.mkdtemp(prefix="funnelkit-cli-raw-")
+    out = tempfile.mkdtemp(prefix="funnelkit-cli-out-")
+    write_raw(m.raw, raw, fmt="csv")
+    main(["--raw", raw, "--out", out, "--format", "csv", "--test"])
+    assert spark.read.parquet(f"{out}/mart_cohort_conversion").count() == 53
+    assert spark.read.parquet(f"{out}/dq_report").count() == 61
