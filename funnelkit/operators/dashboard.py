@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import histogram_stats
 from ..functions.scalar import month_start, pct
-from ..functions.vocab import REPORT_STAGES, SIGNUP_SOURCES
+from ..functions.vocab import ACTIVATION_WINDOW_DAYS, PERIOD_A, PERIOD_B, REPORT_STAGES, SIGNUP_SOURCES
 from . import reports, steps
 
 # --- fixed values: bands shown on the page ---------------------------------
@@ -115,21 +115,40 @@ def recovery_whatif(m, recovery_rate: float = DEFAULT_RECOVERY_RATE) -> DataFram
 
 
 @_filterable
-def kpis(m) -> DataFrame:
+def kpis(m, period_a=PERIOD_A, period_b=PERIOD_B, window_days: int = ACTIVATION_WINDOW_DAYS) -> DataFrame:
     """The four headline cards: signup-to-activated %, its change between the
     two periods, never-submitted count and share, sessions to activate, and
     the stage with the largest drop-off.
 
-    One pass over the sessions (the per-expert rollup feeds a single global
-    histogram aggregate) and one over the enriched experts (period change).
+    One pass: the experts are joined (full outer, co-partitioned by
+    expert_id) to the per-expert rollup of the sessions, and a single global
+    histogram aggregate yields the stage counts, the never-submitted count,
+    the session-count median and the two periods' counts; the card is
+    arithmetic on that one row.  Stage counts cover every expert with events
+    (orphans included), period counts every expert profile, as in the
+    funnel and period reports.
     """
     r = steps.expert_rollup(m.expert_sessions)
+    e = m.stg_experts.select(F.col("expert_id").alias("_eid"), "signup_date")
+    j = e.join(r, e["_eid"] == r["expert_id"], "full_outer")
+    d = F.col("signup_date")
+    in_a = d.between(F.lit(period_a[0]).cast("date"), F.lit(period_a[1]).cast("date"))
+    in_b = d.between(F.lit(period_b[0]).cast("date"), F.lit(period_b[1]).cast("date"))
+    act = reports.activated_within(window_days)
     flags = {stage: F.col(flag).cast("bigint") for stage, _, flag in REPORT_STAGES}
     flags["_completed"] = F.col("reached_profile_completed").cast("bigint")
     flags["_never"] = _never_submitted_flag().cast("bigint")
+    period = {
+        "_a_n": in_a.cast("bigint"),
+        "_b_n": in_b.cast("bigint"),
+        "_a_act": (in_a & act).cast("bigint"),
+        "_b_act": (in_b & act).cast("bigint"),
+    }
     st = histogram_stats(
-        r, [], F.when(F.col("reached_activated"), F.col("max_session")), [0.5], ["_q50"], sums=flags
+        j, [], F.when(F.col("reached_activated"), F.col("max_session")), [0.5], ["_q50"], sums={**flags, **period}
     )
+    counts = [*flags, *period]
+    st = st.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in counts})  # 0 on no rows
     stages = [stage for stage, _, _ in REPORT_STAGES]
     drops = [
         F.struct(
@@ -140,9 +159,13 @@ def kpis(m) -> DataFrame:
         )
         for prev, cur in zip(stages, stages[1:])
     ]
-    st = st.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast("bigint")) for c in flags})  # counts: 0 on no experts
+    # the period report's arithmetic: rates rounded to 2 decimals first; no
+    # change when a period has no signups
+    rate_a, rate_b = pct("_a_act", "_a_n", 2), pct("_b_act", "_b_n", 2)
+    both = (F.col("_a_n") > 0) & (F.col("_b_n") > 0)
     head = st.select(
         pct("activated", "signup", 1).alias("signup_to_activated_pct"),
+        F.when(both, F.round(rate_b - rate_a, 2)).alias("period_activation_pp_change"),
         F.col("_never").alias("never_submitted"),
         pct("_never", "_completed", 1).alias("never_submitted_pct"),
         F.round(F.try_divide(F.col("_sum").cast("double"), F.col("_n").cast("double")), 2).alias(
@@ -151,11 +174,7 @@ def kpis(m) -> DataFrame:
         F.col("_q50").alias("median_sessions_to_activate"),
         F.array_max(F.array(*drops)).alias("_worst"),
     )
-    period = reports.period_comparison(m.expert_with_engagement).select(
-        F.col("activation_rate_pp_change").alias("period_activation_pp_change")
-    )
-    # one-row frames: a left join on TRUE keeps the row when a period is empty
-    return head.join(F.broadcast(period), F.lit(True), "left").select(
+    return head.select(
         "signup_to_activated_pct",
         "period_activation_pp_change",
         "never_submitted",
