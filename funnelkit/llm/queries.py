@@ -21,6 +21,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.mixing import op5
+
+    return op5(table(spark, sf_dir, "documents"))
+
+
+def op7_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.sharding import op7
+
+    return op7(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    return {f.__name__: shipped(f) for f in (op1_token_files,)}
+    return {f.__name__: shipped(f) for f in (op1_token_files, op5_mix_sources, op7_shuffle_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
