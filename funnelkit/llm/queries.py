@@ -21,6 +21,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.quality_rules import op4
+
+    return op4(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from funnelkit.llm.mixing import op5
 
@@ -33,6 +39,12 @@ def op7_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.secrets import op8
+
+    return op8(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    return {f.__name__: shipped(f) for f in (op1_token_files, op5_mix_sources, op7_shuffle_shards)}
+    return {f.__name__: shipped(f) for f in (op1_token_files, op4_quality_rules, op5_mix_sources, op7_shuffle_shards, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:

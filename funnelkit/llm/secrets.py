@@ -1,0 +1,112 @@
+"""Secret scan with multipart credential linking, DataFrame functions alone.
+
+Base patterns report by themselves.  Weak candidates (identifiers, key-like
+strings, endpoints) are reported only where parts that complete them begin
+within ``SCOPE`` code points: an identifier needs a secret, a secret an
+identifier or an endpoint, an endpoint both.  The interval join of candidates
+is a range window over each text's candidates by position: no pairs are made.
+
+Positions come from the regular-expression engine itself: every match is put
+between marks, the text is split at the marks, and lengths are added up.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from funnelkit.llm.common import text_of
+from funnelkit.llm.native import let
+
+SCOPE = 200
+# a private-use character put around matches; its own uses in a text are
+# read as another one, which no pattern tells from it
+_MARK, _OTHER = "", ""
+
+# The base patterns, in the order in which kinds are listed.
+ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]+"
+HEX = r"[0-9a-f]{32,}"
+ASSIGN_MIN, ACCESS_MIN = 8, 16
+
+IDENTIFIER = r"""(?i)\b(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user[_-]?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
+KEYLIKE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,39}[0-9])(?=[A-Za-z0-9+/_-]{0,39}[A-Z])(?=[A-Za-z0-9+/_-]{0,39}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+ENDPOINT = r"""(?i)\b(?:https?|wss?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]+"""
+KINDS = ("assign", "access", "hex", "identifier", "keylike", "endpoint")
+_ROLE = {"assign": "secret", "access": "id", "hex": "secret", "identifier": "id", "keylike": "secret", "endpoint": "endpoint"}
+
+
+def matches(text: Column, kind: str, pattern: str, ok=None) -> Column:
+    """array<struct<kind, start, end>> of the leftmost non-overlapping matches
+    for which ``ok`` of the matched string holds; code points, end exclusive."""
+    k = KINDS.index(kind)
+    empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+
+    def found(marked: Column) -> Column:
+        # the parts at odd places are matches
+        walked = F.aggregate(
+            F.split(marked, _MARK),
+            F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), empty.alias("out")),
+            lambda s, part: F.struct(
+                (s["at"] + F.length(part)).alias("at"),
+                (~s["hit"]).alias("hit"),
+                F.when(s["hit"] & (ok(part) if ok else F.lit(True)),
+                       F.concat(s["out"], F.array(F.struct(F.lit(k).alias("kind"), s["at"].alias("start"), (s["at"] + F.length(part)).alias("end")))))
+                .otherwise(s["out"]).alias("out")))
+        return F.when(F.instr(marked, _MARK) == 0, empty).otherwise(walked["out"])
+
+    return let(F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}"), found)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id and its spans (array of kind, start, end) for every row.
+
+    A null text is empty and has no spans.  Repeated rows are scanned once
+    and returned as often as they occur; spans that start together are told
+    apart by kind, then end.  Other columns are not read, and an empty table
+    gives no rows.
+    """
+    text = text_of(docs)
+    found = F.concat(
+        matches(text, "assign", ASSIGN, lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_MIN),
+        matches(text, "access", ACCESS, lambda m: F.length(m) >= ACCESS_MIN),
+        matches(text, "hex", HEX),
+        matches(text, "identifier", IDENTIFIER),
+        matches(text, "keylike", KEYLIKE),
+        matches(text, "endpoint", ENDPOINT),
+    )
+    key = ["doc_id", "same", "chars"]
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), F.length(text).alias("chars"), found.alias("found"))
+    # equal rows meet here, and all that follows keeps this partitioning
+    rows = rows.repartition(*key).groupBy(*key).agg(F.count("*").alias("rows"), F.first("found").alias("found"))
+    one = rows.select(*key, "rows", F.explode_outer("found").alias("c")).select(*key, "rows", "c.*")
+    role = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (k, _ROLE[n])]), F.col("kind"))
+    near = Window.partitionBy(*key).orderBy("start").rangeBetween(-SCOPE, SCOPE)
+    upto = Window.partitionBy(*key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    base = F.col("kind") < 3
+    has = {r: F.max(F.when(F.col("role") == r, 1)).over(near).isNotNull() for r in ("id", "secret", "endpoint")}
+    one = one.withColumn("role", role).select(
+        *key, "rows", "kind", "start", "end", "role", base.alias("base"), *[c.alias(f"has_{r}") for r, c in has.items()],
+        # a weak candidate inside a base span, or a key-like part of an
+        # identifier or endpoint, says nothing new
+        F.max(F.when(base | (F.col("kind") != KINDS.index("keylike")), F.col("end"))).over(upto).alias("cover"),
+        F.max(F.when(base, F.col("end"))).over(upto).alias("base_cover"))
+    completed = (
+        ((F.col("role") == "id") & F.col("has_secret"))
+        | ((F.col("role") == "secret") & (F.col("has_id") | F.col("has_endpoint")))
+        | ((F.col("role") == "endpoint") & F.col("has_id") & F.col("has_secret")))
+    new = F.when(F.col("role") == "secret", F.coalesce(F.col("cover") < F.col("end"), F.lit(True))).otherwise(
+        F.coalesce(F.col("base_cover") < F.col("end"), F.lit(True)))
+    told = F.when(F.col("kind").isNotNull() & (F.col("base") | (completed & new)), F.struct("start", "kind", "end"))
+    spans = one.groupBy(*key, "rows").agg(F.sort_array(F.collect_list(told)).alias("spans"))
+    return spans.select("doc_id", "spans", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select("doc_id", "spans")
+
+
+def op8(docs: DataFrame) -> DataFrame:
+    name = F.array(*[F.lit(k) for k in KINDS])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    return scan(docs).select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(joined(F.filter("spans", lambda s: s["kind"] < 3)).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"))
