@@ -21,6 +21,12 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.ngram_join import op2
+
+    return op2(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from funnelkit.llm.quality_rules import op4
 
@@ -40,7 +46,7 @@ def op7_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from funnelkit.llm.secrets import op8
+    from funnelkit.llm.secret_scan import op8
 
     return op8(table(spark, sf_dir, "documents"))
 
@@ -53,7 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    return {f.__name__: shipped(f) for f in (op1_token_files, op4_quality_rules, op5_mix_sources, op7_shuffle_shards, op8_secrets)}
+    return {f.__name__: shipped(f) for f in (op1_token_files, op2_ngram_join, op4_quality_rules, op5_mix_sources, op7_shuffle_shards, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
