@@ -27,6 +27,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2(table(spark, sf_dir, "documents"))
 
 
+def op3_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.page_text import op3
+
+    return op3(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from funnelkit.llm.quality_rules import op4
 
@@ -39,6 +45,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.quality_model import op6
+
+    return op6(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_shuffle_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from funnelkit.llm.sharding import op7
 
@@ -59,7 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    return {f.__name__: shipped(f) for f in (op1_token_files, op2_ngram_join, op4_quality_rules, op5_mix_sources, op7_shuffle_shards, op8_secrets)}
+    return {f.__name__: shipped(f) for f in (op1_token_files, op2_ngram_join, op3_page_text, op4_quality_rules, op5_mix_sources, op6_quality_model, op7_shuffle_shards, op8_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
