@@ -63,6 +63,18 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8(table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.decontaminate import op9
+
+    return op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.toxicity import op10
+
+    return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
         return query
 
-    return {f.__name__: shipped(f) for f in (op1_token_files, op2_ngram_join, op3_page_text, op4_quality_rules, op5_mix_sources, op6_quality_model, op7_shuffle_shards, op8_secrets)}
+    dealt = (op1_token_files, op2_ngram_join, op3_page_text, op4_quality_rules, op5_mix_sources, op6_quality_model,
+             op7_shuffle_shards, op8_secrets, op9_decontaminate, op10_toxicity)
+    return {f.__name__: shipped(f) for f in dealt}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -100,6 +100,20 @@ def words(texts: pa.Array, lower: bool = True, hashes: bool = True) -> Words:
     return Words(data, text, start, end, row, first, h)
 
 
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def bare(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bounds without outer ASCII punctuation; a word of nothing
+    else stays as it is."""
+    place = np.arange(len(w.data))
+    end = np.maximum.accumulate(np.where(_PUNCT[w.data], -1, place))[w.end - 1] + 1
+    start = np.minimum.accumulate(np.where(_PUNCT[w.data], len(w.data), place)[::-1])[::-1][w.start]
+    ok = (end > w.start) & (start < end)
+    return np.where(ok, start, w.start), np.where(ok, end, w.end)
+
+
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of ranges starts[i] .. starts[i] + lengths[i] - 1."""
     total = int(lengths.sum())
