@@ -10,9 +10,10 @@
    a window and a benchmark item are a candidate if the cosine of their whitened
    latent vectors passes ``COSINE`` and the window has enough of the item's words.
 4. *Checks.*  The longest common subsequence of the item and the text around
-   the window decides: a copy keeps ``COPY`` of the item's words in order, a
-   paraphrase ``PARAPHRASE`` of its content words (those of high weight) if also
-   ``ANSWER`` of those of its answer (its last sentence) are there.
+   the window decides: a copy keeps ``COPY`` of the item's words in order, or
+   ``CORE`` of its content words (those of high weight); a paraphrase keeps
+   ``PARAPHRASE`` of its content words if also ``ANSWER`` of those of its answer
+   (its last sentence) are there.
 
 The benchmark is a stated query set: it is read in blocks of ``ITEMS`` items,
 each of them searched in all documents.
@@ -36,7 +37,7 @@ FEATURES, RANK, CELL = 1 << 14, 48, 16
 #: cells of a window, by the longest item searched with it
 WINDOWS = {2: 40, 4: 1 << 40}
 COSINE = 0.28
-COPY, PARAPHRASE, ANSWER = 0.75, 0.5, 0.8
+COPY, CORE, PARAPHRASE, ANSWER = 0.7, 0.55, 0.4, 0.8
 #: content words weigh so much of the greatest weight at least
 CONTENT = 0.6
 ITEMS = 4096
@@ -188,9 +189,14 @@ def _search(space: Space, items: Items):
             of_item[k, (x % np.uint64(FEATURES)).astype(np.int64)] = True
             wanted[k] = OVERLAP * len(np.unique(x))
 
-        def reworded(whole: np.ndarray, answer: np.ndarray, text: np.ndarray) -> bool:
+        def verdict(whole: np.ndarray, answer: np.ndarray, text: np.ndarray, lcs: int) -> str | None:
+            if lcs >= COPY * len(whole):
+                return "copy"
             a, b, t = heavy(whole), heavy(answer), heavy(text)
-            return len(a) >= 3 and common_subsequence(a, t) >= PARAPHRASE * len(a) and common_subsequence(b, t) >= ANSWER * len(b)
+            core = common_subsequence(a, t)
+            if len(a) >= 5 and core >= CORE * len(a):
+                return "copy"
+            return "paraphrase" if len(b) and core >= max(3, PARAPHRASE * len(a)) and common_subsequence(b, t) >= ANSWER * len(b) else None
 
         for batch in chunks(batches, "text"):
             h, first = _words(batch.column(1))
@@ -232,11 +238,8 @@ def _search(space: Space, items: Items):
                             lcs = common_subsequence(items.words[item], text)
                             if key in hits and hits[key][0] >= lcs:
                                 continue
-                            if lcs >= COPY * span:
-                                kind = "copy"
-                            elif lcs >= PARAPHRASE * span and reworded(items.words[item], items.answer[item], text):
-                                kind = "paraphrase"
-                            else:
+                            kind = verdict(items.words[item], items.answer[item], text, lcs)
+                            if not kind:
                                 continue
                             hits[key] = (lcs, kind, span, c, int(start[a + m] - first[r]))
             names = batch.column(0).to_pylist()
