@@ -181,6 +181,12 @@ def packed(docs: DataFrame, weights: tuple[float, ...], cap: float, block_words:
     return stored(named, "mix-places"), plan
 
 
+def block_times(spark: SparkSession, plan: Plan, seed: int) -> DataFrame:
+    """(src, block, times): how often the mix takes each block it takes.
+    Stored, so that joins are planned by its real size."""
+    return stored(slots(spark, plan, seed).groupBy("src", "block").agg(F.count("*").alias("times")), "mix-times")
+
+
 def op5(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = BLOCK_WORDS, seed: int = 5) -> DataFrame:
     """What the mix takes of every document (see the query's contract).
 
@@ -191,7 +197,7 @@ def op5(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), cap: float =
     """
     spark = docs.sparkSession
     places, plan = packed(docs, weights, cap, block_words, seed)
-    times = slots(spark, plan, seed).groupBy("src", "block").agg(F.count("*").alias("times"))
+    times = block_times(spark, plan, seed)
     b = F.lit(block_words)
     pieces = places.where("size > 0").select(
         "src", "start", "size",
@@ -218,7 +224,7 @@ def mix_documents(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), ca
     """
     spark = docs.sparkSession
     places, plan = packed(docs, weights, cap, block_words, seed)
-    times = slots(spark, plan, seed).groupBy("src", "block").agg(F.count("*").alias("times"))
+    times = block_times(spark, plan, seed)
     last = spark.createDataFrame([(k, int(max(n - 1, 0))) for k, n in enumerate(plan.blocks)], "src int, last long")
     first = places.join(last, "src").withColumn("block", F.least(F.floor(F.col("start") / block_words), F.col("last")))
     alike = first.join(times, ["src", "block"], "left").groupBy("doc_id", "source", "same").agg(
