@@ -22,7 +22,6 @@ Blocks are independent: any one decodes without those before it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.llm.common import scratch, text_of
-from funnelkit.llm.words import byte_hash, chunks, spans, words
+from funnelkit.llm.words import Words, byte_hash, chunks, spans, words
 
 #: ids in a word and bits of each, by selector; 15 is the escape
 COUNT = np.array([120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1])
@@ -44,7 +43,7 @@ BLOCK = 512
 #: ids after which a segment is closed
 SEGMENT_IDS = 1 << 17
 #: distinct text pieces a worker remembers
-CACHE_PIECES = 400_000
+CACHE_PIECES = 2_000_000
 
 _SEGMENTS = "part int, seg int, doc_ids array<long>, doc_lengths array<long>, n_ids long, payload binary"
 
@@ -160,23 +159,22 @@ class PieceEncoder:
     emptied at ``CACHE_PIECES``.
     """
 
-    ODD = re.compile("[\\s\x1c-\x1f\x85]{2}|^\\s|\\s$|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[int, int] = {}
+        self.keys = np.zeros(0, dtype=np.uint64)    # ascending
+        self.number = np.zeros(0, dtype=np.int64)   # of each key's piece
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.at = np.zeros(1 << 16, dtype=np.int64)
 
-    def _remember(self, keys: list[int], pieces: list[str]) -> None:
+    def _remember(self, keys: np.ndarray, pieces: list[str]) -> None:
         own = [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
-        n, first = len(self.number), int(self.at[len(self.number)])
+        n, first = len(self.keys), int(self.at[len(self.keys)])
         ends = first + np.cumsum([len(x) for x in own])
         while n + len(own) >= len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
@@ -184,42 +182,77 @@ class PieceEncoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.at[n + 1 : n + 1 + len(own)] = ends
         self.flat[first : ends[-1]] = [i for x in own for i in x]
-        self.number.update(zip(keys, range(n, n + len(own)), strict=True))
+        to = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, to, keys)
+        self.number = np.insert(self.number, to, np.arange(n, n + len(own)))
+
+    def _odd(self, w: Words) -> np.ndarray:
+        """Texts that are not cut here: white space at an end or in a run, or
+        beyond ASCII, or an added token's string."""
+        d = np.concatenate([w.data, np.zeros(2, dtype=np.uint8)])
+        one, two, three = d[:-2], d[1:-1], d[2:]
+        space = _BLANK[one]
+        found = space & _BLANK[two]
+        found |= (one >= 28) & (one <= 31)
+        for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+            at = np.flatnonzero(one == lead)
+            b, c = two[at], three[at]
+            if lead == 0xC2:
+                hit = (b == 0x85) | (b == 0xA0)
+            elif lead == 0xE1:
+                hit = (b == 0x9A) & (c == 0x80)
+            elif lead == 0xE2:
+                hit = ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F))
+            else:
+                hit = (b == 0x80) & (c == 0x80)
+            found[at[hit]] = True
+        filled = np.flatnonzero(np.diff(w.text))
+        odd = np.zeros(len(w.text) - 1, dtype=bool)
+        odd[filled] = space[w.text[filled]] | space[w.text[filled + 1] - 1]
+        odd[np.searchsorted(w.text, np.flatnonzero(found), "right") - 1] = True
+        for token in self.added:
+            if token in (all_ := w.data.tobytes()):
+                odd |= [token in all_[a:b] for a, b in zip(w.text, w.text[1:], strict=False)]
+        return odd
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null: none)."""
-        if len(self.number) > CACHE_PIECES:
+        if len(self.keys) > CACHE_PIECES:
             self.forget()
-        whole = [bool(self.ODD.search(t)) or any(a in t for a in self.added) for t in pc.fill_null(texts, "").to_pylist()]
-        w = words(texts, lower=False)
+        w = words(texts, lower=False, hashes=False)
+        whole = self._odd(w)
         data, start, end = w.data, w.start, w.end
         if not len(w):
             return [self._whole(t) if odd else np.zeros(0, dtype=np.uint32) for t, odd in zip(texts.to_pylist(), whole, strict=True)]
         # the core of a word ends after its last byte that isn't punctuation,
         # if that is a letter or digit for sure
-        place = np.arange(len(data))
+        place = np.arange(len(data), dtype=np.int32 if len(data) < 1 << 31 else np.int64)
         core = np.maximum.accumulate(np.where(_PUNCT[data], -1, place))[end - 1] + 1
         last = data[np.maximum(core - 1, 0)]
         sure = _ALNUM[last] | ((data[np.maximum(core - 2, 0)] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7))
         core = np.where((core > start) & sure, core, end)
-        tail = core < end
-        before = np.where(start > w.text[w.row], data[np.maximum(start - 1, 0)], 0)
-        lo = np.concatenate([start - (before > 0), core[tail]])
-        hi = np.concatenate([core, end[tail]])
-        order = np.argsort(lo, kind="stable")
-        lo, hi = lo[order], hi[order]
+        tail = np.flatnonzero(core < end)
+        spaced = start > w.text[w.row]  # one white space before it goes with it
+        shift = np.zeros(len(start) + 1, dtype=np.int64)
+        shift[tail + 1] = 1
+        to = np.arange(len(start)) + np.cumsum(shift)[:-1]
+        lo, hi = np.empty(len(start) + len(tail), dtype=np.int64), np.empty(len(start) + len(tail), dtype=np.int64)
+        lo[to], hi[to] = start - spaced, core
+        lo[to[tail] + 1], hi[to[tail] + 1] = core[tail], end[tail]
         keys, at, which = np.unique(byte_hash(data, lo, hi), return_index=True, return_inverse=True)
-        number = self.number
-        got = list(map(number.get, keys.tolist()))
-        if None in got:
-            new = [k for k, g in enumerate(got) if g is None]
-            self._remember([int(keys[k]) for k in new], [data[lo[at[k]] : hi[at[k]]].tobytes().decode() for k in new])
-            got = list(map(number.get, keys.tolist()))
-        got = np.array(got, dtype=np.int64)[which]
-        size = (self.at[1:] - self.at[:-1])[got]
-        ids = self.flat[spans(self.at[got], size)]
+        near = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[near] != keys) if len(self.keys) else np.arange(len(keys))
+        got = self.number[near] if len(self.keys) else np.zeros(len(keys), dtype=np.int64)
+        if len(new):
+            got[new] = len(self.keys) + np.arange(len(new))
+            flat = data.tobytes()
+            self._remember(keys[new], [flat[a:b].decode() for a, b in zip(lo[at[new]].tolist(), hi[at[new]].tolist(), strict=True)])
+        got = got[which]
+        first = self.at[got]
+        size = self.at[got + 1] - first
+        ids = self.flat[spans(first, size)]
         ends = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(lo, w.text)]
-        return [self._whole(texts[k].as_py()) if odd else ids[ends[k] : ends[k + 1]] for k, odd in enumerate(whole)]
+        return [self._whole(texts[k].as_py()) if odd else ids[ends[k] : ends[k + 1]] for k, odd in enumerate(whole.tolist())]
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -227,6 +260,8 @@ class PieceEncoder:
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
 
