@@ -262,12 +262,14 @@ def channel_bubble(m) -> DataFrame:
 
 @_filterable
 def monthly_signups(m) -> DataFrame:
-    """Signups per month, one column per channel (fixed list: no extra job to
-    discover the pivot values)."""
+    """Signups per month, one column per listed channel, ``other`` for every
+    other one (NULL too) and ``total``: each signup is in one channel column."""
     e = m.stg_experts.select(month_start("signup_date").alias("signup_month"), "signup_source")
-    wide = e.groupBy("signup_month").pivot("signup_source", SIGNUP_SOURCES).agg(F.count(F.lit(1)))
-    return wide.select(
-        "signup_month", *[F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c) for c in SIGNUP_SOURCES]
+    listed = F.coalesce(F.col("signup_source").isin(*SIGNUP_SOURCES), F.lit(False))
+    return e.groupBy("signup_month").agg(
+        *[F.count_if(F.col("signup_source") == c).alias(c) for c in SIGNUP_SOURCES],
+        F.count_if(~listed).alias("other"),
+        F.count(F.lit(1)).alias("total"),
     ).orderBy("signup_month")
 
 

@@ -19,12 +19,14 @@ NO_BUCKET = -(2**63)  # bucket of NULL times; sorts first, as NULL times do
 BUCKET_MINUTES = {"minute": 1, "hour": 60, "day": 1440}
 
 
-def zero_of(dtype):
-    if isinstance(dtype, T.StringType):
-        return F.lit("")
+def stand_in(key, dtype):
+    """A never-NULL column that is equal where the keys are (a NULL key gets
+    the value of some other key, from which ``_kn`` tells it)."""
     if isinstance(dtype, T.NumericType):
-        return F.lit(0).cast(dtype)
-    return F.lit(None).cast(dtype)
+        return F.coalesce(key, F.lit(0).cast(dtype))
+    if isinstance(dtype, T.BinaryType):
+        key = F.hex(key)
+    return F.coalesce(key.cast("string"), F.lit(""))
 
 
 def with_bucket_keys(df: DataFrame, key: str, ts: str, bucket: str) -> DataFrame:
@@ -36,7 +38,7 @@ def with_bucket_keys(df: DataFrame, key: str, ts: str, bucket: str) -> DataFrame
     epoch = F.lit("1970-01-01 00:00:00").cast(df.schema[ts].dataType)
     return df.select(
         "*",
-        F.coalesce(F.col(key), zero_of(df.schema[key].dataType)).alias("_k"),
+        stand_in(F.col(key), df.schema[key].dataType).alias("_k"),
         F.col(key).isNull().alias("_kn"),
         F.coalesce(
             F.floor(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)) / F.lit(float(width_us))).cast("bigint"),

@@ -7,7 +7,6 @@ files once (``sources.fixtures``); nothing is collected.
 
 from __future__ import annotations
 
-import os
 import threading
 import weakref
 from collections.abc import Callable
@@ -24,8 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # One model graph per (session, data folder).  The four raw tables are
 # derived from the test tables and loaded once (written under the session's
 # spark.checkpoint.dir and read back, as the reference loads its CSVs into
-# warehouse tables); every report then plans from those stored tables.  Set
-# FUNNELKIT_LOAD_RAW=0 to derive them inside every query instead.
+# warehouse tables); every report then plans from those stored tables.
 _GRAPHS: "weakref.WeakKeyDictionary[SparkSession, dict[str, Models]]" = weakref.WeakKeyDictionary()
 _LOCK = threading.Lock()
 
@@ -37,10 +35,7 @@ def graph(spark: SparkSession, sf_dir: str) -> Models:
     with _LOCK:
         per_session = _GRAPHS.setdefault(spark, {})
         if sf_dir not in per_session:
-            if os.environ.get("FUNNELKIT_LOAD_RAW", "1") == "0":
-                per_session[sf_dir] = Models.from_testdata(spark, sf_dir)
-            else:
-                per_session[sf_dir] = Models(load_fixture(spark, sf_dir))
+            per_session[sf_dir] = Models(load_fixture(spark, sf_dir))
         return per_session[sf_dir]
 
 

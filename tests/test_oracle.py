@@ -11,7 +11,7 @@ from conftest import SF0001
 from __spark_entry__ import oracle_sql, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-KEYS = sorted(queries())
+KEYS = sorted(oracle_sql())
 
 
 @pytest.fixture(scope="module")

@@ -233,3 +233,11 @@ def test_scoped_by_industry_and_gap_parameter(spark):
     n = {r.expert_id: r.n for r in short.expert_sessions.groupBy("expert_id").agg({"session_number": "max"})
          .withColumnRenamed("max(session_number)", "n").collect()}
     assert n == {1: 2, 2: 1, 3: 2}
+
+
+def test_monthly_signups_lose_no_channel(spark):
+    from funnelkit.operators import dashboard
+
+    m = models(spark, experts=[expert(1), expert(2, source="podcast"), expert(3, source=None), expert(4, source="referral")])
+    (row,) = dashboard.monthly_signups(m).collect()
+    assert (row.organic, row.referral, row.other, row.total) == (1, 1, 2, 4)

@@ -128,3 +128,14 @@ def test_property_bucketed_equals_window(spark):
         _same(a, b, key=lambda r: r.id)
 
     check()
+
+
+def test_null_keys_of_every_type_keep_their_rows(spark):
+    rows = [(1, "2024-01-01 10:00:00", "2024-03-01", True, b"a"), (2, "2024-01-01 10:05:00", None, None, None), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, at string, day string, flag boolean, raw binary").selectExpr(
+        "id", "cast(at as timestamp_ntz) at", "cast(day as date) day", "flag", "raw", "cast(flag as string) name")
+    for key in ("day", "flag", "raw", "name"):
+        got = [sorted((r.id, r.session_number, r.events_in_session) for r in
+                      sessionize(df, key=key, ts="at", order_cols=["id"], gap_minutes=60, carry=["id"], strategy=s).collect())
+               for s in ("bucketed", "window")]
+        assert len(got[0]) == 3 and got[0] == got[1]
