@@ -19,15 +19,20 @@ Exact for the threshold, by PartEnum signatures:
    most that many groups with an empty subset is *safe* and its empty
    signatures are not emitted, since each of its links shows in a non-empty
    one.  Other sets emit again over another partition; on the last, empty
-   subsets too.  On the first partition, features found in more than
-   ``HOT_SHARE`` of the sets are left out, which keeps the bound (a smaller
-   domain cannot add differences), so a passage that many documents share
-   makes no signature.
-4. *Links.*  Sets that share a signature are compared in full: first each with
-   one centre (the signature group's least node that it meets most), then,
-   knowing these links' components, every pair in different components.  So a
-   group of near copies is not expanded into all pairs, and no link that would
-   join two components is lost.
+   subsets too.
+   A set of e signatures differs from a partner of its own size range in so
+   few features that they share at least t of them.  So signatures are put in
+   one order, the widest-shared last, and every set drops its last t - 1 (all,
+   if it has fewer than t that anyone shares): two linked sets still meet.
+   A passage that many documents share thus makes no pairs of them.
+4. *Links.*  Sets that share a signature are compared in full: first, in a few
+   rounds, each with one centre outside its component (the signature group's
+   node with the widest signatures, which of a group of near copies is their
+   origin).  What is still in different components is compared in blocks: nodes
+   of one centre are cut into blocks of bounded size, every two blocks that
+   meet in a signature go to one task, which multiplies their incidence
+   matrices and returns only links that join components.  So neither a group
+   of near copies nor one of just too different texts is expanded into pairs.
 5. *Components* of the links, by star contraction.
 """
 
@@ -40,7 +45,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.llm.common import stored, text_of
@@ -51,11 +56,11 @@ SHINGLE = 5
 #: one feature in so many is used by the sieve
 SIEVE = 8
 RISK = 1e-9
-HOT_SHARE = 0.005
-HOT_LEAST = 32
 LEVELS = 4
-#: pairs made at once by a task
-PAIR_BLOCK = 1 << 18
+CENTRE_ROUNDS = 2
+#: nodes, and features, of a block
+BLOCK_NODES = 128
+BLOCK_FEATURES = 1 << 17
 
 _STEP = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
 
@@ -214,13 +219,16 @@ def scheme(tag: int, percent: int) -> tuple[int, int, int, int]:
         n1 += max(1, n1 // 50)
 
 
-def signatures(features: np.ndarray, offsets: np.ndarray, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of every signature that the sets emit."""
+def signatures(features: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number, use) of every signature that the sets emit.
+
+    ``use`` names the tag and partition, times 2**16, plus the least number of
+    these signatures that the set shares with any linked partner (at least 1).
+    """
     size = np.diff(offsets)
     edges = np.array([hi for _, hi in bands(percent)])
     band = np.searchsorted(edges, size)
-    is_hot = np.isin(features, hot) if len(hot) else np.zeros(len(features), dtype=bool)
-    out_sig, out_set = [], []
+    out_sig, out_set, out_use = [], [], []
     for tag in np.unique(np.concatenate([band, band - 1])):
         if tag < 0:
             continue
@@ -235,9 +243,6 @@ def signatures(features: np.ndarray, offsets: np.ndarray, hot: np.ndarray, perce
             last = level == LEVELS - 1
             own = spans(offsets[todo], size[todo])
             f, who = features[own], np.repeat(np.arange(len(todo)), size[todo])
-            if level == 0 and len(hot):
-                cold = ~is_hot[own]
-                f, who = f[cold], who[cold]
             salt = mix(np.array([tag * 64 + level + 1], dtype=np.uint64))[0]
             g = mix(f ^ salt)
             part = ((g >> np.uint64(32)) * np.uint64(n1 * n2)) >> np.uint64(32)
@@ -256,14 +261,24 @@ def signatures(features: np.ndarray, offsets: np.ndarray, hot: np.ndarray, perce
                     s = mix(s + total[:, :, j] + np.uint64(j + 1))
                 s = mix(s + salt + np.uint64(number * 0x9E3779B97F4A7C15 % (1 << 64)) + np.arange(n1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
                 made.append((s, filled))
+            emitted = sum(filled.sum(axis=1) for _, filled in made)
+            # the most features in which a partner of this tag can differ, and
+            # the most signatures that they can spoil
+            n = size[todo]
+            partner = np.where(band[todo] == tag, n * 100 // percent, bands(percent)[tag][1])
+            differ = (n + partner) * (100 - percent) // (100 + percent)
+            spoiled = differ if not k2 else (n2 - k2) * np.minimum(differ, n1) + np.maximum(differ - n1, 0)
+            shared = np.clip(emitted - spoiled, 1, 65535) if n1 > 1 and not last else np.ones(len(todo), dtype=np.int64)
+            use = (tag * LEVELS + level) * 65536 + shared
             for s, filled in made:
                 who, _ = np.nonzero(filled | last)
                 out_sig.append(s[filled | last])
                 out_set.append(todo[who])
+                out_use.append(use[who])
             todo = todo[bad.sum(axis=1) > spare]
     if not out_sig:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(out_sig), np.concatenate(out_set)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(out_sig), np.concatenate(out_set), np.concatenate(out_use)
 
 
 # --------------------------------------------------------------- Spark's part
@@ -289,62 +304,24 @@ def _batch_sets(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndar
     return np.frombuffer(features.tobytes(), dtype=np.uint64), (at - at[0]) // 8
 
 
-def _hot_features(sets: DataFrame) -> np.ndarray:
-    """Features in more than HOT_SHARE of the sets.  A task reports those that
-    pass the share among its own sets, so the sum over tasks holds every
-    feature that passes it everywhere; at most mean size / HOT_SHARE do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = []
-        rows = 0
-        for batch in batches:
-            seen.append(_batch_sets(batch, 0)[0])
-            rows += batch.num_rows
-        if not rows:
-            return
-        f, k = np.unique(np.concatenate(seen), return_counts=True)
-        hot = k >= max(HOT_LEAST, HOT_SHARE * rows)
-        yield pa.RecordBatch.from_arrays([pa.array(f[hot].view(np.int64)), pa.array(k[hot])], names=["feature", "k"])
-
-    total = sets.count()
-    found = sets.select("features").mapInArrow(run, "feature long, k long").groupBy("feature").agg(F.sum("k").alias("k"))
-    rows = found.where(F.col("k") >= max(HOT_LEAST, HOT_SHARE * total)).select("feature").collect()
-    return np.sort(np.array([r.feature for r in rows], dtype=np.int64).view(np.uint64))
-
-
 def _signature_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """(sig, node, n) of signatures that two nodes or more have."""
-    hot = _hot_features(sets)
+    """(sig, node, degree) of the signatures by which nodes may meet."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 batch = whole.slice(a, 256)
-                features, offsets = _batch_sets(batch, 2)
-                sig, who = signatures(features, offsets, hot, percent)
+                features, offsets = _batch_sets(batch, 1)
+                sig, who, use = signatures(features, offsets, percent)
                 node = np.asarray(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node[who])], names=["sig", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sig.view(np.int64)), pa.array(node[who]), pa.array(use.astype(np.int32))], names=["sig", "node", "use"])
 
-    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row of the batch before, if its group may go on
-        for batch in batches:
-            sig, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if held is not None:
-                sig, node = np.concatenate([[held[0]], sig]), np.concatenate([[held[1]], node])
-            if not len(sig):
-                continue
-            like = np.zeros(len(sig) + 1, dtype=bool)
-            like[1:-1] = sig[1:] == sig[:-1]
-            like[0] = held is not None and held[2]
-            keep = like[:-1] | like[1:]
-            held = (sig[-1], node[-1], bool(like[-2]))
-            keep[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(node[keep])], names=["sig", "node"])
-        if held is not None and held[2]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["sig", "node"])
-
-    rows = sets.select("node", "n", "features").mapInArrow(emit, "sig long, node long")
-    return stored(rows.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(twice, "sig long, node long"), "signature-groups")
+    rows = sets.select("node", "features").mapInArrow(emit, "sig long, node long, use int")
+    rows = rows.withColumn("m", F.count("*").over(Window.partitionBy("sig"))).where("m > 1")
+    widest = Window.partitionBy("node", "use").orderBy(F.desc("m"), F.desc("sig"))
+    rows = rows.withColumn("place", F.row_number().over(widest)).withColumn("degree", F.sum("m").over(Window.partitionBy("node", "use")))
+    return rows.where("place >= use % 65536").select("sig", "node", "degree")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -379,43 +356,85 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _across(percent: int):
-    """Pairs of one signature's nodes that lie in different components."""
+def _join_blocks(a: list, b: list, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks of (node, component, features), or inside one
+    (b is a): a spanning forest of those that join components."""
+    fa, fb = np.concatenate([x[2] for x in a]), np.concatenate([x[2] for x in b])
+    common = np.intersect1d(fa, fb)
+
+    def incidence(rows: list, f: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), len(common)), dtype=np.float32)
+        at = np.searchsorted(common, f)
+        hit = common[np.minimum(at, len(common) - 1)] == f
+        out[np.repeat(np.arange(len(rows)), [len(x[2]) for x in rows])[hit], at[hit]] = 1
+        return out
+
+    if not len(common):
+        return []
+    both = incidence(a, fa) @ incidence(b, fb).T
+    size = np.add.outer(np.array([len(x[2]) for x in a]), np.array([len(x[2]) for x in b]))
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(100 * both >= percent * (size - both)), strict=True):
+        p, q = root(a[i][1]), root(b[j][1])
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((a[i][0], b[j][0]))
+    return out
+
+
+def _block_links(named: DataFrame, family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) between nodes of different components that share a
+    signature."""
+    sized = family.join(sets.select("node", "n"), "node")
+    whole = sized.groupBy("family").agg(F.count("*").alias("nodes"), F.sum("n").alias("features"))
+    cuts = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("features") / BLOCK_FEATURES))
+    block = stored(sized.join(whole, "family").select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), cuts)).alias("block")), "blocks")
+    met = named.join(block, "node").groupBy("sig", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = met.groupBy("sig").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a <> b").select("sig")
+    met = stored(met.join(open_, "sig"), "block-groups")
+    x, y = met.alias("x"), met.alias("y")
+    apart = (F.col("x.lo") != F.col("y.hi")) | (F.col("x.hi") != F.col("y.lo"))
+    pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") <= F.col("y.block")) & apart).select(
+        F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
+    pairs = stored(pairs, "block-pairs")
+    of = named.select("node", "component").distinct()
+    members = stored(block.join(of, "node").join(sets.select("node", "features"), "node"), "block-members")
+    left = pairs.join(members, F.col("a") == F.col("block")).select("a", "b", F.lit(0).alias("side"), "node", "component", "features")
+    right = pairs.where("a <> b").join(members, F.col("b") == F.col("block")).select("a", "b", F.lit(1).alias("side"), "node", "component", "features")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            sig, comp, node, n = rows
-            ends = np.searchsorted(sig, sig, "right")
-            border = np.ones(len(sig), dtype=bool)
-            border[1:] = (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])
-            runs = np.append(np.flatnonzero(border), len(sig))
-            first = np.repeat(runs[1:], np.diff(runs))  # the next component's first row
-            count = ends - first
-            upto = np.cumsum(count)
-            at = 0
-            while at < len(sig):
-                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIR_BLOCK, "right")))
-                a = np.repeat(np.arange(at, to), count[at:to])
-                b = spans(first[at:to], count[at:to])
-                near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-                u, v = np.minimum(node[a], node[b])[near], np.maximum(node[a], node[b])[near]
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-                at = to
+        key, held = None, ([], [])
+
+        def links() -> pa.RecordBatch:
+            found = _join_blocks(held[0], held[1] if key[0] != key[1] else held[0], percent) if held[0] else []
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            rows = np.stack([np.asarray(batch.column(k)) for k in range(4)])
-            if held:
-                rows = np.concatenate([*held, rows], axis=1)
-            cut = int(np.searchsorted(rows[0], rows[0, -1])) if rows.shape[1] else 0
-            if cut:
-                yield from pairs(rows[:, :cut])
-            held = [rows[:, cut:]]
-        if held and held[0].shape[1]:
-            yield from pairs(held[0])
+            features, offsets = _batch_sets(batch, 5)
+            for r, (a, b, side, node, component) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                if (a, b) != key:
+                    if key:
+                        yield links()
+                    key, held = (a, b), ([], [])
+                held[side].append((node, component, features[offsets[r] : offsets[r + 1]]))
+        if key:
+            yield links()
 
-    return run
+    return left.unionByName(right).repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(run, "u long, v long")
+
+
+def _named(sized: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The signature groups with each node's component so far."""
+    if comp is None:
+        return sized.withColumn("component", F.col("node"))
+    return sized.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -436,23 +455,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # the texts of the nodes that are left, once each
     wanted = passed.alias("p").join(texts.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id"))).select("p.node", "t.text")
     sets = stored(wanted.mapInArrow(_sets(percent), "node long, n long, features binary").dropDuplicates(["node"]), "sets")
-    groups = _signature_groups(sets, percent)
-    sized = groups.join(sets.select("node", "n"), "node")
-    sized = stored(sized, "sized-groups")
-    # each node with the centre that it shares most signatures with
-    least = sized.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("c"))
-    met = sized.join(least, "sig").where(
-        (F.col("node") != F.col("c.node")) & (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))))
-    best = met.groupBy("node", F.col("c.node").alias("u")).agg(F.count("*").alias("k")).groupBy("node").agg(F.max(F.struct("k", "u")).alias("b"))
-    first = stored(best.select(F.col("b.u").alias("u"), F.col("node").alias("v")), "centre-pairs")
-    links = stored(_verified(first, sets, percent), "centre-links")
-    comp = stored(components(links), "centre-components")
-    named = sized.join(comp, "node", "left").select("sig", F.coalesce("component", "node").alias("component"), "node", "n")
-    mixed = named.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("sig")
-    open_ = named.join(mixed, "sig").select("sig", "component", "node", "n")
-    pairs = open_.repartition("sig").sortWithinPartitions("sig", "component").mapInArrow(_across(percent), "u long, v long").distinct()
-    tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    more = stored(_verified(stored(pairs.join(tried, ["u", "v"], "left_anti"), "cross-pairs"), sets, percent), "cross-links")
+    sized = stored(_signature_groups(sets, percent).join(sets.select("node", "n"), "node"), "signature-groups")
+    links, tried, comp = None, None, None
+    for turn in range(CENTRE_ROUNDS):
+        named = _named(sized, comp)
+        rank = F.col("degree") if not turn else F.xxhash64("node", F.lit(turn))
+        centre = named.groupBy("sig").agg(F.max(F.struct(rank.alias("rank"), "node", "component", "n")).alias("c"))
+        met = named.join(centre, "sig").where(
+            (F.col("component") != F.col("c.component")) & (100 * F.least("n", F.col("c.n")) >= percent * F.greatest("n", F.col("c.n"))))
+        met = met.groupBy("node", F.col("c.node").alias("u")).agg(F.count("*").alias("k"))
+        if tried is not None:
+            met = met.join(tried.select(F.col("v").alias("node"), "u"), ["node", "u"], "left_anti")
+        pairs = stored(met.groupBy("node").agg(F.max(F.struct("k", "u")).alias("b")).select(F.col("b.u").alias("u"), F.col("node").alias("v")), "centre-pairs")
+        if not turn:
+            # the centre of the centre's centre: few families for one crowd
+            family = sized.select("node").distinct().withColumn("family", F.col("node"))
+            for _ in range(3):
+                family = family.join(pairs.select(F.col("v").alias("family"), "u"), "family", "left").select(
+                    "node", F.coalesce("u", "family").alias("family"))
+        found = _verified(pairs, sets, percent)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        links = stored(found if links is None else links.unionByName(found), "centre-links")
+        comp = stored(components(links), "centre-components")
+    more = stored(_block_links(_named(sized, comp), family, sets, percent), "block-links")
     comp = components(links.unionByName(more))
     nodes = profiles.where("task >= 0").select("doc_id", "n", "node").join(comp, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
