@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import text_of
 from funnelkit.llm.words import bare, byte_hash, chunks, spans, words
 
-FEATURES, RANK, CELL = 1 << 14, 48, 16
+FEATURES, RANK, CELL = 1 << 14, 40, 16
 #: cells of a window, by the longest item searched with it
 WINDOWS = {2: 40, 4: 1 << 40}
-COSINE = 0.28
+COSINE = 0.3
 COPY, CORE, PARAPHRASE, ANSWER = 0.7, 0.55, 0.4, 0.8
 #: content words weigh so much of the greatest weight at least
 CONTENT = 0.6
@@ -72,6 +72,15 @@ def _vectors(total: np.ndarray) -> pa.RecordBatch:
         [pa.array(np.arange(len(total), dtype=np.int32)), *[pa.array(c) for c in total.T.copy()]], names=["feature", *[f"v{k}" for k in range(total.shape[1])]])
 
 
+def _by_group(values: np.ndarray, at: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Sums of values[at] (rows x rank) by group, a column at a time: each is
+    one weighted count over a table that stays in the processor's cache."""
+    out = np.empty((groups, values.shape[1]), dtype=np.float32)
+    for k in range(values.shape[1]):
+        out[:, k] = np.bincount(group, values[:, k].take(at), groups)
+    return out
+
+
 def _added(texts: DataFrame, task, rows: int, width: int) -> np.ndarray:
     """The sum of all tasks' vectors (rows x width): an aggregate by feature,
     whose result has a fixed size."""
@@ -103,21 +112,17 @@ def fit_space(docs: DataFrame, seed: int = 9) -> Space:
     test = np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32) * weight[:, None]
+        weighted = np.asfortranarray(np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32) * weight[:, None], dtype=np.float64)
         total = np.zeros((FEATURES, RANK))
         for batch in chunks(batches, "text"):
             h, first = _words(batch.column(0))
             if not len(h):
                 continue
-            _, cell = _cells(first)
-            column = (h % np.uint64(FEATURES)).astype(np.uint16)
-            start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            norm = np.maximum(np.sqrt(np.add.reduceat(weight[column] ** 2, start)), 1e-6)
-            met = np.add.reduceat(weighted[column], start, axis=0) / (norm * norm)[:, None]
-            order = np.argsort(column, kind="stable")
-            sorted_ = column[order]
-            at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
-            total[sorted_[at]] += np.add.reduceat(met[cell[order] - cell[0]], at, axis=0)
+            upto, cell = _cells(first)
+            column = (h % np.uint64(FEATURES)).astype(np.int64)
+            squared = np.maximum(np.bincount(cell, weight[column] ** 2, upto[-1]), 1e-6)
+            met = np.asfortranarray(_by_group(weighted, column, cell, upto[-1]) / squared[:, None])
+            total += _by_group(met, cell, column, FEATURES)
         yield _vectors(total * weight[:, None])
 
     y = _added(texts, sketch, FEATURES, RANK)
@@ -176,7 +181,7 @@ def _search(space: Space, items: Items):
     """The task: hits of all items in the texts of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapped = (space.weight[:, None] * space.basis).astype(np.float32)
+        mapped = np.asfortranarray(space.weight[:, None] * space.basis, dtype=np.float64)
         length = np.array([len(x) for x in items.words])
         content = space.weight >= CONTENT * space.weight.max()
         heavy = lambda x: x[content[(x % np.uint64(FEATURES)).astype(np.int64)]]
@@ -204,8 +209,8 @@ def _search(space: Space, items: Items):
                 continue
             upto, cell = _cells(first)
             start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-            column = (h % np.uint64(FEATURES)).astype(np.int32)
-            latent = np.add.reduceat(mapped[column], start, axis=0)
+            column = (h % np.uint64(FEATURES)).astype(np.int64)
+            latent = _by_group(mapped, column, cell, upto[-1])
             row = np.repeat(np.arange(len(first) - 1), np.diff(upto))
             hits: dict[tuple[int, int], tuple] = {}
             floor = 0
