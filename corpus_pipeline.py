@@ -7,10 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import ship, stored, table
-from funnelkit.llm.common import scratch
+from funnelkit.llm.common import scratch, ship, stored, table
 from funnelkit.llm.decontaminate import remove_contaminated
 from funnelkit.llm.mixing import mix_documents
+from funnelkit.llm.native import SPACES
 from funnelkit.llm.ngram_join import near_duplicates
 from funnelkit.llm.quality_model import keep_good
 from funnelkit.llm.sharding import write_shards
@@ -33,12 +33,17 @@ def keep_first_of_groups(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     # a document stays if it names its component, or has no words
     stays = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(stays.alias("s"), docs["doc_id"].cast("long").eqNullSafe(F.col("s.doc_id")), "left_semi")
-    # rows that share an id: one for each text, whatever their number
-    text = F.coalesce(kept["text"].cast("string"), F.lit(""))
-    same = Window.partitionBy(kept["doc_id"]).orderBy(F.xxhash64(text))
-    spare = "_" + max(docs.columns, key=len) + "_place"
-    return kept.withColumn(spare, F.row_number().over(same)).where((F.col(spare) == 1) | (F.length(F.trim(text)) == 0)).drop(spare)
+    # names that no column of the input has; the join and the window use the
+    # same key, so the texts are shuffled once
+    spare = "_" + max(docs.columns, key=len)
+    key, null, place = f"{spare}_id", f"{spare}_null", f"{spare}_place"
+    known = lambda c: (F.coalesce(c.cast("long"), F.lit(0)).alias(key), c.isNull().alias(null))
+    kept = docs.select("*", *known(docs["doc_id"])).join(stays.select(*known(F.col("doc_id"))), [key, null], "left_semi")
+    # rows that share an id: one of them, unless they have no words
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = Window.partitionBy(key, null).orderBy(F.xxhash64(text))
+    kept = kept.withColumn(place, F.row_number().over(same))
+    return kept.where((F.col(place) == 1) | (F.translate(text, SPACES, "") == "")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
