@@ -30,7 +30,7 @@ from funnelkit.llm.quality_model import labelled_sample
 from funnelkit.llm.words import bare, byte_hash, chunks, spans, words
 
 WINDOW, STRIDE = 32, 16
-FIT_ROWS, FIT_WORDS = 4_000, 2_048
+FIT_ROWS, FIT_WORDS = 3_000, 1_024
 THRESHOLD = 0.3
 WORD_ROWS, GRAM_ROWS, GRAM = 1 << 18, 1 << 18, 5
 #: lengths of the beginnings
@@ -201,11 +201,21 @@ def worst(p: dict, x: Inputs) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 # ------------------------------------------------------------------- training
 
-def _odds(doc: np.ndarray, row: np.ndarray, y: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shrunk log odds of a text with this row to be toxic; the texts it is in."""
-    pair = np.unique(doc * rows + row)
-    has = np.bincount(pair % rows, minlength=rows)
-    bad = np.bincount(pair % rows, y[pair // rows], rows)
+def _odds(x: Inputs, y: np.ndarray, rows: int, grams: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Shrunk log odds of a text with this row (a word's, or an n-gram's) to be
+    toxic, and the texts it is in; counted over a few texts at a time."""
+    has, bad = np.zeros(rows), np.zeros(rows)
+    at = np.cumsum(x.count) - x.count
+    for a in range(0, len(y), 100):
+        b = min(a + 100, len(y))
+        doc = np.repeat(np.arange(a, b), np.diff(x.first[a : b + 1]))
+        pair = np.unique((doc - a) * len(x.row) + x.word[x.first[a] : x.first[b]])
+        doc, word = pair // max(len(x.row), 1), pair % max(len(x.row), 1)
+        row = x.gram[spans(at[word], x.count[word])] if grams else x.row[word]
+        doc = np.repeat(doc, x.count[word]) if grams else doc
+        pair = np.unique(doc * rows + row)
+        has += np.bincount(pair % rows, minlength=rows)
+        bad += np.bincount(pair % rows, y[a + pair // rows], rows)
     lift = np.log((bad + 0.2) / (y.sum() + 0.4)) - np.log((has - bad + 0.2) / ((1 - y).sum() + 0.4))
     return np.where(has >= LEAST, np.clip(lift, -1, 5) * has / (has + 6), 0), has
 
@@ -231,11 +241,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 10) -> dict[str, np.ndarr
     if not len(y) or y.min() == y.max():
         return p
     x = inputs(pa.array(texts, pa.string()))
-    doc = np.repeat(np.arange(len(y)), np.diff(x.first))
     at = np.cumsum(x.count) - x.count
-    odds, has = _odds(doc, x.row[x.word], y, WORD_ROWS)
-    of = spans(at[x.word], x.count[x.word])
-    gram_odds, gram_has = _odds(np.repeat(doc, x.count[x.word]), x.gram[of], y, GRAM_ROWS)
+    odds, has = _odds(x, y, WORD_ROWS, False)
+    gram_odds, gram_has = _odds(x, y, GRAM_ROWS, True)
     p["words"], p["word_at"] = _table(rng, odds, has)
     p["grams"], p["gram_at"] = _table(rng, gram_odds, gram_has)
     net = {k: v for k, v in p.items() if k != "cal"}
