@@ -81,6 +81,18 @@ def _by_group(values: np.ndarray, at: np.ndarray, group: np.ndarray, groups: int
     return out
 
 
+def _by_cell(values: np.ndarray, at: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Sums of values[at] (rows x rank) by cell, all first words, then all
+    second ones and so on: whole rows are added, one gather for each place."""
+    start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(np.append(start, len(cell)))
+    out = values.take(at[start], axis=0)
+    for k in range(1, CELL):
+        has = np.flatnonzero(size > k)
+        out[has] += values.take(at[start[has] + k], axis=0)
+    return out
+
+
 def _added(texts: DataFrame, task, rows: int, width: int) -> np.ndarray:
     """The sum of all tasks' vectors (rows x width): an aggregate by feature,
     whose result has a fixed size."""
@@ -112,7 +124,7 @@ def fit_space(docs: DataFrame, seed: int = 9) -> Space:
     test = np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weighted = np.asfortranarray(np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32) * weight[:, None], dtype=np.float64)
+        weighted = np.random.default_rng(seed).standard_normal((FEATURES, RANK)).astype(np.float32) * weight[:, None]
         total = np.zeros((FEATURES, RANK))
         for batch in chunks(batches, "text"):
             h, first = _words(batch.column(0))
@@ -121,7 +133,7 @@ def fit_space(docs: DataFrame, seed: int = 9) -> Space:
             upto, cell = _cells(first)
             column = (h % np.uint64(FEATURES)).astype(np.int64)
             squared = np.maximum(np.bincount(cell, weight[column] ** 2, upto[-1]), 1e-6)
-            met = np.asfortranarray(_by_group(weighted, column, cell, upto[-1]) / squared[:, None])
+            met = np.asfortranarray(_by_cell(weighted, column, cell) / squared[:, None])
             total += _by_group(met, cell, column, FEATURES)
         yield _vectors(total * weight[:, None])
 
@@ -181,7 +193,7 @@ def _search(space: Space, items: Items):
     """The task: hits of all items in the texts of its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapped = np.asfortranarray(space.weight[:, None] * space.basis, dtype=np.float64)
+        mapped = (space.weight[:, None] * space.basis).astype(np.float32)
         length = np.array([len(x) for x in items.words])
         content = space.weight >= CONTENT * space.weight.max()
         heavy = lambda x: x[content[(x % np.uint64(FEATURES)).astype(np.int64)]]
@@ -210,7 +222,7 @@ def _search(space: Space, items: Items):
             upto, cell = _cells(first)
             start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             column = (h % np.uint64(FEATURES)).astype(np.int64)
-            latent = _by_group(mapped, column, cell, upto[-1])
+            latent = _by_cell(mapped, column, cell)
             row = np.repeat(np.arange(len(first) - 1), np.diff(upto))
             hits: dict[tuple[int, int], tuple] = {}
             floor = 0

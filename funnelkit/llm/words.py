@@ -104,14 +104,34 @@ _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 
 
+def _outer(data: np.ndarray, at: np.ndarray, stop: np.ndarray, step: int) -> np.ndarray:
+    """Each word's first byte from ``at`` on (in steps of 1 or -1) that isn't
+    punctuation; not past ``stop``, where the last byte of the word is."""
+    at = at.copy()
+    left = np.flatnonzero(_PUNCT[data[at]] & (at != stop))
+    for _ in range(8):
+        at[left] += step
+        left = left[_PUNCT[data[at[left]]] & (at[left] != stop[left])]
+        if not len(left):
+            return at
+    # long runs of punctuation: the nearest other byte of every place
+    place = np.arange(len(data))
+    if step < 0:
+        at[left] = np.maximum(np.maximum.accumulate(np.where(_PUNCT[data], -1, place))[at[left]], stop[left])
+    else:
+        at[left] = np.minimum(np.minimum.accumulate(np.where(_PUNCT[data], len(data), place)[::-1])[::-1][at[left]], stop[left])
+    return at
+
+
 def bare(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The words' bounds without outer ASCII punctuation; a word of nothing
     else stays as it is."""
-    place = np.arange(len(w.data))
-    end = np.maximum.accumulate(np.where(_PUNCT[w.data], -1, place))[w.end - 1] + 1
-    start = np.minimum.accumulate(np.where(_PUNCT[w.data], len(w.data), place)[::-1])[::-1][w.start]
-    ok = (end > w.start) & (start < end)
-    return np.where(ok, start, w.start), np.where(ok, end, w.end)
+    if not len(w):
+        return w.start, w.end
+    last = _outer(w.data, w.end - 1, w.start, -1)
+    only = _PUNCT[w.data[last]]  # nothing but punctuation
+    start = np.where(only, w.start, _outer(w.data, w.start, last, 1))
+    return start, np.where(only, w.end, last + 1)
 
 
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -54,6 +54,16 @@ def test_words(texts):
     assert [(int(r), bytes(w.data[a:b]).decode()) for r, a, b in zip(w.row, w.start, w.end, strict=True)] == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab.,! \n", max_size=30), max_size=5), st.integers(0, 12))
+def test_bare_words(texts, run):
+    w = words.words(pa.array([t.replace("!", "!" * run) for t in texts], pa.string()))
+    lo, hi = words.bare(w)
+    got = [bytes(w.data[a:b]).decode() for a, b in zip(lo, hi, strict=True)]
+    whole = [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end, strict=True)]
+    assert got == [x.strip(".,!") or x for x in whole]
+
+
 def test_token_files(spark, docs):
     lib = token_files._encoder(queries.tokenizer_path()).lib
     got, at = {r.doc_id: r for r in run(spark, "op1_token_files")}, 0
