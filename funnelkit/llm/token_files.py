@@ -44,6 +44,8 @@ BLOCK = 512
 SEGMENT_IDS = 1 << 17
 #: distinct text pieces a worker remembers
 CACHE_PIECES = 2_000_000
+#: new pieces that go to the library in one text
+JOINED = 64
 
 _SEGMENTS = "part int, seg int, doc_ids array<long>, doc_lengths array<long>, n_ids long, payload binary"
 
@@ -163,6 +165,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.bytes_of = np.zeros(self.lib.get_vocab_size(with_added_tokens=True), dtype=np.int64)
+        for token, k in self.lib.get_vocab(with_added_tokens=True).items():
+            self.bytes_of[k] = len(token)  # a byte-level token has a character for each byte
         self.added = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -172,19 +177,44 @@ class PieceEncoder:
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.at = np.zeros(1 << 16, dtype=np.int64)
 
-    def _remember(self, keys: np.ndarray, pieces: list[str]) -> None:
-        own = [e.ids for e in self.lib.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _remember(self, keys: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces, keep their ids and return their numbers.  Pieces that start with white
+        space are joined, as every joint is a cut; the ids are dealt back by
+        their bytes, and a joint text whose ids don't end where its pieces do
+        is encoded piece by piece."""
+        size = np.array([len(p) for p in pieces])
+        open_ = np.array([p[0] not in _BLANKS for p in pieces])
+        order = np.argsort(~open_, kind="stable")  # pieces without white space first, each a text of its own
+        alone = int(open_.sum())
+        start = np.concatenate([np.arange(alone), np.arange(alone, len(pieces), JOINED)]).astype(np.int64)
+        stop = np.append(start[1:], len(pieces))
+        ordered = [pieces[k] for k in order.tolist()]
+        flat, count = [], np.empty(len(pieces), dtype=np.int64)
+        joint = [b"".join(ordered[a:b]).decode() for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+        for lo, hi, found in zip(start.tolist(), stop.tolist(), self.lib.encode_batch_fast(joint, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=np.uint32)
+            ends, upto = np.cumsum(size[order[lo:hi]]), np.cumsum(self.bytes_of[ids])
+            to = np.searchsorted(upto, ends)
+            if not len(ids) or upto[-1] != ends[-1] or (upto[to] != ends).any():
+                each = [self._whole(p.decode()) for p in ordered[lo:hi]]
+                ids, to = np.concatenate(each), np.cumsum([len(x) for x in each]) - 1
+            flat.append(ids)
+            count[lo:hi] = np.diff(to + 1, prepend=0)
+        ids = np.concatenate(flat)
         n, first = len(self.keys), int(self.at[len(self.keys)])
-        ends = first + np.cumsum([len(x) for x in own])
-        while n + len(own) >= len(self.at):
+        ends = first + np.cumsum(count)
+        while n + len(count) >= len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.at[n + 1 : n + 1 + len(own)] = ends
-        self.flat[first : ends[-1]] = [i for x in own for i in x]
+        self.at[n + 1 : n + 1 + len(count)] = ends
+        self.flat[first : ends[-1]] = ids
+        number = np.empty(len(count), dtype=np.int64)
+        number[order] = np.arange(n, n + len(count))
         to = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, to, keys)
-        self.number = np.insert(self.number, to, np.arange(n, n + len(own)))
+        self.number = np.insert(self.number, to, number)
+        return number
 
     def _odd(self, w: Words) -> np.ndarray:
         """Texts that are not cut here: white space at an end or in a run, or
@@ -239,14 +269,18 @@ class PieceEncoder:
         lo, hi = np.empty(len(start) + len(tail), dtype=np.int64), np.empty(len(start) + len(tail), dtype=np.int64)
         lo[to], hi[to] = start - spaced, core
         lo[to[tail] + 1], hi[to[tail] + 1] = core[tail], end[tail]
+        if whole.any():  # texts that the library gets whole need no pieces
+            cut = ~whole[np.searchsorted(w.text, lo, "right") - 1]
+            lo, hi = lo[cut], hi[cut]
+        if not len(lo):
+            return [self._whole(t) if odd else np.zeros(0, dtype=np.uint32) for t, odd in zip(texts.to_pylist(), whole, strict=True)]
         keys, at, which = np.unique(byte_hash(data, lo, hi), return_index=True, return_inverse=True)
         near = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[near] != keys) if len(self.keys) else np.arange(len(keys))
         got = self.number[near] if len(self.keys) else np.zeros(len(keys), dtype=np.int64)
         if len(new):
-            got[new] = len(self.keys) + np.arange(len(new))
             flat = data.tobytes()
-            self._remember(keys[new], [flat[a:b].decode() for a, b in zip(lo[at[new]].tolist(), hi[at[new]].tolist(), strict=True)])
+            got[new] = self._remember(keys[new], [flat[a:b] for a, b in zip(lo[at[new]].tolist(), hi[at[new]].tolist(), strict=True)])
         got = got[which]
         first = self.at[got]
         size = self.at[got + 1] - first
@@ -260,8 +294,9 @@ class PieceEncoder:
 
 _PUNCT = np.zeros(256, dtype=bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+_BLANKS = b"\t\n\x0b\x0c\r "
 _BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BLANK[list(_BLANKS)] = True
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
 
