@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import scratch, ship, stored, table
+from funnelkit.llm.common import scratch, ship, stored, table, text_of
 from funnelkit.llm.decontaminate import remove_contaminated
 from funnelkit.llm.mixing import mix_documents
 from funnelkit.llm.native import SPACES
@@ -24,26 +24,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the least id
-    (of repeated ids the first text by hash); documents without words stay."""
+    (null ids last), of that id's texts the first by hash, of equal rows any
+    one; documents without words stay."""
     ship(spark)
     return keep_first_of_groups(docs)
 
 
 def keep_first_of_groups(docs: DataFrame) -> DataFrame:
-    found = near_duplicates(docs)
-    # a document stays if it names its component, or has no words
-    stays = found.where((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    # names that no column of the input has; the join and the window use the
+    found = near_duplicates(docs).where("n_shingles > 0")
+    # the least row of each group, told by its id and the hash of its text:
+    # ids may be null or repeated
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node", "same")).alias("r"))
+    # names that no column of the input has; the window and the join use the
     # same key, so the texts are shuffled once
     spare = "_" + max(docs.columns, key=len)
-    key, null, place = f"{spare}_id", f"{spare}_null", f"{spare}_place"
-    known = lambda c: (F.coalesce(c.cast("long"), F.lit(0)).alias(key), c.isNull().alias(null))
-    kept = docs.select("*", *known(docs["doc_id"])).join(stays.select(*known(F.col("doc_id"))), [key, null], "left_semi")
-    # rows that share an id: one of them, unless they have no words
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = Window.partitionBy(key, null).orderBy(F.xxhash64(text))
-    kept = kept.withColumn(place, F.row_number().over(same))
-    return kept.where((F.col(place) == 1) | (F.translate(text, SPACES, "") == "")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, null, same, place = f"{spare}_id", f"{spare}_null", f"{spare}_same", f"{spare}_place"
+    known = lambda doc_id, text: (F.coalesce(doc_id.cast("long"), F.lit(0)).alias(key), doc_id.isNull().alias(null), text.alias(same))
+    text = text_of(docs)
+    wordless = F.translate(text, SPACES, "") == ""
+    rows = docs.where(~wordless).select("*", *known(docs["doc_id"].cast("long"), F.xxhash64(text)))
+    # of equal rows one, before the shuffle too: a filter on the place alone
+    equal = Window.partitionBy(key, null, same).orderBy(F.lit(0))
+    one = rows.withColumn(place, F.row_number().over(equal)).where(F.col(place) == 1)
+    kept = one.join(least.select(*known(F.col("r.doc_id"), F.col("r.same"))), [key, null, same], "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where(wordless))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,10 +121,11 @@ def _profile(percent: int):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        names, sizes, prints, samples = [], [], [], []
+        names, texts, sizes, prints, samples = [], [], [], [], []
         for batch in chunks(batches, "text"):
             features, offsets = shingle_sets(batch.column(1))
             names += batch.column(0).to_pylist()
+            texts.append(np.asarray(batch.column(2)))
             sizes.append(np.diff(offsets))
             prints.append(fingerprints(features, offsets))
             kept = (features >> np.uint64(40)) % np.uint64(SIEVE) == 0
@@ -132,7 +133,7 @@ def _profile(percent: int):
             samples.append((features[kept], np.diff(upto[offsets])))
         if not names:
             return
-        size, name = np.concatenate(sizes), np.concatenate(prints)
+        size, name, same = np.concatenate(sizes), np.concatenate(prints), np.concatenate(texts)
         _, first = np.unique(name, return_index=True)
         own = np.zeros(len(name), dtype=bool)
         own[first] = True
@@ -157,7 +158,7 @@ def _profile(percent: int):
             b = min(a + 4096, len(name))
             lists = pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), pa.array(open_[ends[a] : ends[b]]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names[a:b], pa.int64()), pa.array(size[a:b]), pa.array(name[a:b]), pa.array(np.full(b - a, task)), pa.array(own[a:b]),
+                [pa.array(names[a:b], pa.int64()), pa.array(same[a:b]), pa.array(size[a:b]), pa.array(name[a:b]), pa.array(np.full(b - a, task)), pa.array(own[a:b]),
                  pa.array(need[a:b]), pa.array(credit[a:b]), lists], names=_PROFILE_NAMES)
         # a settled feature goes on with two of its nodes, for other tasks
         twice = times > 1
@@ -168,14 +169,14 @@ def _profile(percent: int):
                 k = len(marks[part])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32)), pa.array(f[twice][part].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), pa.array(marks[part]), pa.array(np.full(k, -1)), pa.array(np.zeros(k, dtype=bool)),
+                    [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.full(k, -1)), pa.array(marks[part]), pa.array(np.full(k, -1)), pa.array(np.zeros(k, dtype=bool)),
                      pa.array(np.zeros(k, dtype=np.int64)), pa.array(np.zeros(k, dtype=np.int64)), lists], names=_PROFILE_NAMES)
 
     return run
 
 
-_PROFILE_NAMES = ["doc_id", "n", "node", "task", "own", "need", "credit", "open"]
-_PROFILE = "doc_id long, n long, node long, task long, own boolean, need long, credit long, open array<long>"
+_PROFILE_NAMES = ["doc_id", "same", "n", "node", "task", "own", "need", "credit", "open"]
+_PROFILE = "doc_id long, same long, n long, node long, task long, own boolean, need long, credit long, open array<long>"
 
 
 def _survivors(profiles: DataFrame) -> DataFrame:
@@ -438,7 +439,8 @@ def _named(sized: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and node of every row of ``docs``.
+    """doc_id, n_shingles, component_id, node (of the shingle set), component
+    (of the nodes) and same (hash of the text) of every row of ``docs``.
 
     Two documents link if 100 * intersection >= percent * union of their
     shingle sets.  component_id is the least doc_id reachable by links.
@@ -449,7 +451,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     component's ids are null.  An empty table gives no rows; other columns are
     not read.
     """
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    text = text_of(docs)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("same"))
     profiles = stored(texts.mapInArrow(_profile(percent), _PROFILE), "profiles")
     passed = stored(_survivors(profiles), "survivors")
     # the texts of the nodes that are left, once each
@@ -479,12 +482,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         comp = stored(components(links), "centre-components")
     more = stored(_block_links(_named(sized, comp), family, sets, percent), "block-links")
     comp = components(links.unionByName(more))
-    nodes = profiles.where("task >= 0").select("doc_id", "n", "node").join(comp, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
+    nodes = profiles.where("task >= 0").select("doc_id", "same", "n", "node").join(comp, "node", "left").select(
+        "doc_id", "same", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "node").alias("component"))
     nodes = stored(nodes, "nodes")
     name = nodes.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = nodes.join(name, "component", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "component", "same")
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -65,3 +65,18 @@ def test_pipeline_stages_keep_columns(spark, docs_of, tmp_path):
     assert mixed.columns == docs.columns
     clean = decontaminate.remove_contaminated(docs, spark.createDataFrame([(1, ODD[6][1])], "item_id long, text string"))
     assert clean.columns == docs.columns and clean.where("doc_id = 6").count() == 0 and clean.count() == len(ODD) - 2
+
+
+def test_pipeline_keeps_a_text_of_every_group(spark, docs_of):
+    """Null ids and repeated ids with different texts: no clean text is lost."""
+    from corpus_pipeline import keep_first_of_groups
+
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (5, text(3)), *[(5, text(k)) for k in range(4, 12)],
+            (20, text(20)), (20, text(20) + " more"), (None, text(20)), (21, text(21)), (21, text(21).upper()), (None, " "), (None, None), (22, ""), (22, "")]
+    kept = [(r.doc_id, r.text) for r in keep_first_of_groups(docs_of(rows)).collect()]
+    # one text of every group, under the group's least id
+    group = {(i, (t or "").lower().removesuffix(" more")) for i, t in kept}
+    assert group == {(None, text(0)), (None, text(1)), (None, text(2)), (3, text(3)), *[(5, text(k)) for k in range(4, 12)],
+                     (20, text(20)), (21, text(21)), (None, " "), (None, ""), (22, "")}
+    assert len(kept) == len(group) + 1
