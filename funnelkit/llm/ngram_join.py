@@ -180,14 +180,20 @@ _PROFILE = "doc_id long, same long, n long, node long, task long, own boolean, n
 
 
 def _survivors(profiles: DataFrame) -> DataFrame:
-    """(node, doc_id) of the nodes that may have a link: enough of their
+    """(node, doc_id, same) of the nodes that may have a link: enough of their
     sampled features lie in another node too."""
     rows = profiles.where("own or task = -1").select(F.explode("open").alias("feature"), "node", "task")
     flat = rows.groupBy("feature").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("feature")
     owned = rows.where("task >= 0").join(flat, "feature", "left_semi").groupBy("node", "task").agg(F.count("*").alias("k"))
-    nodes = profiles.where("own").select("node", "task", "need", "credit", "doc_id")
+    nodes = profiles.where("own").select("node", "task", "need", "credit", "doc_id", "same")
     passed = nodes.join(owned, ["node", "task"], "left").where(F.col("credit") + F.coalesce("k", F.lit(0)) >= F.col("need"))
-    return passed.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    return passed.groupBy("node").agg(F.min(F.struct("doc_id", "same")).alias("r")).select("node", "r.*")
+
+
+def _texts_of(passed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text): each node meets its own row's text, not all of its id."""
+    row = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.same") == F.col("t.same"))
+    return passed.alias("p").join(texts.alias("t"), row).select("p.node", "t.text")
 
 
 # ------------------------------------------------------------- the signatures
@@ -456,8 +462,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     profiles = stored(texts.mapInArrow(_profile(percent), _PROFILE), "profiles")
     passed = stored(_survivors(profiles), "survivors")
     # the texts of the nodes that are left, once each
-    wanted = passed.alias("p").join(texts.alias("t"), F.col("p.doc_id").eqNullSafe(F.col("t.doc_id"))).select("p.node", "t.text")
-    sets = stored(wanted.mapInArrow(_sets(percent), "node long, n long, features binary").dropDuplicates(["node"]), "sets")
+    sets = stored(_texts_of(passed, texts).mapInArrow(_sets(percent), "node long, n long, features binary").dropDuplicates(["node"]), "sets")
     sized = stored(_signature_groups(sets, percent).join(sets.select("node", "n"), "node"), "signature-groups")
     links, tried, comp = None, None, None
     for turn in range(CENTRE_ROUNDS):

@@ -270,3 +270,12 @@ def test_toxicity_gradients():
         down = loss()
         p[k][at] = old
         assert (up - down) / 2e-2 == pytest.approx(float(g[k][at]), abs=2e-4)
+
+
+def test_texts_of_one_id_meet_only_their_own_nodes(spark):
+    """As many texts are fetched as nodes are left, not all pairs of one id."""
+    rows = [(None if k % 2 else 7, f"a text of its own {k}", k) for k in range(40)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string, same long")
+    passed = texts.selectExpr("same + 100 as node", "doc_id", "same")
+    got = ngram_join._texts_of(passed, texts).collect()
+    assert sorted((r.node, r.text) for r in got) == [(100 + k, t) for _, t, k in rows]
