@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from funnelkit.llm.common import text_of
 from funnelkit.llm.words import bare, byte_hash, chunks, spans, words
 
-FEATURES, RANK, CELL = 1 << 14, 40, 16
+FEATURES, RANK, CELL = 1 << 14, 48, 16
 #: cells of a window, by the longest item searched with it
 WINDOWS = {2: 40, 4: 1 << 40}
-COSINE = 0.3
+COSINE = 0.28
 COPY, CORE, PARAPHRASE, ANSWER = 0.7, 0.55, 0.4, 0.8
 #: content words weigh so much of the greatest weight at least
 CONTENT = 0.6
