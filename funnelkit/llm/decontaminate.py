@@ -6,7 +6,8 @@
    TF-IDF rows A with a seeded random R; with R'Y it gives the leading right
    singular vectors of A (a randomised SVD by one power step, Nystrom's form).
    Tasks send sketches of fixed size, which are added up by column.
-3. *Candidates.*  Every document is read in overlapping windows of two lengths;
+3. *Candidates.*  Every document is read in overlapping windows, whose lengths
+   double up to that of the longest item (see ``windows_of``);
    a window and a benchmark item are a candidate if the cosine of their whitened
    latent vectors passes ``COSINE`` and the window has enough of the item's words.
 4. *Checks.*  The longest common subsequence of the item and the text around
@@ -34,8 +35,9 @@ from funnelkit.llm.common import text_of
 from funnelkit.llm.words import bare, byte_hash, chunks, spans, words
 
 FEATURES, RANK, CELL = 1 << 14, 48, 16
-#: cells of a window, by the longest item searched with it
-WINDOWS = {2: 40, 4: 1 << 40}
+#: words of the longest item searched with windows of two cells; longer ones
+#: have windows of four, eight and so on cells, up to their own length
+SHORT = 40
 COSINE = 0.28
 COPY, CORE, PARAPHRASE, ANSWER = 0.7, 0.55, 0.4, 0.8
 #: content words weigh so much of the greatest weight at least
@@ -186,6 +188,18 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
+def windows_of(length: np.ndarray, wanted: np.ndarray) -> dict[int, np.ndarray]:
+    """Items by the cells of the windows they are searched with: two cells for
+    items up to ``SHORT`` words; for longer ones four and, doubling, all up to
+    the first that holds four fifths of the item, but for those windows that
+    cannot hold as many of its content words as are wanted."""
+    found, cells, floor = {2: np.flatnonzero((length > 0) & (length <= SHORT))}, 4, SHORT
+    while (length > floor).any():
+        found[cells] = np.flatnonzero((length > floor) & (wanted <= cells * CELL))
+        floor, cells = cells * SHORT // 2, 2 * cells
+    return found
+
+
 _FOUND = "doc_id long, item_id long, kind string, lcs long, item_words long, cosine double, word_start long"
 
 
@@ -225,13 +239,11 @@ def _search(space: Space, items: Items):
             latent = _by_cell(mapped, column, cell)
             row = np.repeat(np.arange(len(first) - 1), np.diff(upto))
             hits: dict[tuple[int, int], tuple] = {}
-            floor = 0
-            for cells, longest in WINDOWS.items():
-                mine = np.flatnonzero((length > floor) & (length <= longest))
-                floor = longest
+            read: dict[tuple[int, int], tuple] = {}  # the words last compared
+            total = np.concatenate([np.zeros((1, latent.shape[1])), np.cumsum(latent, axis=0, dtype=np.float64)])
+            for cells, mine in windows_of(length, wanted).items():
                 if not len(mine):
                     continue
-                total = np.concatenate([np.zeros((1, latent.shape[1])), np.cumsum(latent, axis=0, dtype=np.float64)])
                 # windows start at every cell and end with their text
                 end = np.minimum(np.arange(len(row)) + cells, upto[row + 1])
                 vector = (total[end] - total[np.arange(len(row))]).astype(np.float32)
@@ -244,14 +256,23 @@ def _search(space: Space, items: Items):
                         item = mine[k]
                         mark = at[edge[k] : edge[k + 1]]
                         lo, hi = start[a + mark], np.minimum(start[a + mark] + cells * CELL, first[row[a + mark] + 1])
-                        held = np.add.reduceat(of_item[item][column[spans(lo, hi - lo)]], np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), dtype=np.int32)
+                        if (hi - lo).sum() < len(column):
+                            held = np.add.reduceat(of_item[item][column[spans(lo, hi - lo)]], np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), dtype=np.int32)
+                        else:
+                            upto_word = np.concatenate([[0], np.cumsum(of_item[item][column], dtype=np.int32)])
+                            held = upto_word[hi] - upto_word[lo]
                         enough = held >= wanted[item]
                         for m, c in zip(mark[enough].tolist(), cos[k, mark[enough]].tolist(), strict=True):
                             r = row[a + m]
                             key = (int(r), int(item))
                             span = len(items.words[item])
                             lo_ = max(int(first[r]), int(start[a + m]) - span)
-                            text = h[lo_ : min(int(first[r + 1]), int(start[a + m]) + cells * CELL + span)]
+                            hi_ = min(int(first[r + 1]), int(start[a + m]) + cells * CELL + span)
+                            # words inside those compared before add nothing
+                            if key in read and read[key][0] <= lo_ and hi_ <= read[key][1]:
+                                continue
+                            read[key] = (lo_, hi_)
+                            text = h[lo_:hi_]
                             lcs = common_subsequence(items.words[item], text)
                             if key in hits and hits[key][0] >= lcs:
                                 continue

@@ -279,3 +279,27 @@ def test_texts_of_one_id_meet_only_their_own_nodes(spark):
     passed = texts.selectExpr("same + 100 as node", "doc_id", "same")
     got = ngram_join._texts_of(passed, texts).collect()
     assert sorted((r.node, r.text) for r in got) == [(100 + k, t) for _, t, k in rows]
+
+
+def planted(rng, vocabulary, items, edit, room):
+    """A document for each item: noise, the edited item, noise."""
+    noise = lambda n: list(rng.choice(vocabulary, n))
+    return [" ".join(noise(room) + edit(list(x)) + noise(room)) for x in items]
+
+
+def found_pairs(spark, docs_of, items, texts):
+    benchmark = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    from funnelkit.llm.decontaminate import op9
+
+    return {(r.doc_id, r.item_id) for r in op9(docs_of(texts), benchmark).collect()}
+
+
+def test_long_items_are_found(spark, docs_of):
+    """Whole copies of 100 to 1,000 words, and a cut one, lie in longer texts."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{k}" for k in range(5_000)]
+    items = [list(rng.choice(vocabulary, n)) for n in (100, 170, 300, 1_000)]
+    cut = lambda x: x[: len(x) * 3 // 4]
+    texts = planted(rng, vocabulary, items, list, 150) + planted(rng, vocabulary, items, cut, 150) + planted(rng, vocabulary, [[]] * 20, list, 300)
+    n = len(items)
+    assert found_pairs(spark, docs_of, items, texts) == {(k, k % n) for k in range(2 * n)}
