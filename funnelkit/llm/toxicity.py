@@ -9,8 +9,7 @@ states, and a linear layer scores the window.  A text's score is that of its
 worst window; windows overlap by half and cover the whole text.
 
 The network is trained in numpy on the driver, on a bounded sample of labelled
-texts (``FIT_ROWS``; of longer ones ``FIT_WORDS`` words in evenly spaced
-windows).  A label is on a text, not on a window: the windows of a toxic text
+texts (``FIT_ROWS``), each of them whole.  A label is on a text, not on a window: the windows of a toxic text
 that now score highest teach as toxic, those of a clean text that score
 highest, and some at random, teach as clean; this is repeated as it learns.
 """
@@ -30,7 +29,9 @@ from funnelkit.llm.quality_model import labelled_sample
 from funnelkit.llm.words import bare, byte_hash, chunks, spans, words
 
 WINDOW, STRIDE = 32, 16
-FIT_ROWS, FIT_WORDS = 3_000, 1_024
+FIT_ROWS = 4_000
+#: words of the training texts that are read at once
+FIT_BLOCK = 1 << 16
 THRESHOLD = 0.3
 WORD_ROWS, GRAM_ROWS, GRAM = 1 << 18, 1 << 18, 5
 #: lengths of the beginnings
@@ -51,6 +52,7 @@ class Inputs:
     row: np.ndarray     # embedding row of each distinct word
     gram: np.ndarray    # embedding rows of their 4-grams, one after the other
     count: np.ndarray   # how many each has
+    name: np.ndarray | None = None  # hash of each distinct word
 
 
 def inputs(texts: pa.Array) -> Inputs:
@@ -58,7 +60,7 @@ def inputs(texts: pa.Array) -> Inputs:
     w = words(texts, hashes=False)
     if not len(w):
         none = np.zeros(0, dtype=np.int64)
-        return Inputs(w.first, none, none, none, none)
+        return Inputs(w.first, none, none, none, none, none.astype(np.uint64))
     start, end = bare(w)
     h, at, which = np.unique(byte_hash(w.data, start, end), return_index=True, return_inverse=True)
     a, b = start[at], end[at]
@@ -72,7 +74,31 @@ def inputs(texts: pa.Array) -> Inputs:
     last = np.repeat(b, count + len(HEADS))
     gram = byte_hash(w.data, lo, np.minimum(lo + np.where(inner, GRAM, head), last)) + np.where(inner, 0, head + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     count = count + len(HEADS)
-    return Inputs(w.first, which, (h % np.uint64(WORD_ROWS)).astype(np.int64), (gram % np.uint64(GRAM_ROWS)).astype(np.int64), count)
+    return Inputs(w.first, which, (h % np.uint64(WORD_ROWS)).astype(np.int64), (gram % np.uint64(GRAM_ROWS)).astype(np.int64), count, h)
+
+
+def blocks(first: np.ndarray, most: int = FIT_BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most so many words (or one text) each."""
+    a = 0
+    while a < len(first) - 1:
+        b = max(a + 1, int(np.searchsorted(first, first[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def inputs_by_blocks(texts: list[str]) -> Inputs:
+    """``inputs`` of whole texts, read a few at a time to save memory."""
+    parts = []
+    for a, b in blocks(np.concatenate([[0], np.cumsum([len(t) // 6 + 1 for t in texts])])):
+        parts.append(inputs(pa.array(texts[a:b], pa.string())))
+    name, at, which = np.unique(np.concatenate([x.name for x in parts]), return_index=True, return_inverse=True)
+    edge = np.cumsum([0, *[len(x.name) for x in parts]])
+    word = np.concatenate([which[k + x.word] for k, x in zip(edge, parts, strict=False)])
+    size = np.concatenate([np.diff(x.first) for x in parts])
+    count = np.concatenate([x.count for x in parts])
+    start = np.cumsum(count) - count
+    gram = np.concatenate([x.gram for x in parts])[spans(start[at], count[at])]
+    return Inputs(np.concatenate([[0], np.cumsum(size)]), word, np.concatenate([x.row for x in parts])[at], gram, count[at], name)
 
 
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,8 +232,7 @@ def _odds(x: Inputs, y: np.ndarray, rows: int, grams: bool) -> tuple[np.ndarray,
     toxic, and the texts it is in; counted over a few texts at a time."""
     has, bad = np.zeros(rows), np.zeros(rows)
     at = np.cumsum(x.count) - x.count
-    for a in range(0, len(y), 100):
-        b = min(a + 100, len(y))
+    for a, b in blocks(x.first):
         doc = np.repeat(np.arange(a, b), np.diff(x.first[a : b + 1]))
         pair = np.unique((doc - a) * len(x.row) + x.word[x.first[a] : x.first[b]])
         doc, word = pair // max(len(x.row), 1), pair % max(len(x.row), 1)
@@ -240,7 +265,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 10) -> dict[str, np.ndarr
     p["cal"] = np.array([0.0, np.log(share / (1 - share))])
     if not len(y) or y.min() == y.max():
         return p
-    x = inputs(pa.array(texts, pa.string()))
+    x = inputs_by_blocks(texts)
     at = np.cumsum(x.count) - x.count
     odds, has = _odds(x, y, WORD_ROWS, False)
     gram_odds, gram_has = _odds(x, y, GRAM_ROWS, True)
@@ -299,25 +324,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 10) -> dict[str, np.ndarr
     return net | {"cal": np.array([scale, shift])}
 
 
-def _lessened(rows: DataFrame) -> DataFrame:
-    """(doc_id, y, text) with at most FIT_WORDS words of evenly spaced windows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            out = []
-            for t in batch.column(2).to_pylist():
-                own = t.split()
-                if len(own) > FIT_WORDS:
-                    starts = np.linspace(0, len(own) - WINDOW, FIT_WORDS // WINDOW).astype(int)
-                    own = [w for s in starts for w in own[s : s + WINDOW]]
-                out.append(" ".join(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["doc_id", "y", "text"])
-
-    return rows.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, text string")
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = FIT_ROWS) -> dict[str, np.ndarray]:
-    rows = _lessened(labelled_sample(docs, labels, label, most)).orderBy("doc_id", "text").limit(2 * most).toPandas()
+    rows = labelled_sample(docs, labels, label, most).select("doc_id", "y", "text").orderBy("doc_id", "text").limit(2 * most).toPandas()
     return train(rows["text"].tolist(), rows["y"].to_numpy(dtype=float))
 
 

@@ -303,3 +303,23 @@ def test_long_items_are_found(spark, docs_of):
     texts = planted(rng, vocabulary, items, list, 150) + planted(rng, vocabulary, items, cut, 150) + planted(rng, vocabulary, [[]] * 20, list, 300)
     n = len(items)
     assert found_pairs(spark, docs_of, items, texts) == {(k, k % n) for k in range(2 * n)}
+
+
+def test_toxicity_learns_from_whole_texts(spark, docs_of, monkeypatch):
+    long = " ".join(f"w{k}" for k in range(5_000))
+    labelled = [(k, int(k % 3 == 0), 0) for k in range(5_000)]
+    labels = spark.createDataFrame(labelled, "doc_id long, toxic int, quality int")
+    monkeypatch.setattr(toxicity, "train", lambda texts, y: texts)
+    texts = toxicity.fit_toxicity(docs_of([(k, f"{k} {long if k < 40 else 'short'}") for k in range(5_000)]), labels)
+    learnt = [k for k in range(5_000) if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert 3_000 < len(learnt) < 4_000 and texts == [f"{k} {long if k < 40 else 'short'}" for k in learnt]
+
+
+def test_inputs_by_blocks():
+    rng = np.random.default_rng(4)
+    texts = ["", *[" ".join(rng.choice(["Aa", "bcdefgh,", "longerword", "x", "é"], int(n))) for n in (1, 70_000, 3, 40_000, 50_000, 0, 9)]]
+    one, some = toxicity.inputs(pa.array(texts, pa.string())), toxicity.inputs_by_blocks(texts)
+    for k in ("first", "word", "row", "gram", "count"):
+        assert (getattr(one, k) == getattr(some, k)).all()
+    y = np.arange(len(texts)) % 2.0
+    assert len(list(toxicity.blocks(one.first))) > 3 and np.isfinite(toxicity._odds(some, y, toxicity.WORD_ROWS, False)[0]).all()
