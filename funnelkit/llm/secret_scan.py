@@ -1,10 +1,13 @@
 """Secret scan with multipart credential linking, DataFrame functions alone.
 
 Base patterns report by themselves.  Weak candidates (identifiers, key-like
-strings, endpoints) are reported only where parts that complete them begin
-within ``SCOPE`` code points: an identifier needs a secret, a secret an
-identifier or an endpoint, an endpoint both.  The interval join of candidates
-is a range window over each text's candidates by position: no pairs are made.
+strings, endpoints) are reported only where parts that complete them lie in
+reach: an identifier needs a secret, a secret an identifier or an endpoint, an
+endpoint both.  In reach is what ends or begins within ``SCOPE`` code points of
+a part, and all parts of the same config block, however long: consecutive lines
+that are settings, section heads or comments.  The interval join of candidates
+is made of running ends and beginnings over each text's candidates by position,
+and one aggregate of each block: no pairs are made.
 
 Positions come from the regular-expression engine itself: every match is put
 between marks, the text is split at the marks, and lengths are added up.
@@ -30,9 +33,12 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_MIN, ACCESS_MIN = 8, 16
 
 IDENTIFIER = r"""(?i)\b(?:access[_-]?key[_-]?id|client[_-]?id|account[_-]?id|user[_-]?name|user|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-KEYLIKE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,39}[0-9])(?=[A-Za-z0-9+/_-]{0,39}[A-Z])(?=[A-Za-z0-9+/_-]{0,39}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}"
+KEYLIKE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+KEYLIKE_HAS = ("[0-9]", "[A-Z]", "[a-z]")
 ENDPOINT = r"""(?i)\b(?:https?|wss?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?)://[^\s"'<>]+"""
-KINDS = ("assign", "access", "hex", "identifier", "keylike", "endpoint")
+# a line of a config block: a setting of one value, a section head, braces, a comment
+CONFIG = r"""(?md)^[ \t]*(?:(?:export[ \t]+|-[ \t]+)?["']?[A-Za-z_][A-Za-z0-9_.-]*["']?[ \t]*[:=][ \t]*(?:"[^"\n]*"|'[^'\n]*'|[^\s"']+|\{|\[)?[ \t]*,?[ \t]*(?:[#;][^\n]*)?|\[[^\]\n]+\]|[{}\[\]]+,?|(?:#|//|;)[^\n]*)[ \t\r]*$"""
+KINDS = ("assign", "access", "hex", "identifier", "keylike", "endpoint", "config")
 _ROLE = {"assign": "secret", "access": "id", "hex": "secret", "identifier": "id", "keylike": "secret", "endpoint": "endpoint"}
 
 
@@ -72,24 +78,42 @@ def scan(docs: DataFrame) -> DataFrame:
         matches(text, "access", ACCESS, lambda m: F.length(m) >= ACCESS_MIN),
         matches(text, "hex", HEX),
         matches(text, "identifier", IDENTIFIER),
-        matches(text, "keylike", KEYLIKE),
+        matches(text, "keylike", KEYLIKE, lambda m: F.regexp_like(m, F.lit(KEYLIKE_HAS[0])) & F.regexp_like(m, F.lit(KEYLIKE_HAS[1])) & F.regexp_like(m, F.lit(KEYLIKE_HAS[2]))),
         matches(text, "endpoint", ENDPOINT),
     )
+    # lines matter only where there are parts to link
+    found = let(found, lambda x: F.when(F.size(x) < 2, x).otherwise(F.concat(x, matches(text, "config", CONFIG))))
     key = ["doc_id", "same", "chars"]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), F.length(text).alias("chars"), found.alias("found"))
     # equal rows meet here, and all that follows keeps this partitioning
     rows = rows.repartition(*key).groupBy(*key).agg(F.count("*").alias("rows"), F.first("found").alias("found"))
     one = rows.select(*key, "rows", F.explode_outer("found").alias("c")).select(*key, "rows", "c.*")
-    role = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (k, _ROLE[n])]), F.col("kind"))
-    near = Window.partitionBy(*key).orderBy("start").rangeBetween(-SCOPE, SCOPE)
+    role = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (k, _ROLE.get(n, "line"))]), F.col("kind"))
     upto = Window.partitionBy(*key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    line = F.col("role") == "line"
     base = F.col("kind") < 3
-    has = {r: F.max(F.when(F.col("role") == r, 1)).over(near).isNotNull() for r in ("id", "secret", "endpoint")}
-    one = one.withColumn("role", role).select(
+    # a block is a run of lines with only a line break between them; a line
+    # comes before the parts that begin with it
+    before = Window.partitionBy(*key).orderBy("start", ~line).rowsBetween(Window.unboundedPreceding, -1)
+    sofar = Window.partitionBy(*key).orderBy("start", ~line).rowsBetween(Window.unboundedPreceding, 0)
+    one = one.withColumn("role", role).withColumn("fresh", (line & (F.col("start") > F.coalesce(F.max(F.when(line, F.col("end"))).over(before), F.lit(-2)) + 1)).cast("int"))
+    one = one.withColumn("block", F.when(F.max(F.when(line, F.col("end"))).over(sofar) > F.col("start"), F.sum("fresh").over(sofar)))
+    after = Window.partitionBy(*key).orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    block = Window.partitionBy(*key, "block")
+
+    def reached(r: str) -> Column:
+        mine = F.col("role") == r
+        ended = F.col("start") - F.max(F.when(mine, F.col("end"))).over(upto) <= SCOPE
+        begins = F.min(F.when(mine, F.col("start"))).over(after) - F.col("end") <= SCOPE
+        together = F.col("block").isNotNull() & F.max(F.when(mine, 1)).over(block).isNotNull()
+        return F.coalesce(ended, F.lit(False)) | F.coalesce(begins, F.lit(False)) | together
+
+    has = {r: reached(r) for r in ("id", "secret", "endpoint")}
+    one = one.select(
         *key, "rows", "kind", "start", "end", "role", base.alias("base"), *[c.alias(f"has_{r}") for r, c in has.items()],
         # a weak candidate inside a base span, or a key-like part of an
         # identifier or endpoint, says nothing new
-        F.max(F.when(base | (F.col("kind") != KINDS.index("keylike")), F.col("end"))).over(upto).alias("cover"),
+        F.max(F.when(base | F.col("kind").isin(KINDS.index("identifier"), KINDS.index("endpoint")), F.col("end"))).over(upto).alias("cover"),
         F.max(F.when(base, F.col("end"))).over(upto).alias("base_cover"))
     completed = (
         ((F.col("role") == "id") & F.col("has_secret"))

@@ -323,3 +323,14 @@ def test_inputs_by_blocks():
         assert (getattr(one, k) == getattr(some, k)).all()
     y = np.arange(len(texts)) % 2.0
     assert len(list(toxicity.blocks(one.first))) > 3 and np.isfinite(toxicity._odds(some, y, toxicity.WORD_ROWS, False)[0]).all()
+
+
+def test_credentials_linked_by_gaps_and_blocks(docs_of):
+    from funnelkit.llm.secret_scan import op8
+
+    between = "".join(f"option_{k}: some_value_{k}\n" for k in range(30))
+    late = "k" * 60 + "A7" + "q" * 20
+    texts = ["token=" + "z" * 250 + " user=bob", f"user: bob\n{between}password: longsecret1\n# where\nurl: https://x.example/y\n", f"user: bob\n{between}\n{between}password: longsecret1\n",
+             f"user=bob {late}", "user: bob\n" + "plain words of prose, no setting.\n" * 9 + "password: longsecret1"]
+    kinds = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",")] for r in op8(docs_of(texts)).collect()}
+    assert kinds == {0: ["assign", "identifier"], 1: ["identifier", "assign", "endpoint"], 2: ["assign"], 3: ["identifier", "keylike"], 4: ["assign"]}
