@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001, SF001
+from helpers import SF0001, SF001
 from funnelkit.plans.models import Models
 
 

@@ -7,7 +7,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF0001
+from helpers import SF0001
 from __spark_entry__ import oracle_sql, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"

@@ -3,7 +3,7 @@
 from datetime import timedelta
 from decimal import Decimal
 
-from conftest import d, expert, models, ts
+from helpers import d, expert, models, ts
 from funnelkit.operators import dashboard, edge_cases, funnel, quality, reports, steps
 
 T0 = ts("2024-02-05 09:00:00")  # a Monday

@@ -4,7 +4,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from conftest import SF001, expert, models, ts
+from helpers import SF001, expert, models, ts
 from funnelkit.operators.sessions import event_sessions, expert_sessions, sessionize
 
 
@@ -98,7 +98,7 @@ def test_session_invariants_sf001(spark):
 
 def test_one_hot_expert_from_real_data(spark):
     # every funnel event of sf0.001 on one expert: both plans still agree
-    from conftest import SF0001
+    from helpers import SF0001
     from funnelkit.plans.models import Models
 
     hot = Models.from_testdata(spark, SF0001).stg_funnel_events.withColumn("expert_id", F.lit(7).cast("bigint"))

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from conftest import SF0001
+from helpers import SF0001
 from funnelkit.plans.build import MARTS, build_all
 from funnelkit.plans.models import Models
 from funnelkit.sources.raw import read_csv_tables, write_raw

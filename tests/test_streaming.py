@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from helpers import SF0001
 from funnelkit.plans.models import Models
 from funnelkit.sources.raw import write_raw
 from funnelkit.streaming.incremental import read_event_stream, session_stream, summary_stream
