@@ -75,6 +75,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.whitening import op11
+
+    return op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.warc import op12
+
+    return op12(table(spark, sf_dir, "pages"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelkit.llm.phrases import op13
+
+    return op13(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def shipped(f):
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +102,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return query
 
     dealt = (op1_token_files, op2_ngram_join, op3_page_text, op4_quality_rules, op5_mix_sources, op6_quality_model,
-             op7_shuffle_shards, op8_secrets, op9_decontaminate, op10_toxicity)
+             op7_shuffle_shards, op8_secrets, op9_decontaminate, op10_toxicity, op11_whitening, op12_warc, op13_phrases)
     return {f.__name__: shipped(f) for f in dealt}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from funnelkit.llm import oracle
+
+    return {"op12_warc": oracle.OP12, "op13_phrases": oracle.OP13}
