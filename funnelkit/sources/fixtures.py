@@ -4,7 +4,10 @@ The test tables hold no funnel, so the rules of FIXTURES.md section B turn
 them into one: ``orders`` become experts, ``lineitem`` rows become milestone
 events and engagements, ``events`` becomes daily channel spend.  Integer and
 two-decimal arithmetic only, so that an independent SQL engine gets the same
-rows.  The text is deliberately unclean (case, blanks) so staging has work.
+rows.  The text is deliberately unclean (case, blanks) so staging has work, and
+the rows hold what the data-quality tests look for: events of unknown experts,
+unknown event names, repeated event ids, missing payouts, channels and days.
+Every row of the test tables is used; none is left out.
 
 Plan notes (scale): experts join orders to customer on the customer key
 (shuffled, AQE may turn it into a broadcast at runtime) and to nation
@@ -26,8 +29,9 @@ from .raw import RawTables
 SIGNUP_EPOCH = "2024-01-01 00:00:00"
 SIGNUP_STEP = 7919  # hours multiplier
 SIGNUP_SPAN = 8784  # hours in 2024
-NO_EVENT_MOD = 101  # orders with key % 101 = 0 have no event at all
-NO_SIGNUP_MOD = 97  # orders with key % 97 = 0 have no signup event
+ORPHAN_MOD = 101  # rows of orders with key % 101 = 0 belong to expert -key, who has no profile
+UNKNOWN_EVENT_MOD = 97  # the signup of orders with key % 97 = 0 has an unknown name
+UNKNOWN_EVENT = "account_created"
 NO_UTM_MOD = 23
 PRIORITY_SOURCE = [
     ("1", " Paid_Search "),
@@ -46,13 +50,18 @@ LINE_EVENTS = [
     (6, "first_engagement_completed", 72, 48),
     (7, "profile_started", -3, 1),
 ]
-SPEND_CHANNEL = [("click", "Paid_Search"), ("view", "Paid_Social"), ("purchase", "LinkedIn_Outreach")]
+SPEND_CHANNEL = [("click", "Paid_Search"), ("view", "Paid_Social"), ("purchase", "LinkedIn_Outreach"), ("signup", "Referral_Fee")]
+NO_CHANNEL = "Unattributed"  # campaign prefix of the other event types, whose channel is NULL
 
 
 def _signup_ts(order_key: Column) -> Column:
     return add_hours(ntz(SIGNUP_EPOCH), (order_key * SIGNUP_STEP) % SIGNUP_SPAN)
 
 
+def _expert(order_key: Column) -> Column:
+    return F.when(order_key % ORPHAN_MOD == 0, -order_key).otherwise(order_key)
+
+
 def _case(key: Column, pairs, default=None) -> Column:
     expr = None
     for k, v in pairs:
@@ -91,24 +100,19 @@ def experts(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFr
 
 
 def _lines_with_seq(lineitem: DataFrame) -> DataFrame:
-    """lineitem rows of orders that have events, with their per-order sequence."""
+    """lineitem rows with their per-order sequence."""
     order = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"
     )
-    return (
-        lineitem.where(F.col("l_orderkey") % NO_EVENT_MOD != 0)
-        .withColumn("seq", F.row_number().over(order))
-        .withColumn("q", F.col("l_quantity").cast("int"))
-    )
+    return lineitem.withColumn("seq", F.row_number().over(order)).withColumn("q", F.col("l_quantity").cast("int"))
 
 
 def funnel_events(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    signups = orders.where(
-        (F.col("o_orderkey") % NO_EVENT_MOD != 0) & (F.col("o_orderkey") % NO_SIGNUP_MOD != 0)
-    ).select(
-        (F.col("o_orderkey") * 1000).alias("event_id"),
-        F.col("o_orderkey").alias("expert_id"),
-        F.lit("signup").alias("event_name"),
+    key = F.col("o_orderkey")
+    signups = orders.select(
+        (key * 1000).alias("event_id"),
+        _expert(key).alias("expert_id"),
+        F.when(key % UNKNOWN_EVENT_MOD == 0, F.lit(UNKNOWN_EVENT)).otherwise(F.lit("signup")).alias("event_name"),
         _signup_ts(F.col("o_orderkey")).alias("event_timestamp"),
         F.lit(None).cast("string").alias("event_properties"),
     )
@@ -123,9 +127,11 @@ def funnel_events(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         h = F.lit(a) + F.lit(b) * q
         offset = F.when(ln == n, h) if offset is None else offset.when(ln == n, h)
     dirty = F.col("l_suppkey") % 10 == 0
+    # some third lines repeat the id of their order's signup
+    repeated = (ln == 3) & (F.col("l_partkey") % 50 == 0)
     line_events = lines.select(
-        (F.col("l_orderkey") * 1000 + F.col("seq")).alias("event_id"),
-        F.col("l_orderkey").alias("expert_id"),
+        (F.col("l_orderkey") * 1000 + F.when(repeated, F.lit(0)).otherwise(F.col("seq"))).alias("event_id"),
+        _expert(F.col("l_orderkey")).alias("expert_id"),
         F.when(dirty, F.concat(F.upper(name), F.lit(" "))).otherwise(name).alias("event_name"),
         add_hours(_signup_ts(F.col("l_orderkey")), offset).alias("event_timestamp"),
         F.when(rejected, F.concat(F.lit('{"k": '), (F.col("l_partkey") % 100).cast("string"), F.lit("}"))).alias(
@@ -140,10 +146,11 @@ def engagements(lineitem: DataFrame) -> DataFrame:
     q = F.col("q")
     return lines.select(
         (F.col("l_orderkey") * 1000 + F.col("seq")).alias("engagement_id"),
-        F.col("l_orderkey").alias("expert_id"),
+        _expert(F.col("l_orderkey")).alias("expert_id"),
         F.when(F.col("l_linestatus") == "O", F.lit("survey")).otherwise(F.lit("Interview ")).alias("engagement_type"),
         add_hours(_signup_ts(F.col("l_orderkey")), F.lit(72) + F.lit(48) * q).alias("engagement_date"),
-        F.when(F.col("l_partkey") % 250 == 0, F.lit(0))
+        F.when(F.col("l_partkey") % 500 == 250, F.lit(None))
+        .when(F.col("l_partkey") % 250 == 0, F.lit(0))
         .otherwise(q * 5)
         .cast("decimal(18,2)")
         .alias("payout_amount"),
@@ -153,13 +160,12 @@ def engagements(lineitem: DataFrame) -> DataFrame:
 
 def daily_channel_spend(events: DataFrame) -> DataFrame:
     channel = _case(F.col("event_type"), SPEND_CHANNEL)
-    kept = events.where(
-        F.col("event_type").isin([k for k, _ in SPEND_CHANNEL])
-        & ((F.dayofmonth("ts") * 7 + F.col("user_id") % 5) % 11 != 0)
-    ).select(
-        F.to_date("ts").alias("date"),
+    # some days of a campaign are booked a day late, which leaves gaps
+    late = (F.dayofmonth("ts") * 7 + F.col("user_id") % 5) % 11 == 0
+    kept = events.select(
+        F.date_add(F.to_date("ts"), F.when(late, 1).otherwise(0)).alias("date"),
         channel.alias("channel"),
-        F.concat(channel, F.lit("_Camp_"), (F.col("user_id") % 5).cast("string")).alias("campaign_name"),
+        F.concat(F.coalesce(channel, F.lit(NO_CHANNEL)), F.lit("_Camp_"), (F.col("user_id") % 5).cast("string")).alias("campaign_name"),
         F.col("value").cast("decimal(18,2)").alias("value"),
     )
     return kept.groupBy("date", "channel", "campaign_name").agg(

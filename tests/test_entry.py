@@ -15,7 +15,7 @@ def test_entry_flagship(spark):
     rows = df.collect()
     assert [r.stage for r in rows] == ["signup", "profile_started", "profile_completed", "verification_submitted",
                                        "verified", "activated"]
-    assert rows[0].experts_reached == 1470  # FIXTURES.md C, sf0.001
+    assert rows[0].experts_reached == 1484  # FIXTURES.md C, sf0.001
 
 
 def test_contract_keys():

@@ -9,7 +9,7 @@ from funnelkit.plans.models import Models
 
 @pytest.mark.parametrize(
     "sf_dir,experts,events,engagements,spend",
-    [(SF0001, 1500, 7419, 3095, 299), (SF001, 15000, 74110, 31233, 411)],
+    [(SF0001, 1500, 7500, 3119, 512), (SF001, 15000, 75000, 31536, 685)],
 )
 def test_row_counts(spark, sf_dir, experts, events, engagements, spend):
     m = Models.from_testdata(spark, sf_dir)
@@ -33,7 +33,7 @@ def test_stage_reach_sf001(spark):
         "min(days_to_activate) AS lo",
         "max(days_to_activate) AS hi",
     ).first()
-    assert tuple(row) == (14851, 14698, 10117, 6482, 6445, 8846, 5918, 5, 103)
+    assert tuple(row) == (15000, 14845, 10215, 6550, 6507, 8931, 5977, 5, 103)
 
 
 def test_step_pairs_sf001(spark):
@@ -45,9 +45,9 @@ def test_step_pairs_sf001(spark):
         F.count_if(F.col("step_duration_hours") < 0).alias("neg"),
     )
     got = {(r.current_step, r.next_step): (r.n, r.avg, r.brk, r.neg) for r in agg.collect()}
-    assert got[("signup", "profile_started")] == (10015, 19.1, 32.6, 325)
-    assert got[("profile_started", "profile_completed")] == (4427, 39.0, 55.1, 505)
-    assert got[("profile_completed", "verification_submitted")] == (2781, 4.8, 24.5, 1167)
-    assert got[("verification_submitted", "verification_approved")] == (4224, 39.7, 59.3, 402)
-    assert got[("verification_submitted", "verification_rejected")] == (596, 46.1, 62.6, 47)
-    assert got[("verification_approved", "first_engagement_completed")] == (4267, 1094.8, 98.2, 32)
+    assert got[("signup", "profile_started")] == (10111, 19.1, 32.6, 326)
+    assert got[("profile_started", "profile_completed")] == (4466, 39.0, 55.1, 510)
+    assert got[("profile_completed", "verification_submitted")] == (2807, 4.8, 24.5, 1178)
+    assert got[("verification_submitted", "verification_approved")] == (4260, 39.7, 59.2, 405)
+    assert got[("verification_submitted", "verification_rejected")] == (600, 46.2, 62.8, 47)
+    assert got[("verification_approved", "first_engagement_completed")] == (4307, 1094.3, 98.2, 32)

@@ -30,14 +30,16 @@ def test_build_all_writes_marts(spark):
     report = {(r.check_name, r.table_name, r.column_name): r for r in spark.read.parquet(f"{out}/dq_report").collect()}
     assert len(report) == 36 + 11 + 8 + 2 + 4
     assert report[("timestamp_ordering", "stg_funnel_events", None)].failed  # the fixture has disorder
-    assert not report[("unique", "funnel_events", "event_id")].failed
+    assert report[("unique", "funnel_events", "event_id")].failing_rows == 20  # FIXTURES.md C
+    assert report[("not_null", "stg_funnel_events", "stage_order")].failing_rows == 16
+    assert report[("relationships", "funnel_events", "expert_id")].failing_rows == 63
     assert report[("accepted_values", "experts", "signup_source")].failed  # raw text is unclean by design
     assert not report[("accepted_values", "stg_experts", "signup_source")].failed
     fc = {r.stage: r.experts_reached for r in spark.read.parquet(f"{out}/mart_funnel_conversion").collect()}
-    assert fc["signup"] == 1470  # FIXTURES.md C, sf0.001
+    assert fc["signup"] == 1484  # FIXTURES.md C, sf0.001
     views = m.register_views("t_")
     assert "t_expert_sessions" in views
-    assert spark.sql("SELECT count(*) FROM t_stg_funnel_events").first()[0] == 7419
+    assert spark.sql("SELECT count(*) FROM t_stg_funnel_events").first()[0] == 7500
 
 
 def test_command_line_build(spark):
