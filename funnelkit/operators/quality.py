@@ -27,7 +27,7 @@ from ..functions.vocab import (
     TIMESTAMP_ORDER_THRESHOLD,
     UNPAID_CHANNELS,
 )
-from .sequence import with_bucket_keys
+from .slices import Sliced, sliced
 from .staging import STAGING_COLUMNS
 
 REPORT_COLUMNS = ["check_name", "table_name", "column_name", "failing_rows", "total_rows", "failed"]
@@ -214,33 +214,28 @@ def null_utm(stg_experts: DataFrame, threshold: float = NULL_UTM_THRESHOLD) -> D
 
 
 def timestamp_ordering(
-    stg_events: DataFrame, threshold: float = TIMESTAMP_ORDER_THRESHOLD, bucket: str = "hour"
+    stg_events: DataFrame, threshold: float = TIMESTAMP_ORDER_THRESHOLD, parts: int | None = None
 ) -> DataFrame:
     """Experts with an event whose stage is lower than the previous event's
     (time order, ties by stage then event_id), over all experts.
 
-    Skew-safe, without a join: rows are ordered only inside (expert, time
-    bucket) slices, which yields the violations inside each bucket and the
-    bucket's first and last stage; one row per bucket then checks each
-    bucket boundary against the previous bucket of the same expert.
+    Rows are ordered per expert, heavy experts' rows per slice (see
+    ``slices``): a slice yields its violations and its first and last stage,
+    and each of its borders is checked along the expert's slices.
     """
-    ev = with_bucket_keys(stg_events.select("expert_id", "event_at", "stage_order", "event_id"), "expert_id", "event_at", bucket)
-    part = ["_k", "_kn", "_b"]
-    w = Window.partitionBy(*part).orderBy("event_at", "stage_order", "event_id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = ["event_at", "stage_order", "event_id"]
+    cut = sliced(stg_events.select("expert_id", *order), "expert_id", order, parts)
+    w = Window.partitionBy(*Sliced.PART).orderBy(*order)
     prev = F.lag("stage_order").over(w)
-    ev = ev.select(
-        *part,
-        (prev.isNotNull() & (F.col("stage_order") < prev)).alias("_v"),
-        F.first("stage_order").over(whole).alias("_first"),
-        F.last("stage_order").over(whole).alias("_last"),
-    )
-    per_bucket = ev.groupBy(*part).agg(
-        F.count_if("_v").alias("_iv"), F.max("_first").alias("_first"), F.max("_last").alias("_last")
-    )
-    prev_last = F.lag("_last").over(Window.partitionBy("_k", "_kn").orderBy("_b"))
-    per_bucket = per_bucket.withColumn("_bv", prev_last.isNotNull() & (F.col("_first") < prev_last))
-    per_expert = per_bucket.groupBy("_k", "_kn").agg((F.sum("_iv") + F.count_if("_bv")).alias("_v"))
+    ev = cut.rows.select(*Sliced.PART, F.row_number().over(w).alias("_i"), "stage_order", (prev.isNotNull() & (F.col("stage_order") < prev)).alias("_v"))
+    if cut.heavy is None:
+        per_expert = ev.groupBy(*Sliced.PART).agg(F.count_if("_v").alias("_v"))
+    else:
+        per_slice = ev.groupBy(*Sliced.PART).agg(
+            F.count_if("_v").alias("_in"), F.min_by("stage_order", "_i").alias("_first"), F.max_by("stage_order", "_i").alias("_last"))
+        before = F.lag("_last").over(cut.per_key())
+        per_slice = per_slice.withColumn("_at", before.isNotNull() & (F.col("_first") < before))
+        per_expert = per_slice.groupBy("_k", "_kn").agg((F.sum("_in") + F.count_if("_at")).alias("_v"))
     g = per_expert.agg(
         F.count_if(~F.col("_kn")).alias("total_experts"), F.count_if(F.col("_v") > 0).alias("experts_with_violations")
     )

@@ -24,7 +24,7 @@ def test_gap_boundaries(spark):
         events=[_ev(1, 1, "signup", t0), _ev(2, 1, "profile_started", t1), _ev(3, 1, "profile_completed", t2),
                 _ev(4, 1, "verification_submitted", t3)],
     )
-    for strategy in ("bucketed", "window"):
+    for strategy in ("sliced", "window"):
         rows = expert_sessions(m.stg_funnel_events, strategy=strategy).orderBy("event_at").collect()
         assert [r.is_new_session for r in rows] == [True, False, False, True]
         assert [r.session_number for r in rows] == [1, 1, 1, 2]
@@ -40,7 +40,7 @@ def test_ties_ordered_by_stage_then_id(spark):
         experts=[expert(1)],
         events=[_ev(9, 1, "profile_started", t0), _ev(5, 1, "signup", t0), _ev(7, 1, "profile_started", t0)],
     )
-    for strategy in ("bucketed", "window"):
+    for strategy in ("sliced", "window"):
         rows = expert_sessions(m.stg_funnel_events, strategy=strategy).collect()
         by_id = {r.event_id: r for r in rows}
         assert by_id[5].prev_event_at is None and by_id[5].is_new_session
@@ -58,7 +58,7 @@ def _same(a, b, key):
 def test_plans_agree_on_events_table(spark):
     ev = spark.read.parquet(f"{SF001}/events.parquet")
     for gap in (1440, 30, 0):
-        a = event_sessions(ev, gap_minutes=gap, strategy="bucketed")
+        a = event_sessions(ev, gap_minutes=gap, parts=40)
         b = event_sessions(ev, gap_minutes=gap, strategy="window")
         _same(a, b, key=lambda r: r.event_id)
 
@@ -71,8 +71,8 @@ def test_plans_agree_with_nulls_and_a_hot_key(spark):
     rows += [(20_000, None, base), (20_001, None, base + timedelta(days=3)), (20_002, 3, None), (20_003, 3, None),
              (20_004, 3, base), (20_005, None, None)]
     df = spark.createDataFrame(rows, "id bigint, k bigint, t timestamp_ntz")
-    for bucket in ("minute", "hour", "day"):
-        a = sessionize(df, "k", "t", ["id"], gap_minutes=1440, strategy="bucketed", bucket=bucket)
+    for parts in (2, 7, 300):
+        a = sessionize(df, "k", "t", ["id"], gap_minutes=1440, parts=parts)
         b = sessionize(df, "k", "t", ["id"], gap_minutes=1440, strategy="window")
         _same(a, b, key=lambda r: r.id)
     got = {r.id: r for r in sessionize(df, "k", "t", ["id"]).collect()}
@@ -102,12 +102,12 @@ def test_one_hot_expert_from_real_data(spark):
     from funnelkit.plans.models import Models
 
     hot = Models.from_testdata(spark, SF0001).stg_funnel_events.withColumn("expert_id", F.lit(7).cast("bigint"))
-    a = expert_sessions(hot, strategy="bucketed")
+    a = expert_sessions(hot, parts=40)
     b = expert_sessions(hot, strategy="window")
     _same(a, b, key=lambda r: r.event_id)
 
 
-def test_property_bucketed_equals_window(spark):
+def test_property_sliced_equals_window(spark):
     """Random keys, times (sub-second, ties, NULLs) and gaps: same rows."""
     from hypothesis import HealthCheck, given, settings
     from hypothesis import strategies as st
@@ -119,11 +119,11 @@ def test_property_bucketed_equals_window(spark):
     )
 
     @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
-    @given(st.lists(event, min_size=1, max_size=60), st.sampled_from([0, 1, 30, 59, 60, 1440]))
-    def check(events, gap):
+    @given(st.lists(event, min_size=1, max_size=60), st.sampled_from([0, 1, 30, 59, 60, 1440]), st.sampled_from([1, 5, 60]))
+    def check(events, gap, parts):
         rows = [(i, k, None if t is None else base + timedelta(milliseconds=t)) for i, (k, t) in enumerate(events)]
         df = spark.createDataFrame(rows, "id bigint, k bigint, t timestamp_ntz")
-        a = sessionize(df, "k", "t", ["id"], gap_minutes=gap, strategy="bucketed")
+        a = sessionize(df, "k", "t", ["id"], gap_minutes=gap, parts=parts)
         b = sessionize(df, "k", "t", ["id"], gap_minutes=gap, strategy="window")
         _same(a, b, key=lambda r: r.id)
 
@@ -137,5 +137,5 @@ def test_null_keys_of_every_type_keep_their_rows(spark):
     for key in ("day", "flag", "raw", "name"):
         got = [sorted((r.id, r.session_number, r.events_in_session) for r in
                       sessionize(df, key=key, ts="at", order_cols=["id"], gap_minutes=60, carry=["id"], strategy=s).collect())
-               for s in ("bucketed", "window")]
+               for s in ("sliced", "window")]
         assert len(got[0]) == 3 and got[0] == got[1]
