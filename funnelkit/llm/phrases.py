@@ -8,9 +8,10 @@ numbers.  A container holds the triples of a range of first words, or of one
 first word and a range of second ones.  When it passes ``BURST`` entries it
 bursts: into two ranges, or into the next level of the trie.  When the tries
 pass ``HELD`` entries, the largest containers, whole subtrees, are spilled as
-sorted runs until half are left.  A run goes in one row to each prefix
-partition, with 64-bit hashes in place of the task's numbers, and carries the
-sums of its subtrees (the pairs) beside its leaves (the triples).
+sorted runs until half are left.  A task merges its runs while they are small
+and writes them out at ``RUN_ENTRIES``: in one row to each prefix partition,
+with 64-bit hashes in place of the task's numbers, the sums of the subtrees
+(the pairs) beside their leaves (the triples).
 
 The runs are merged per prefix partition.  Everything in a run is already
 added up, so a triple meets at most one entry a run however often it occurs;
@@ -36,14 +37,15 @@ from funnelkit.llm.common import stored, text_of
 from funnelkit.llm.words import _LOWER, buffers, byte_hash, chunks, mix
 
 LEAST, SHARE, BEST = 10, 50, 2000
-#: entries at which a container bursts, and all tries of a task are spilled
-BURST, HELD = 1 << 15, 1 << 20
+#: entries at which a container bursts, at which a task's tries are spilled,
+#: and at which its merged runs are written out
+BURST, HELD, RUN_ENTRIES = 1 << 14, 1 << 19, 1 << 22
 #: words that a task numbers before it starts anew
 NUMBERED = 1 << 20
 #: bytes of text that a prefix partition stands for
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 #: entries of a run's row, and entries collected before they are merged
-ROW_ENTRIES, MERGE_ENTRIES = 1 << 16, 1 << 20
+ROW_ENTRIES, MERGE_ENTRIES = 1 << 17, 1 << 20
 
 _ID = 21  # bits of a word number in a packed triple
 _MASK = np.uint64((1 << _ID) - 1)
@@ -185,24 +187,40 @@ class HatTrie:
         counts = np.fromiter((x for held in taken for x in held.values()), dtype=np.int64, count=n)
         for k in out:
             self.leaf[k] = {}
-        order = np.argsort(keys)
-        return keys[order], counts[order]
+        return add_up(keys, counts)
 
 
 # ------------------------------------------------------------------- the runs
 
-def _narrow(a: np.ndarray) -> bytes:
-    """Ascending or small non-negative numbers in the fewest bytes each, the
-    number of bytes in front."""
-    top = int(a.max()) if len(a) else 0
-    for size in (1, 2, 4):
-        if top < 1 << (8 * size):
-            return bytes([size]) + a.astype(f"<u{size}").tobytes()
-    return bytes([8]) + a.astype("<u8").tobytes()
-
-
-def _wide(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, dtype=f"<u{b[0]}", offset=1).astype(_U)
+def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, with the sum of its counts; sorted stretches
+    are merged."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys[first], np.add.reduceat(counts[order], first) if len(keys) else counts
+
+
+def _sections(*parts: np.ndarray) -> bytes:
+    """Non-negative numbers, each array in the fewest bytes a number, packed
+    and compressed."""
+    raw = b""
+    for a in parts:
+        top = int(a.max()) if len(a) else 0
+        size = next(s for s in (1, 2, 4, 8) if top < 1 << (8 * s))
+        body = a.astype(f"<u{size}").tobytes()
+        raw += bytes([size]) + len(body).to_bytes(8, "little") + body
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _opened(blob: bytes) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    out, at = [], 0
+    while at < len(raw):
+        size, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
+        out.append(np.frombuffer(raw, dtype=f"<u{size}", offset=at + 9, count=n // size))
+        at += 9 + n
+    return out
 
 
 def run_rows(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, lang: str, partitions: int) -> Iterator[dict]:
@@ -231,26 +249,43 @@ def run_rows(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, lang: str
             at = slice(lo, min(b, lo + ROW_ENTRIES))
             words, index = np.unique(np.concatenate([g1[at], g2[at], g3[at]]), return_inverse=True)
             i1, i2, i3 = np.split(index, 3)
-            yield {"part": int(part[lo]), "lang": lang, "words": words.astype("<u8").tobytes(), "w1": _narrow(i1), "w2": _narrow(i2), "w3": _narrow(i3), "n": _narrow(n[at])}
+            yield {"part": int(part[lo]), "lang": lang, "words": words.astype("<u8").tobytes(), "entries": _sections(np.diff(i1, prepend=0), i2, i3, n[at])}
+
 
+def row_entries(words: bytes, entries: bytes) -> tuple[np.ndarray, ...]:
+    """(hashes, w1, w2, w3, n) of a run's row, the words as places in the hashes."""
+    w1, w2, w3, n = _opened(entries)
+    return np.frombuffer(words, dtype="<u8"), np.cumsum(w1, dtype=np.uint32), w2.astype(np.uint32), w3.astype(np.uint32), n.astype(np.int64)
 
-_COUNTED = "part int, lang string, words binary, w1 binary, w2 binary, w3 binary, n binary, id long, word string, count long"
+
+_COUNTED = "part int, lang string, words binary, entries binary, id long, word string, count long"
 
 
 def count_phrases(docs: DataFrame, partitions: int, seed: int = 0) -> DataFrame:
     """Runs (part not null) and the tasks' vocabularies (lang, id, word, count)."""
-    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("w1", pa.binary()), ("w2", pa.binary()), ("w3", pa.binary()),
-                        ("n", pa.binary()), ("id", pa.int64()), ("word", pa.string()), ("count", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("entries", pa.binary()), ("id", pa.int64()), ("word", pa.string()),
+                        ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, tries, counts = Numbers(seed), {}, {}
+        numbers, tries, runs, counts = Numbers(seed), {}, {}, {}
 
-        def spill(keep: int) -> Iterator[pa.RecordBatch]:
+        def spill(keep: int) -> None:
+            """Take the largest subtrees out of the tries, as runs."""
             for lang in sorted(tries, key=lambda x: -tries[x].size):
-                others = sum(t.size for t in tries.values()) - tries[lang].size
-                if tries[lang].size + others > keep:
-                    for row in run_rows(*tries[lang].spill(max(0, keep - others)), numbers.hash, lang, partitions):
+                over = sum(t.size for t in tries.values()) - keep
+                if over > 0:
+                    runs.setdefault(lang, []).append(tries[lang].spill(max(0, tries[lang].size - over)))
+
+        def write(most: int) -> Iterator[pa.RecordBatch]:
+            """Merge the runs; write them out if more entries than ``most`` are left."""
+            for lang, held in runs.items():
+                if len(held) > 1:
+                    runs[lang] = [add_up(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
+            if sum(len(k) for held in runs.values() for k, _ in held) > most:
+                for lang, held in runs.items():
+                    for row in run_rows(*held[0], numbers.hash, lang, partitions):
                         yield pa.RecordBatch.from_pylist([row], schema)
+                runs.clear()
 
         def vocabulary() -> Iterator[pa.RecordBatch]:
             words = pa.array(numbers.word, pa.binary()).cast(pa.string())
@@ -259,7 +294,7 @@ def count_phrases(docs: DataFrame, partitions: int, seed: int = 0) -> DataFrame:
                     at = np.flatnonzero(n[lo : lo + (1 << 16)]) + lo
                     if len(at):
                         none = pa.nulls(len(at), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.array([lang] * len(at), pa.string()), none, none, none, none, none,
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.array([lang] * len(at), pa.string()), none, none,
                                                           pa.array(numbers.hash[at].view(np.int64)), words.take(pa.array(at)), pa.array(n[at], pa.int64())], schema=schema)
             counts.clear()
 
@@ -268,7 +303,8 @@ def count_phrases(docs: DataFrame, partitions: int, seed: int = 0) -> DataFrame:
             if not len(start):
                 continue
             if len(numbers.hash) > NUMBERED:
-                yield from spill(0)
+                spill(0)
+                yield from write(0)
                 yield from vocabulary()
                 numbers, tries = Numbers(seed), {}
             ids = numbers.of(data, start, end)
@@ -285,10 +321,13 @@ def count_phrases(docs: DataFrame, partitions: int, seed: int = 0) -> DataFrame:
                 counts[lang] = seen
                 tries.setdefault(lang, HatTrie()).add(*np.unique(keys[mine], return_counts=True))
             if sum(t.size for t in tries.values()) > HELD:
-                yield from spill(HELD // 2)
+                spill(HELD // 2)
+                if sum(len(k) for held in runs.values() for k, _ in held) > RUN_ENTRIES:
+                    yield from write(RUN_ENTRIES // 2)
             if sum(map(len, counts.values())) > 8 * NUMBERED:  # many languages
                 yield from vocabulary()
-        yield from spill(0)
+        spill(0)
+        yield from write(0)
         yield from vocabulary()
 
     return docs.select(docs["`lang`"].cast("string").alias("lang"), text_of(docs).alias("text")).mapInArrow(run, _COUNTED)
@@ -304,26 +343,36 @@ class Merge:
         self.held.append((words, w1, w2, w3, n))
         self.size += len(n)
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All runs as one: (g1, g2, g3, n) in order, equal triples once."""
+    def merge(self) -> None:
+        """All runs as one, in order, equal triples once."""
         words = np.unique(np.concatenate([r[0] for r in self.held]))
-        place = [np.searchsorted(words, r[0]).astype(_U) for r in self.held]
-        w1, w2, w3 = (np.concatenate([p[r[k].astype(np.int64)] for p, r in zip(place, self.held, strict=True)]) for k in (1, 2, 3))
+        w1, w2, w3 = [], [], []
+        for r in self.held:
+            place = np.searchsorted(words, r[0]).astype(np.uint32)
+            for out, w in zip((w1, w2, w3), r[1:4], strict=True):
+                out.append(place[w])
         n = np.concatenate([r[4] for r in self.held])
+        self.held = []
+        w1, w2, w3 = np.concatenate(w1), np.concatenate(w2), np.concatenate(w3)
         bits = max(1, len(words).bit_length())
-        if 3 * bits <= 64:
-            key = (w1 << _U(2 * bits)) | (w2 << _U(bits)) | w3
-            order = np.argsort(key, kind="stable")  # runs are in order, so this merges them
-            key = key[order]
-            new = np.concatenate([[True], key[1:] != key[:-1]])
+        if 3 * bits <= 64:  # runs are in order, so this merges them
+            key, n = add_up((w1.astype(_U) << _U(2 * bits)) | (w2.astype(_U) << _U(bits)) | w3, n)
+            mask = _U((1 << bits) - 1)
+            w1, w2, w3 = ((key >> _U(s)) & mask for s in (2 * bits, bits, 0))
+            w1, w2, w3 = w1.astype(np.uint32), w2.astype(np.uint32), w3.astype(np.uint32)
         else:
             order = np.lexsort((w3, w2, w1))
-            new = np.concatenate([[True], np.any([np.diff(w[order]) != 0 for w in (w1, w2, w3)], axis=0)])
-        at = order[new]
-        n = np.add.reduceat(n[order], np.flatnonzero(new))
-        w1, w2, w3 = w1[at], w2[at], w3[at]
+            w1, w2, w3 = w1[order], w2[order], w3[order]
+            first = np.flatnonzero(np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (w3[1:] != w3[:-1])]))
+            w1, w2, w3, n = w1[first], w2[first], w3[first], np.add.reduceat(n[order], first)
         self.held, self.size = [(words, w1, w2, w3, n)], len(n)
-        return words[w1.astype(np.int64)], words[w2.astype(np.int64)], words[w3.astype(np.int64)], n
+
+    def often(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(g1, g2, g3, n) of the triples and pairs that occur ``least`` times."""
+        self.merge()
+        words, w1, w2, w3, n = self.held[0]
+        at = np.flatnonzero(n >= least)
+        return words[w1[at]], words[w2[at]], words[w3[at]], n[at]
 
 
 def merge_runs(runs: DataFrame, partitions: int, least: int = LEAST) -> DataFrame:
@@ -332,27 +381,26 @@ def merge_runs(runs: DataFrame, partitions: int, least: int = LEAST) -> DataFram
         name, held, ceiling = None, Merge(), MERGE_ENTRIES
 
         def close() -> Iterator[pa.RecordBatch]:
-            g1, g2, g3, n = held.merge()
-            often = n >= least
-            yield pa.RecordBatch.from_arrays([pa.array([name[1]] * int(often.sum()), pa.string()), *[pa.array(g[often].view(np.int64)) for g in (g1, g2, g3)],
-                                              pa.array(n[often].astype(np.int64))], names=["lang", "w1", "w2", "w3", "a"])
+            g1, g2, g3, n = held.often(least)
+            yield pa.RecordBatch.from_arrays([pa.array([name[1]] * len(n), pa.string()), *[pa.array(g.view(np.int64)) for g in (g1, g2, g3)], pa.array(n)],
+                                             names=["lang", "w1", "w2", "w3", "a"])
 
         for batch in batches:
             for k in range(batch.num_rows):
-                part, lang, words, w1, w2, w3, n = (c[k].as_py() for c in batch.columns)
+                part, lang, words, entries = (c[k].as_py() for c in batch.columns)
                 if (part, lang) != name:
                     if held.size:
                         yield from close()
                     name, held, ceiling = (part, lang), Merge(), MERGE_ENTRIES
-                held.add(np.frombuffer(words, dtype="<u8"), _wide(w1), _wide(w2), _wide(w3), _wide(n))
+                held.add(*row_entries(words, entries))
                 if held.size > ceiling:
                     held.merge()
                     ceiling = max(MERGE_ENTRIES, 2 * held.size)
         if held.size:
             yield from close()
 
-    rows = runs.where("part IS NOT NULL").select("part", "lang", "words", "w1", "w2", "w3", "n")
-    return rows.repartition(partitions, "part").sortWithinPartitions("part", "lang").mapInArrow(run, "lang string, w1 long, w2 long, w3 long, a long")
+    rows = runs.where("part IS NOT NULL").select("part", "lang", "words", "entries")
+    return rows.repartition(max(8, partitions // 4), "part").sortWithinPartitions("part", "lang").mapInArrow(run, "lang string, w1 long, w2 long, w3 long, a long")
 
 
 # ----------------------------------------------------------------- the phrases
