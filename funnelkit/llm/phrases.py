@@ -1,9 +1,14 @@
 """Phrases of two and three words, counted in HAT-tries and scored by their
 weakest cut.
 
-A task gives its words numbers and counts, for every place of a piece, the
-number triple of the place and the two words after it (0 past the piece's end)
-in a HAT-trie for each language: hash containers under a shallow trie over word
+A first pass counts the words.  A phrase cannot occur more often than its
+rarest word, so words below the least count end a piece like its last one does;
+they are told by a Bloom filter of the others, of a fixed size: one it lets
+through by mistake costs time only.
+
+In the second pass a task gives its words numbers and counts, for every place
+of a piece, the number triple of the place and the two words after it (0 past
+the piece's end) in a HAT-trie for each language: hash containers under a shallow trie over word
 numbers.  A container holds the triples of a range of first words, or of one
 first word and a range of second ones.  When it passes ``BURST`` entries it
 bursts: into two ranges, or into the next level of the trie.  When the tries
@@ -39,9 +44,11 @@ from funnelkit.llm.words import _LOWER, buffers, byte_hash, chunks, mix
 LEAST, SHARE, BEST = 10, 50, 2000
 #: entries at which a container bursts, at which a task's tries are spilled,
 #: and at which its merged runs are written out
-BURST, HELD, RUN_ENTRIES = 1 << 14, 1 << 19, 1 << 22
+BURST, HELD, RUN_ENTRIES = 1 << 14, 1 << 19, 1 << 21
 #: words that a task numbers before it starts anew
 NUMBERED = 1 << 20
+#: bits of the filter of frequent words, and places each word has in it
+FILTER_BITS, FILTER_PLACES = 1 << 26, 2
 #: bytes of text that a prefix partition stands for
 PARTITION_BYTES = 8 << 20
 #: entries of a run's row, and entries collected before they are merged
@@ -81,21 +88,27 @@ def pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, start, end, row, linked
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    hashes = byte_hash(data, start, end)
+    return mix(hashes ^ _U(seed)) if seed else hashes
+
+
+def lang_salt(lang: str) -> np.uint64:
+    name = lang.encode() + b"|"
+    return byte_hash(np.frombuffer(name, dtype=np.uint8), np.array([0]), np.array([len(name)]))[0]
+
+
 class Numbers:
-    """A task's word numbers (from 1) and the words' global hashes."""
+    """A task's word numbers (from 1) by the words' global hashes."""
 
-    def __init__(self, seed: int):
-        self.seed = _U(seed)
+    def __init__(self) -> None:
         self.keys = np.zeros(0, dtype=_U)      # ascending hashes
         self.number = np.zeros(0, dtype=_U)    # of each key
         self.hash = np.zeros(1, dtype=_U)      # by number
-        self.word: list[bytes] = [b""]         # by number
 
-    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The words' numbers, given to new words as they come."""
-        hashes = byte_hash(data, start, end)
-        if self.seed:
-            hashes = mix(hashes ^ self.seed)
+    def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers, given to new words as they come; and for each
+        new word a place in ``hashes`` where it is."""
         keys, at, which = np.unique(hashes, return_index=True, return_inverse=True)
         to = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), dtype=bool)
@@ -107,8 +120,88 @@ class Numbers:
             self.keys = np.insert(self.keys, to[new], keys[new])
             self.number = np.insert(self.number, to[new], given)
             self.hash = np.concatenate([self.hash, keys[new]])
-            self.word += [data[a:b].tobytes() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)]
-        return self.number[np.searchsorted(self.keys, keys)][which]
+        return self.number[np.searchsorted(self.keys, keys)][which], at[new]
+
+
+def by_lang(batch: pa.RecordBatch, row: np.ndarray) -> Iterator[tuple[str, np.ndarray]]:
+    """Each language of a batch and which of its words are in it."""
+    langs = pc.dictionary_encode(pc.fill_null(batch.column(0), "und"))
+    code = np.asarray(langs.indices)[row]
+    for c in np.unique(code).tolist():
+        yield langs.dictionary[c].as_py(), code == c
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["`lang`"].cast("string").alias("lang"), text_of(docs).alias("text"))
+
+
+def count_words(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """(lang, id, word, f) of every word, added up."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, words, counts = Numbers(), [b""], {}
+
+        def write() -> Iterator[pa.RecordBatch]:
+            told = pa.array(words, pa.binary()).cast(pa.string())
+            for lang, n in counts.items():
+                for lo in range(0, len(n), 1 << 16):
+                    at = np.flatnonzero(n[lo : lo + (1 << 16)]) + lo
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(numbers.hash[at].view(np.int64)), told.take(pa.array(at)),
+                                                          pa.array(n[at], pa.int64())], names=["lang", "id", "word", "count"])
+            counts.clear()
+
+        for batch in chunks(batches, "text"):
+            data, start, end, row, _ = pieces(batch.column(1))
+            if not len(start):
+                continue
+            if len(words) > NUMBERED:
+                yield from write()
+                numbers, words = Numbers(), [b""]
+            ids, new = numbers.of(word_hashes(data, start, end, seed))
+            words += [data[a:b].tobytes() for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            for lang, mine in by_lang(batch, row):
+                seen = np.bincount(ids[mine].astype(np.int64), minlength=len(words))
+                if lang in counts:
+                    seen[: len(counts[lang])] += counts[lang]
+                counts[lang] = seen
+            if sum(map(len, counts.values())) > 8 * NUMBERED:  # many languages
+                yield from write()
+        yield from write()
+
+    return _columns(docs).mapInArrow(run, "lang string, id long, word string, count long").groupBy("lang", "id", "word").agg(F.sum("count").alias("f"))
+
+
+# ------------------------------------------------------------------ the filter
+
+def _places(hashes: np.ndarray, salt: np.uint64) -> Iterator[np.ndarray]:
+    h = mix(hashes ^ salt)
+    for k in range(FILTER_PLACES):
+        yield (h >> _U(32 * k)) % _U(FILTER_BITS)
+
+
+def word_filter(words: DataFrame, least: int = LEAST) -> np.ndarray:
+    """Bits of the words that occur ``least`` times: whatever their number,
+    the driver gets at most ``FILTER_BITS`` / 64 of the filter's 64-bit parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(batch.column(1)).view(_U)
+            for lang, mine in by_lang(batch, np.arange(batch.num_rows)):
+                at = np.concatenate(list(_places(ids[mine], lang_salt(lang))))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> _U(6)).astype(np.int64)), pa.array((_U(1) << (at & _U(63))).view(np.int64))], names=["at", "bits"])
+
+    parts = words.where(F.col("f") >= least).select("lang", "id").mapInArrow(run, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(FILTER_BITS >> 6, dtype=_U)
+    found = parts.toArrow()
+    out[np.asarray(found.column(0))] = np.asarray(found.column(1)).view(_U)
+    return out
+
+
+def frequent(bits: np.ndarray, hashes: np.ndarray, lang: str) -> np.ndarray:
+    """Whether each word may be one that occurs often enough in its language."""
+    ok = np.ones(len(hashes), dtype=bool)
+    for at in _places(hashes, lang_salt(lang)):
+        ok &= (bits[at >> _U(6)] >> (at & _U(63))) & _U(1) > 0
+    return ok
 
 
 # ------------------------------------------------------------------- the trie
@@ -224,32 +317,36 @@ def _opened(blob: bytes) -> list[np.ndarray]:
 
 
 def run_rows(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, lang: str, partitions: int) -> Iterator[dict]:
-    """Rows of a spilled run: its triples and the sums of its pairs."""
-    first, second, third = keys >> _U(2 * _ID), (keys >> _U(_ID)) & _MASK, keys & _MASK
-    head = np.flatnonzero(np.diff(keys >> _U(_ID), prepend=keys[0] >> _U(_ID)) > 0) if len(keys) else np.zeros(0, dtype=np.int64)
-    head = np.concatenate([[0], head]).astype(np.int64) if len(keys) else head
-    pair = second[head] > 0
-    sums = np.add.reduceat(counts, head) if len(head) else counts
-    whole = third > 0
-    w1, w2 = np.concatenate([first[head][pair], first[whole]]), np.concatenate([second[head][pair], second[whole]])
-    w3 = np.concatenate([np.zeros(int(pair.sum()), dtype=_U), third[whole]])
-    n = np.concatenate([sums[pair], counts[whole]])
-    if not len(n):
+    """Rows of a run: its triples, and the sums of its pairs as triples without
+    a third word (hash 0).  All but the partition numbers is made a row at a time."""
+    pair = keys >> _U(_ID)
+    if not ((pair & _MASK) > 0).any():
         return
-    # hash 0 stands for no third word
-    g1, g2, g3 = hashes[w1], hashes[w2], np.where(w3 > 0, hashes[w3], _U(0))
-    spread = _U(-(-partitions // 8))
-    salt = byte_hash(np.frombuffer(lang.encode() + b"|", dtype=np.uint8), np.array([0]), np.array([len(lang.encode()) + 1]))[0]
-    part = (mix(mix(g1 ^ salt) ^ g2) + mix(g3) % spread) % _U(partitions)
-    order = np.lexsort((g3, g2, g1, part))
-    g1, g2, g3, n, part = g1[order], g2[order], g3[order], n[order], part[order]
-    border = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    sums = np.add.reduceat(counts, head)
+    two, whole = (pair[head] & _MASK) > 0, (keys & _MASK) > 0
+    keys, counts = np.concatenate([pair[head][two] << _U(_ID), keys[whole]]), np.concatenate([sums[two], counts[whole]])
+    del pair, head, sums, two, whole
+    spread, salt = _U(-(-partitions // 8)), lang_salt(lang)
+
+    def words_of(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        third = k & _MASK
+        return hashes[k >> _U(2 * _ID)], hashes[(k >> _U(_ID)) & _MASK], np.where(third > 0, hashes[third], _U(0))
+
+    part = np.empty(len(keys), dtype=np.uint32)
+    for lo in range(0, len(keys), ROW_ENTRIES):
+        g1, g2, g3 = words_of(keys[lo : lo + ROW_ENTRIES])
+        part[lo : lo + ROW_ENTRIES] = (mix(mix(g1 ^ salt) ^ g2) + mix(g3) % spread) % _U(partitions)
+    order = np.argsort(part, kind="stable")
+    border = np.flatnonzero(np.diff(part[order], prepend=part[order[0]] + 1, append=part[order[-1]] + 1))
     for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
         for lo in range(a, b, ROW_ENTRIES):
-            at = slice(lo, min(b, lo + ROW_ENTRIES))
-            words, index = np.unique(np.concatenate([g1[at], g2[at], g3[at]]), return_inverse=True)
+            at = order[lo : min(b, lo + ROW_ENTRIES)]
+            g1, g2, g3 = words_of(keys[at])
+            sort = np.lexsort((g3, g2, g1))
+            words, index = np.unique(np.concatenate([g1[sort], g2[sort], g3[sort]]), return_inverse=True)
             i1, i2, i3 = np.split(index, 3)
-            yield {"part": int(part[lo]), "lang": lang, "words": words.astype("<u8").tobytes(), "entries": _sections(np.diff(i1, prepend=0), i2, i3, n[at])}
+            yield {"part": int(part[at[0]]), "lang": lang, "words": words.astype("<u8").tobytes(), "entries": _sections(np.diff(i1, prepend=0), i2, i3, counts[at[sort]])}
 
 
 def row_entries(words: bytes, entries: bytes) -> tuple[np.ndarray, ...]:
@@ -258,16 +355,16 @@ def row_entries(words: bytes, entries: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(words, dtype="<u8"), np.cumsum(w1, dtype=np.uint32), w2.astype(np.uint32), w3.astype(np.uint32), n.astype(np.int64)
 
 
-_COUNTED = "part int, lang string, words binary, entries binary, id long, word string, count long"
+_RUNS = "part int, lang string, words binary, entries binary"
 
 
-def count_phrases(docs: DataFrame, partitions: int, seed: int = 0) -> DataFrame:
-    """Runs (part not null) and the tasks' vocabularies (lang, id, word, count)."""
-    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("entries", pa.binary()), ("id", pa.int64()), ("word", pa.string()),
-                        ("count", pa.int64())])
+def count_phrases(docs: DataFrame, bits: np.ndarray, partitions: int, seed: int = 0) -> DataFrame:
+    """Sorted runs of the phrases whose words pass the filter ``bits``."""
+    schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("entries", pa.binary())])
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, tries, runs, counts = Numbers(seed), {}, {}, {}
+        numbers, tries, runs = Numbers(), {}, {}
 
         def spill(keep: int) -> None:
             """Take the largest subtrees out of the tries, as runs."""
@@ -287,50 +384,36 @@ def count_phrases(docs: DataFrame, partitions: int, seed: int = 0) -> DataFrame:
                         yield pa.RecordBatch.from_pylist([row], schema)
                 runs.clear()
 
-        def vocabulary() -> Iterator[pa.RecordBatch]:
-            words = pa.array(numbers.word, pa.binary()).cast(pa.string())
-            for lang, n in counts.items():
-                for lo in range(0, len(n), 1 << 16):
-                    at = np.flatnonzero(n[lo : lo + (1 << 16)]) + lo
-                    if len(at):
-                        none = pa.nulls(len(at), pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int32()), pa.array([lang] * len(at), pa.string()), none, none,
-                                                          pa.array(numbers.hash[at].view(np.int64)), words.take(pa.array(at)), pa.array(n[at], pa.int64())], schema=schema)
-            counts.clear()
-
         for batch in chunks(batches, "text"):
             data, start, end, row, linked = pieces(batch.column(1))
-            if not len(start):
-                continue
             if len(numbers.hash) > NUMBERED:
                 spill(0)
                 yield from write(0)
-                yield from vocabulary()
-                numbers, tries = Numbers(seed), {}
-            ids = numbers.of(data, start, end)
-            second = np.where(linked, np.append(ids[1:], _U(0)), _U(0))
-            third = np.where(linked, np.append(second[1:], _U(0)), _U(0))
-            keys = (ids << _U(2 * _ID)) | (second << _U(_ID)) | third
-            langs = pc.dictionary_encode(pc.fill_null(batch.column(0), "und"))
-            code = np.asarray(langs.indices)[row]
-            for c in np.unique(code).tolist():
-                lang, mine = langs.dictionary[c].as_py(), code == c
-                seen = np.bincount(ids[mine].astype(np.int64), minlength=len(numbers.hash))
-                if lang in counts:
-                    seen[: len(counts[lang])] += counts[lang]
-                counts[lang] = seen
-                tries.setdefault(lang, HatTrie()).add(*np.unique(keys[mine], return_counts=True))
+                numbers, tries = Numbers(), {}
+            hashes = word_hashes(data, start, end, seed)
+            for lang, mine in by_lang(batch, row):
+                place = np.flatnonzero(mine)
+                kept = frequent(shared.value, hashes[place], lang)
+                if not kept.any():
+                    continue
+                # a place is followed by the next word of its language's texts, and that only if it is linked
+                ids = np.zeros(len(place), dtype=_U)
+                ids[kept] = numbers.of(hashes[place[kept]])[0]
+                follows = linked[place] & kept
+                second = np.where(follows, np.append(ids[1:], _U(0)), _U(0))
+                third = np.where(second > 0, np.append(second[1:], _U(0)), _U(0))
+                two = second > 0  # single words are counted already
+                keys = (ids[two] << _U(2 * _ID)) | (second[two] << _U(_ID)) | third[two]
+                if len(keys):
+                    tries.setdefault(lang, HatTrie()).add(*np.unique(keys, return_counts=True))
             if sum(t.size for t in tries.values()) > HELD:
                 spill(HELD // 2)
                 if sum(len(k) for held in runs.values() for k, _ in held) > RUN_ENTRIES:
                     yield from write(RUN_ENTRIES // 2)
-            if sum(map(len, counts.values())) > 8 * NUMBERED:  # many languages
-                yield from vocabulary()
         spill(0)
         yield from write(0)
-        yield from vocabulary()
 
-    return docs.select(docs["`lang`"].cast("string").alias("lang"), text_of(docs).alias("text")).mapInArrow(run, _COUNTED)
+    return _columns(docs).mapInArrow(run, _RUNS)
 
 
 class Merge:
@@ -399,8 +482,7 @@ def merge_runs(runs: DataFrame, partitions: int, least: int = LEAST) -> DataFram
         if held.size:
             yield from close()
 
-    rows = runs.where("part IS NOT NULL").select("part", "lang", "words", "entries")
-    return rows.repartition(max(8, partitions // 4), "part").sortWithinPartitions("part", "lang").mapInArrow(run, "lang string, w1 long, w2 long, w3 long, a long")
+    return runs.repartition(max(8, partitions // 4), "part").sortWithinPartitions("part", "lang").mapInArrow(run, "lang string, w1 long, w2 long, w3 long, a long")
 
 
 # ----------------------------------------------------------------- the phrases
@@ -418,10 +500,9 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     partitions = max(8, -(-size // PARTITION_BYTES))
     seed = 0
     while True:
-        runs = stored(count_phrases(docs, partitions, seed), "phrase-runs")
-        words = stored(runs.where("part IS NULL").groupBy("lang", "id", "word").agg(F.sum("count").alias("f")), "phrase-words")
+        words = stored(count_words(docs, seed), "phrase-words")
         if words.groupBy("lang", "id").count().where("count > 1").isEmpty():
-            return words, stored(merge_runs(runs, partitions), "phrases")
+            return words, stored(merge_runs(count_phrases(docs, word_filter(words), partitions, seed), partitions), "phrases")
         seed = seed * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1
 
 

@@ -304,3 +304,143 @@ def run_all(m) -> DataFrame:
         row(null_payout(m.stg_engagements), "null_payout", "stg_engagements", "null_or_zero_payouts", "total_engagements"),
     ]
     return _union([*generic.values(), *singular])
+
+
+# ------------------------------------------------------ the rows that fail
+
+#: key columns of every checked table
+TABLE_KEYS = {
+    "experts": ["expert_id"],
+    "funnel_events": ["event_id"],
+    "engagements": ["engagement_id"],
+    "daily_channel_spend": ["date", "channel", "campaign_name"],
+    "stg_experts": ["expert_id"],
+    "stg_funnel_events": ["event_id"],
+    "stg_engagements": ["engagement_id"],
+    "stg_daily_channel_spend": ["spend_date", "channel", "campaign_name"],
+    "expert_funnel_summary": ["expert_id"],
+    "expert_with_engagement": ["expert_id"],
+    "expert_sessions": ["event_id"],
+    "funnel_conversion": ["stage"],
+    "cohort_conversion": ["signup_week"],
+    "channel_performance": ["signup_source"],
+}
+
+#: columns of the models and marts, beside those of ``SOURCE_TESTS``
+MODEL_NOT_NULL = {
+    "expert_funnel_summary": ["expert_id"],
+    "expert_with_engagement": ["expert_id"],
+    "expert_sessions": ["event_id"],
+    "funnel_conversion": ["stage", "experts_reached"],
+    "cohort_conversion": ["signup_week"],
+    "channel_performance": ["signup_source"],
+}
+MODEL_UNIQUE = {
+    "expert_funnel_summary": "expert_id",
+    "expert_with_engagement": "expert_id",
+    "expert_sessions": "event_id",
+    "cohort_conversion": "signup_week",
+    "channel_performance": "signup_source",
+}
+
+
+def checked_table(m, table: str) -> DataFrame:
+    """A table of the graph by the name that checks report it under."""
+    from . import funnel, reports
+
+    if table in SOURCE_TESTS:
+        return m.raw.as_dict()[table]
+    if table == "funnel_conversion":
+        return funnel.funnel_conversion(m.expert_funnel_summary)
+    if table == "cohort_conversion":
+        return reports.cohort_conversion(m.expert_with_engagement)
+    if table == "channel_performance":
+        return reports.channel_performance(m.expert_with_engagement, m.channel_spend_summary)
+    return getattr(m, table)
+
+
+def declared(check: str) -> list[tuple[str, str]]:
+    """(table, column) of every place where a generic check is declared."""
+    staged = {t: STAGING_COLUMNS[t][0] for t in SOURCE_TESTS}
+    if check == "not_null":
+        found = [(t, c) for t, spec in SOURCE_TESTS.items() for c in spec["not_null"]]
+        found += [(staged[t], c) for t, spec in SOURCE_TESTS.items() for c in spec["stg_not_null"]]
+        return found + [(t, c) for t, cols in MODEL_NOT_NULL.items() for c in cols]
+    if check == "unique":
+        found = [(name, spec["unique"]) for t, spec in SOURCE_TESTS.items() if spec["unique"] for name in (t, staged[t])]
+        return found + list(MODEL_UNIQUE.items())
+    if check == "accepted_values":
+        return [(name, spec["accepted"][0]) for t, spec in SOURCE_TESTS.items() for name in (t, staged[t])]
+    if check == "relationships":
+        return [("funnel_events", "expert_id"), ("engagements", "expert_id")]
+    raise ValueError(f"no generic check {check!r}")
+
+
+def failing_rows(m, check: str, table: str, column: str) -> DataFrame:
+    """The rows of ``table`` that fail a generic check, with all their columns.
+
+    Uniqueness and relationships find the bad keys first, by an aggregate with
+    map-side combine, and read the table once more through a semi-join on them:
+    a key that a third of the rows repeat is one bad key, and a skewed semi-join
+    is split at run time.
+    """
+    df = checked_table(m, table)
+    if check == "not_null":
+        return df.where(F.col(column).isNull())
+    if check == "accepted_values":
+        source = next(t for t in SOURCE_TESTS if table in (t, STAGING_COLUMNS[t][0]))
+        return df.where(~F.col(column).isin(list(SOURCE_TESTS[source]["accepted"][1])))
+    if check == "unique":
+        bad = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        return df.join(bad.select(column), column, "left_semi").select(*df.columns)
+    if check == "relationships":
+        known = m.raw.experts.select(F.col("expert_id").alias(column)).where(F.col(column).isNotNull())
+        orphans = df.select(column).where(F.col(column).isNotNull()).distinct().join(known, column, "left_anti")
+        return df.join(orphans, column, "left_semi").select(*df.columns)
+    raise ValueError(f"no generic check {check!r}")
+
+
+def misplaced_events(stg_events: DataFrame, parts: int | None = None) -> DataFrame:
+    """Events whose stage is lower than that of the expert's event before
+    (time order, ties by stage then event_id), with ``previous_stage_order``."""
+    order = ["event_at", "stage_order", "event_id"]
+    cut = sliced(stg_events, "expert_id", order, parts)
+    w = Window.partitionBy(*Sliced.PART).orderBy(*order)
+    ev = cut.rows.withColumns({"_i": F.row_number().over(w), "previous_stage_order": F.lag("stage_order").over(w)})
+    if cut.heavy is not None:
+        # the last stage of the slice before, one row a slice
+        rows = cut.of_heavy().select(*Sliced.PART, F.row_number().over(w).alias("_i"), "stage_order")
+        last = rows.groupBy(*Sliced.PART).agg(F.max_by("stage_order", "_i").alias("_last"))
+        before = last.select(*Sliced.PART, F.lag("_last").over(cut.per_key()).alias("_before"))
+        ev = ev.join(F.broadcast(before), list(Sliced.PART), "left")
+        ev = ev.withColumn("previous_stage_order", F.when(F.col("_i") == 1, F.col("_before")).otherwise(F.col("previous_stage_order")))
+    return ev.where(F.col("stage_order") < F.col("previous_stage_order")).select(*stg_events.columns, "previous_stage_order")
+
+
+def failures(m, check: str) -> DataFrame:
+    """Every offending row of a check: check_name, table_name, column_name,
+    row_key (the row's key, as text) and value (what is wrong there, as text).
+
+    ``check`` is a generic check (not_null, unique, accepted_values,
+    relationships) over all the places where it is declared, or null_utm,
+    timestamp_ordering, no_activated_rejected, null_payout.  A listing never
+    depends on a check's threshold.
+    """
+
+    def rows(df: DataFrame, table: str, column: str, value) -> DataFrame:
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in TABLE_KEYS[table]])
+        return df.select(F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), F.lit(column).cast("string").alias("column_name"), key.alias("row_key"),
+                         value.cast("string").alias("value"))
+
+    if check == "null_utm":
+        bad = F.coalesce("utm_campaign", "utm_medium", "utm_source").isNull() & ~F.col("signup_source").isin(UNPAID_CHANNELS)
+        return rows(m.stg_experts.where(bad), "stg_experts", "utm_campaign", F.col("signup_source"))
+    if check == "timestamp_ordering":
+        found = misplaced_events(m.stg_funnel_events)
+        return rows(found, "stg_funnel_events", "stage_order", F.concat_ws(" after ", F.col("stage_order").cast("string"), F.col("previous_stage_order").cast("string")))
+    if check == "no_activated_rejected":
+        return rows(activated_rejected(m.expert_funnel_summary), "expert_funnel_summary", "is_rejected", F.col("is_rejected"))
+    if check == "null_payout":
+        bad = F.coalesce(F.col("payout_amount") == 0, F.lit(True))
+        return rows(m.stg_engagements.where(bad), "stg_engagements", "payout_amount", F.col("payout_amount"))
+    return _union([rows(failing_rows(m, check, t, c), t, c, F.col(c)) for t, c in declared(check)])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import histogram_stats
+from ..functions.ranks import ONE_TASK_ROWS, down, global_row_numbers
 from ..functions.scalar import pct, safe_div
 from ..functions.vocab import (
     ACTIVATION_WINDOW_DAYS,
@@ -20,6 +21,7 @@ from ..functions.vocab import (
     TOP_K,
     Z_THRESHOLD,
 )
+from ..session import checkpoint_dir
 
 MONEY_SUM = "decimal(28,2)"
 
@@ -178,12 +180,14 @@ def campaign_deep_dive(
     spend_summary: DataFrame,
     min_signups: int = MIN_SIGNUPS_FOR_RATE_RANK,
     top_k: int = TOP_K,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Paid campaigns: volume, activation, spend, cost, LTV:CAC, three ranks
     and a top-k flag.
 
-    Ranks are row numbers over all campaigns (an aggregate, so small) with
-    (signup_source, utm_campaign) as the tie-break.  Campaigns under
+    Ranks are row numbers over all campaigns with (signup_source,
+    utm_campaign) as the tie-break; campaign names are free text, so more than
+    ``one_task_rows`` of them are numbered in slices (``functions.ranks``).  Campaigns under
     ``min_signups`` rank after the others on activation and can still be top
     when fewer than ``top_k`` qualify, as in the reference.
     """
@@ -215,12 +219,18 @@ def campaign_deep_dive(
     )
     tie = [F.col("signup_source"), F.col("utm_campaign")]
     rate_if_big = F.when(F.col("total_signups") >= F.lit(min_signups), F.col("activation_rate_pct"))
-    ranked = j.withColumns(
+    # one row a campaign, kept: its ranks read it several times
+    checkpoint_dir(j.sparkSession)
+    j = j.checkpoint()
+    ranked = global_row_numbers(
+        j,
         {
-            "rank_by_volume": F.row_number().over(Window.orderBy(F.col("total_signups").desc(), *tie)),
-            "rank_by_activation": F.row_number().over(Window.orderBy(rate_if_big.desc_nulls_last(), *tie)),
-            "rank_by_ltv_cac": F.row_number().over(Window.orderBy(F.col("ltv_to_cac_ratio").desc_nulls_last(), *tie)),
-        }
+            "rank_by_volume": [down(F.col("total_signups")), *tie],
+            "rank_by_activation": [down(rate_if_big), *tie],
+            "rank_by_ltv_cac": [down(F.col("ltv_to_cac_ratio")), *tie],
+        },
+        j.count(),
+        one_task_rows,
     )
     k = F.lit(top_k)
     return ranked.select(

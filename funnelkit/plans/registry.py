@@ -85,6 +85,8 @@ QUERIES: dict[str, Callable[[Models], DataFrame]] = {
     "dq_timestamp_ordering": lambda m: quality.timestamp_ordering(m.stg_funnel_events),
     "dq_no_activated_rejected": lambda m: quality.activated_rejected(m.expert_funnel_summary),
     "dq_null_payout": lambda m: quality.null_payout(m.stg_engagements),
+    **{f"dq_failures_{c}": (lambda c: lambda m: quality.failures(m, c))(c) for c in (
+        "not_null", "unique", "accepted_values", "relationships", "null_utm", "timestamp_ordering", "no_activated_rejected", "null_payout")},
     # dashboard datasets
     "dash_kpis": dashboard.kpis,
     "dash_funnel": dashboard.funnel_bars,

@@ -58,14 +58,14 @@ def session_stream(
 
     Events later than ``watermark`` behind the newest event are dropped, and
     a session is final once the watermark passes its end.  ``dedupe`` drops
-    replayed events (same event_id) seen within the watermark.
+    replayed events (same id, expert, name and time) seen within the watermark.
     """
     # event time must be zone-aware for watermarks: the UTC instant of the
     # zone-free time (the session zone is UTC, see funnelkit.session)
     stg = stg_funnel_events(raw_events).withColumn("_et", F.col("event_at").cast(T.TimestampType()))
     stg = stg.withWatermark("_et", watermark)
     if dedupe:
-        stg = stg.dropDuplicatesWithinWatermark(["event_id"])
+        stg = stg.dropDuplicatesWithinWatermark(["event_id", "expert_id", "event_name", "_et"])
     g = stg.groupBy("expert_id", F.session_window("_et", session_gap(gap_minutes)).alias("w")).agg(
         F.min("event_at").alias("session_start_at"),
         F.max("event_at").alias("session_end_at"),

@@ -22,5 +22,5 @@ def test_contract_keys():
     q, o = queries(), oracle_sql()
     reports = registry.queries()
     # the training-data queries and the pipeline are there if their package is
-    assert len(reports) == 45 and set(reports) <= set(o) <= set(q)
+    assert len(reports) == 53 and set(reports) <= set(o) <= set(q)
     assert all(callable(f) for f in q.values())
