@@ -10,20 +10,23 @@
    shard's counts without the others'.
 4. The j-th block that a shard takes of a source is the block at place j of a
    pseudorandom permutation of the source's block numbers (one per epoch).
-5. Slots and blocks are joined by block number.
+5. Slots and the documents' pieces of blocks are joined by block number; the
+   words then go to their slots, and the shards are written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, floor, lgamma, log, log1p, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelkit.llm.common import stored, text_of
+from funnelkit.llm.common import scratch, stored, text_of
+from funnelkit.llm.native import word_array
 
 BLOCK_WORDS = 16
 SHARD_SLOTS = 1 << 16
@@ -68,18 +71,50 @@ def make_plan(rows: list, weights: tuple[float, ...], cap: float, block_words: i
     return Plan([r["source"] for r in rows], size, want, blocks, np.minimum(quota, (cap * blocks).astype(np.int64)))
 
 
+def _rise(a: int, k: int) -> float:
+    """log((a + k)! / a!), without taking the difference of large logarithms."""
+    x, y = a + 1, a + 1 + k
+    if min(x, y) < 16:
+        return lgamma(y) - lgamma(x)
+    return (x - 0.5) * log1p(k / x) + k * log(y) - k + (1 / y - 1 / x) / 12 - (1 / y**3 - 1 / x**3) / 360
+
+
+def hypergeometric(good: int, bad: int, take: int, rng: np.random.Generator) -> int:
+    """Good ones among ``take`` drawn without replacement, for any size:
+    rejection from a hat around the mode (ratio of uniforms), or inversion
+    where the result has few values."""
+    total = good + bad
+    low, high = max(0, take - bad), min(good, take)
+    if low >= high:
+        return low
+    mode = (take + 1) * (good + 1) // (total + 2)
+
+    def log_weight(z: int) -> float:
+        """Of z against the mode: the four factorials that z is in."""
+        k = z - mode
+        return -_rise(mode, k) - _rise(good - mode, -k) - _rise(take - mode, -k) - _rise(bad - take + mode, k)
+
+    if high - low <= 64:
+        weight = np.cumsum([exp(log_weight(z)) for z in range(low, high + 1)])
+        return low + int(np.searchsorted(weight, rng.random() * weight[-1], "right"))
+    mean = take * (good / total)
+    spread = sqrt((total - take) * mean / total * (bad / (total - 1)) + 0.5)
+    hat = 1.7155277699214135 * spread + 0.8989161620588988
+    while True:
+        u, v = 1 - rng.random(), rng.random()
+        z = floor(mean + 0.5 + hat * (v - 0.5) / u)
+        if low <= z <= high and 2 * log(u) <= log_weight(z):
+            return z
+
+
 def split(quota: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
     """How many of ``take`` slots go to each source: drawn without replacement
-    from the quotas; beyond what numpy draws, their shares and a drawn rest."""
-    total = int(quota.sum())
-    if total < 10**9:
-        return rng.multivariate_hypergeometric(quota, take, method="marginals")
-    part = quota * (take / total)
-    out = np.minimum(np.floor(part).astype(np.int64), quota)
-    while (rest := take - int(out.sum())) > 0:
-        room = quota - out
-        p = np.where(room > 0, part - np.floor(part) + 1e-9, 0)
-        out += np.minimum(rng.multinomial(rest, p / p.sum()), room)
+    from the quotas, one source after the other."""
+    out, rest = np.zeros_like(quota), int(quota.sum())
+    for s in np.flatnonzero(quota).tolist():
+        rest -= int(quota[s])
+        out[s] = hypergeometric(int(quota[s]), rest, take, rng)
+        take -= int(out[s])
     return out
 
 
@@ -146,14 +181,10 @@ def slots(spark: SparkSession, plan: Plan, seed: int, shard_slots: int = SHARD_S
         run, "shard long, slot long, src int, block long")
 
 
-def word_count(text) -> F.Column:
-    """Words of a text, by its non-space runs."""
-    return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-
-
 def packed(docs: DataFrame, weights: tuple[float, ...], cap: float, block_words: int, seed: int) -> tuple[DataFrame, Plan]:
-    """Sizes and places: doc_id, source, same (hash of the row's text), size,
-    src, start (words of the source before it), stored in the shared folder.
+    """Sizes and places: row (the row's place in ``docs``), doc_id, source, same
+    (hash of the row's text), size, src, start (words of the source before it),
+    stored in the shared folder.
 
     Places are running sums over (source, hash bucket) and inside each of
     them, so a source with a third of all rows is spread over ``BUCKETS``.
@@ -161,8 +192,8 @@ def packed(docs: DataFrame, weights: tuple[float, ...], cap: float, block_words:
     spark = docs.sparkSession
     text = text_of(docs)
     rows = stored(docs.select(
-        docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
-        F.xxhash64(text).alias("same"), word_count(text).alias("size")), "mix-sizes")
+        F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
+        F.xxhash64(text).alias("same"), F.size(word_array(text)).cast("long").alias("size")), "mix-sizes")
     in_bucket = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "same", F.lit(seed)), F.lit(BUCKETS)))
     by_bucket = in_bucket.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     sources = by_bucket.groupBy("source").agg(F.sum("n").alias("size"))
@@ -173,10 +204,10 @@ def packed(docs: DataFrame, weights: tuple[float, ...], cap: float, block_words:
     names = spark.createDataFrame(list(zip(range(len(found)), plan.source, strict=True)), "src int, source string")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_bucket.select("source", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "same").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "same", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = in_bucket.withColumn("in_bucket", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("a").join(
         starts.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket")))
-    placed = placed.select("a.doc_id", "a.source", "a.same", "a.size", (F.col("bucket_start") + F.col("in_bucket")).alias("start")).alias("p")
+    placed = placed.select("a.row", "a.doc_id", "a.source", "a.same", "a.size", (F.col("bucket_start") + F.col("in_bucket")).alias("start")).alias("p")
     named = placed.join(names.alias("n"), F.col("p.source").eqNullSafe(F.col("n.source"))).select("p.*", "n.src")
     return stored(named, "mix-places"), plan
 
@@ -187,31 +218,65 @@ def block_times(spark: SparkSession, plan: Plan, seed: int) -> DataFrame:
     return stored(slots(spark, plan, seed).groupBy("src", "block").agg(F.count("*").alias("times")), "mix-times")
 
 
-def op5(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = BLOCK_WORDS, seed: int = 5) -> DataFrame:
-    """What the mix takes of every document (see the query's contract).
+_MIX = "shard long, slot long, at long, source string, doc_id long, row long, first long, n_words long, text string"
 
-    A null or empty text has size 0 and nothing is taken of it; a null source
-    is a source of its own, last in order; repeated rows are documents of
-    their own (equal rows may swap what is taken of them); an empty table
-    gives no rows.
+
+def write_mix(docs: DataFrame, path: str, *, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = BLOCK_WORDS, seed: int = 5,
+              shard_slots: int = SHARD_SLOTS) -> tuple[DataFrame, Plan]:
+    """Write the mix at ``path`` and return the documents' places and the plan.
+
+    A row of the mix is a piece of a slot's block: shard, slot, at (the words
+    of the block before it), source, doc_id, row (the document's place in
+    ``docs``), first (the piece's first word in the document), n_words and text
+    (those words, one space between).  A shard lies in one part of the output,
+    in slot order.  ``docs`` should be a scan or a stored table.
+
+    Only numbers meet the slots; a document's text is then joined once to the
+    pieces that are taken of it, and goes to its shards.
     """
     spark = docs.sparkSession
     places, plan = packed(docs, weights, cap, block_words, seed)
-    times = block_times(spark, plan, seed)
     b = F.lit(block_words)
     pieces = places.where("size > 0").select(
-        "src", "start", "size",
+        "row", "src", "start", "size",
         F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"))
-    pieces = pieces.select("src", "start", "block", (
-        F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - F.greatest(F.col("start"), F.col("block") * b)).alias("n"))
-    taken = pieces.join(times, ["src", "block"]).groupBy("src", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    begin = F.greatest(F.col("start"), F.col("block") * b)
+    pieces = pieces.select("row", "src", "block", (begin - F.col("start")).alias("first"),
+                           (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).alias("n_words"), (begin - F.col("block") * b).alias("at"))
+    drawn = slots(spark, plan, seed, shard_slots).join(pieces, ["src", "block"])
+    per_row = drawn.groupBy("row").agg(F.collect_list(F.struct("shard", "slot", "at", "first", "n_words")).alias("takes"))
+    text = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
+                       text_of(docs).alias("text"))
+    words = text.join(per_row, "row").select("row", "doc_id", "source", "takes", word_array(F.col("text")).alias("words"))
+    taken = words.select("row", "doc_id", "source", F.explode(F.transform("takes", lambda t: F.struct(
+        t["shard"].alias("shard"), t["slot"].alias("slot"), t["at"].alias("at"), t["first"].alias("first"), t["n_words"].alias("n_words"),
+        F.array_join(F.slice("words", (t["first"] + 1).cast("int"), t["n_words"].cast("int")), " ").alias("text")))).alias("t")).select("row", "doc_id", "source", "t.*")
+    shards = max(1, -(-int(plan.quota.sum()) // shard_slots))
+    out = taken.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "at")
+    out.select("shard", "slot", "at", "source", "doc_id", "row", "first", "n_words", "text").write.parquet(path)
+    return places, plan
+
+
+def read_mix(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_MIX).parquet(path)
+
+
+def op5(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = BLOCK_WORDS, seed: int = 5) -> DataFrame:
+    """Write the mix to the shared folder and return what it took of every
+    document, counted from the shards (see the query's contract).
+
+    A null or empty text has size 0 and nothing is taken of it; a null source
+    is a source of its own, last in order; repeated rows are documents of
+    their own; a very long text is many blocks; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    path = scratch(spark, "mix")
+    places, plan = write_mix(docs, path, weights=weights, cap=cap, block_words=block_words, seed=seed)
+    taken = read_mix(spark, path).groupBy("row").agg(F.sum("n_words").alias("taken"))
     of = spark.createDataFrame(
         [(k, int(plan.size[k]), float(plan.target[k])) for k in range(len(plan.source))], "src int, source_size long, target double")
-    # empty texts share a place with the next one: they match nothing
-    keyed = places.withColumn("at", F.when(F.col("size") > 0, F.col("start"))).alias("d")
-    out = keyed.join(taken.alias("t"), (F.col("d.src") == F.col("t.src")) & (F.col("d.at") == F.col("t.start")), "left")
-    return out.select("d.doc_id", "d.size", "d.src", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken")).join(
-        of, "src").select("doc_id", "size", "source_size", "target", "taken")
+    out = places.join(taken, "row", "left").join(of, "src")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3.0, block_words: int = BLOCK_WORDS, seed: int = 5) -> DataFrame:
