@@ -15,8 +15,9 @@ bursts: into two ranges, or into the next level of the trie.  When the tries
 pass ``HELD`` entries, the largest containers, whole subtrees, are spilled as
 sorted runs until half are left.  A task merges its runs while they are small
 and writes them out at ``RUN_ENTRIES``: in one row to each prefix partition,
-with 64-bit hashes in place of the task's numbers, the sums of the subtrees
-(the pairs) beside their leaves (the triples).
+the sums of the subtrees (the pairs) beside their leaves (the triples).  The
+``SHARED`` most frequent words have one number in all tasks; of other words a
+row carries the 64-bit hashes.
 
 The runs are merged per prefix partition.  Everything in a run is already
 added up, so a triple meets at most one entry a run however often it occurs;
@@ -47,6 +48,8 @@ LEAST, SHARE, BEST = 10, 50, 2000
 BURST, HELD, RUN_ENTRIES = 1 << 14, 1 << 19, 1 << 21
 #: words that a task numbers before it starts anew
 NUMBERED = 1 << 20
+#: the most frequent words, which have the same numbers (1 to SHARED) everywhere
+SHARED = (1 << 20) - 1
 #: bits of the filter of frequent words, and places each word has in it
 FILTER_BITS, FILTER_PLACES = 1 << 26, 2
 #: bytes of text that a prefix partition stands for
@@ -99,12 +102,14 @@ def lang_salt(lang: str) -> np.uint64:
 
 
 class Numbers:
-    """A task's word numbers (from 1) by the words' global hashes."""
+    """A task's word numbers by the words' global hashes: from 1, or after
+    those of the ``shared`` words (hashes by number, 0 for none, 1 and on)."""
 
-    def __init__(self) -> None:
-        self.keys = np.zeros(0, dtype=_U)      # ascending hashes
-        self.number = np.zeros(0, dtype=_U)    # of each key
-        self.hash = np.zeros(1, dtype=_U)      # by number
+    def __init__(self, shared: np.ndarray | None = None) -> None:
+        self.hash = np.zeros(1, dtype=_U) if shared is None else shared  # by number
+        order = np.argsort(self.hash[1:])
+        self.keys = self.hash[1:][order]                # ascending hashes
+        self.number = order.astype(_U) + _U(1)          # of each key
 
     def of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers, given to new words as they come; and for each
@@ -204,6 +209,13 @@ def frequent(bits: np.ndarray, hashes: np.ndarray, lang: str) -> np.ndarray:
     return ok
 
 
+def shared_words(words: DataFrame, least: int = LEAST, most: int = SHARED) -> np.ndarray:
+    """Hashes of the ``most`` most frequent words of all languages, most
+    frequent first, after a 0: the driver gets no more than those."""
+    often = words.where(F.col("f") >= least).groupBy("id").agg(F.sum("f").alias("f")).orderBy(F.desc("f"), "id").limit(most)
+    return np.concatenate([np.zeros(1, dtype=_U), np.asarray(often.select("id").toArrow().column(0)).view(_U)])
+
+
 # ------------------------------------------------------------------- the trie
 
 class HatTrie:
@@ -301,7 +313,8 @@ def _sections(*parts: np.ndarray) -> bytes:
     for a in parts:
         top = int(a.max()) if len(a) else 0
         size = next(s for s in (1, 2, 4, 8) if top < 1 << (8 * s))
-        body = a.astype(f"<u{size}").tobytes()
+        # byte by byte over all numbers: the upper bytes are mostly alike
+        body = a.astype(f"<u{size}").view(np.uint8).reshape(len(a), size).T.tobytes()
         raw += bytes([size]) + len(body).to_bytes(8, "little") + body
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
@@ -311,14 +324,15 @@ def _opened(blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(raw):
         size, n = raw[at], int.from_bytes(raw[at + 1 : at + 9], "little")
-        out.append(np.frombuffer(raw, dtype=f"<u{size}", offset=at + 9, count=n // size))
+        out.append(np.frombuffer(raw, dtype=np.uint8, offset=at + 9, count=n).reshape(size, n // size).T.copy().view(f"<u{size}").ravel())
         at += 9 + n
     return out
 
 
-def run_rows(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, lang: str, partitions: int) -> Iterator[dict]:
-    """Rows of a run: its triples, and the sums of its pairs as triples without
-    a third word (hash 0).  All but the partition numbers is made a row at a time."""
+def run_rows(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, shared: int, lang: str, partitions: int) -> Iterator[dict]:
+    """Rows of a run: its triples, and the sums of its pairs as triples whose
+    third word is 0.  All but the partition numbers is made a row at a time.
+    Numbers up to ``shared`` stay; the others become places in the row's hashes."""
     pair = keys >> _U(_ID)
     if not ((pair & _MASK) > 0).any():
         return
@@ -328,29 +342,29 @@ def run_rows(keys: np.ndarray, counts: np.ndarray, hashes: np.ndarray, lang: str
     keys, counts = np.concatenate([pair[head][two] << _U(_ID), keys[whole]]), np.concatenate([sums[two], counts[whole]])
     del pair, head, sums, two, whole
     spread, salt = _U(-(-partitions // 8)), lang_salt(lang)
-
-    def words_of(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        third = k & _MASK
-        return hashes[k >> _U(2 * _ID)], hashes[(k >> _U(_ID)) & _MASK], np.where(third > 0, hashes[third], _U(0))
-
+    split = lambda k: (k >> _U(2 * _ID), (k >> _U(_ID)) & _MASK, k & _MASK)
     part = np.empty(len(keys), dtype=np.uint32)
     for lo in range(0, len(keys), ROW_ENTRIES):
-        g1, g2, g3 = words_of(keys[lo : lo + ROW_ENTRIES])
-        part[lo : lo + ROW_ENTRIES] = (mix(mix(g1 ^ salt) ^ g2) + mix(g3) % spread) % _U(partitions)
+        w1, w2, w3 = split(keys[lo : lo + ROW_ENTRIES])
+        third = np.where(w3 > 0, mix(hashes[w3]) % spread, _U(0))
+        part[lo : lo + ROW_ENTRIES] = (mix(mix(hashes[w1] ^ salt) ^ hashes[w2]) + third) % _U(partitions)
     order = np.argsort(part, kind="stable")
     border = np.flatnonzero(np.diff(part[order], prepend=part[order[0]] + 1, append=part[order[-1]] + 1))
     for a, b in zip(border[:-1].tolist(), border[1:].tolist(), strict=True):
         for lo in range(a, b, ROW_ENTRIES):
             at = order[lo : min(b, lo + ROW_ENTRIES)]
-            g1, g2, g3 = words_of(keys[at])
-            sort = np.lexsort((g3, g2, g1))
-            words, index = np.unique(np.concatenate([g1[sort], g2[sort], g3[sort]]), return_inverse=True)
-            i1, i2, i3 = np.split(index, 3)
-            yield {"part": int(part[at[0]]), "lang": lang, "words": words.astype("<u8").tobytes(), "entries": _sections(np.diff(i1, prepend=0), i2, i3, counts[at[sort]])}
+            w = np.concatenate(split(keys[at]))
+            own = np.flatnonzero(w > shared)
+            words, place = np.unique(hashes[w[own]], return_inverse=True)
+            w[own] = _U(shared + 1) + place.astype(_U)
+            w1, w2, w3 = np.split(w, 3)
+            sort = np.lexsort((w3, w2, w1))
+            yield {"part": int(part[at[0]]), "lang": lang, "words": words.astype("<u8").tobytes(),
+                   "entries": _sections(np.diff(w1[sort], prepend=_U(0)), w2[sort], w3[sort], counts[at[sort]])}
 
 
 def row_entries(words: bytes, entries: bytes) -> tuple[np.ndarray, ...]:
-    """(hashes, w1, w2, w3, n) of a run's row, the words as places in the hashes."""
+    """(hashes, w1, w2, w3, n) of a run's row."""
     w1, w2, w3, n = _opened(entries)
     return np.frombuffer(words, dtype="<u8"), np.cumsum(w1, dtype=np.uint32), w2.astype(np.uint32), w3.astype(np.uint32), n.astype(np.int64)
 
@@ -358,13 +372,15 @@ def row_entries(words: bytes, entries: bytes) -> tuple[np.ndarray, ...]:
 _RUNS = "part int, lang string, words binary, entries binary"
 
 
-def count_phrases(docs: DataFrame, bits: np.ndarray, partitions: int, seed: int = 0) -> DataFrame:
-    """Sorted runs of the phrases whose words pass the filter ``bits``."""
+def count_phrases(docs: DataFrame, bits: np.ndarray, common: np.ndarray, partitions: int, seed: int = 0) -> DataFrame:
+    """Sorted runs of the phrases whose words pass the filter ``bits``;
+    ``common``: see ``shared_words``."""
     schema = pa.schema([("part", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("entries", pa.binary())])
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared, first = docs.sparkSession.sparkContext.broadcast((bits, common)), len(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, tries, runs = Numbers(), {}, {}
+        bits, common = shared.value
+        numbers, tries, runs = Numbers(common), {}, {}
 
         def spill(keep: int) -> None:
             """Take the largest subtrees out of the tries, as runs."""
@@ -380,20 +396,20 @@ def count_phrases(docs: DataFrame, bits: np.ndarray, partitions: int, seed: int
                     runs[lang] = [add_up(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))]
             if sum(len(k) for held in runs.values() for k, _ in held) > most:
                 for lang, held in runs.items():
-                    for row in run_rows(*held[0], numbers.hash, lang, partitions):
+                    for row in run_rows(*held[0], numbers.hash, first - 1, lang, partitions):
                         yield pa.RecordBatch.from_pylist([row], schema)
                 runs.clear()
 
         for batch in chunks(batches, "text"):
             data, start, end, row, linked = pieces(batch.column(1))
-            if len(numbers.hash) > NUMBERED:
+            if len(numbers.hash) - first > NUMBERED // 2:
                 spill(0)
                 yield from write(0)
-                numbers, tries = Numbers(), {}
+                numbers, tries = Numbers(common), {}
             hashes = word_hashes(data, start, end, seed)
             for lang, mine in by_lang(batch, row):
                 place = np.flatnonzero(mine)
-                kept = frequent(shared.value, hashes[place], lang)
+                kept = frequent(bits, hashes[place], lang)
                 if not kept.any():
                     continue
                 # a place is followed by the next word of its language's texts, and that only if it is linked
@@ -417,10 +433,11 @@ def count_phrases(docs: DataFrame, bits: np.ndarray, partitions: int, seed: int
 
 
 class Merge:
-    """Sorted runs of one prefix partition and language, added up."""
+    """Sorted runs of one prefix partition and language, added up; words with
+    numbers above ``shared`` are told by their hashes."""
 
-    def __init__(self) -> None:
-        self.words, self.held, self.size = np.zeros(0, dtype=_U), [], 0
+    def __init__(self, shared: int) -> None:
+        self.shared, self.held, self.size = shared, [], 0
 
     def add(self, words: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray, n: np.ndarray) -> None:
         self.held.append((words, w1, w2, w3, n))
@@ -428,21 +445,24 @@ class Merge:
 
     def merge(self) -> None:
         """All runs as one, in order, equal triples once."""
-        words = np.unique(np.concatenate([r[0] for r in self.held]))
+        words, top = np.unique(np.concatenate([r[0] for r in self.held])), np.uint32(self.shared + 1)
         w1, w2, w3 = [], [], []
         for r in self.held:
-            place = np.searchsorted(words, r[0]).astype(np.uint32)
+            place = np.searchsorted(words, r[0]).astype(np.uint32) + top
             for out, w in zip((w1, w2, w3), r[1:4], strict=True):
-                out.append(place[w])
+                own = np.flatnonzero(w >= top)
+                if len(own):
+                    w = w.copy()
+                    w[own] = place[w[own] - top]
+                out.append(w)
         n = np.concatenate([r[4] for r in self.held])
         self.held = []
         w1, w2, w3 = np.concatenate(w1), np.concatenate(w2), np.concatenate(w3)
-        bits = max(1, len(words).bit_length())
+        bits = max(1, (self.shared + 1 + len(words)).bit_length())
         if 3 * bits <= 64:  # runs are in order, so this merges them
             key, n = add_up((w1.astype(_U) << _U(2 * bits)) | (w2.astype(_U) << _U(bits)) | w3, n)
             mask = _U((1 << bits) - 1)
-            w1, w2, w3 = ((key >> _U(s)) & mask for s in (2 * bits, bits, 0))
-            w1, w2, w3 = w1.astype(np.uint32), w2.astype(np.uint32), w3.astype(np.uint32)
+            w1, w2, w3 = (((key >> _U(s)) & mask).astype(np.uint32) for s in (2 * bits, bits, 0))
         else:
             order = np.lexsort((w3, w2, w1))
             w1, w2, w3 = w1[order], w2[order], w3[order]
@@ -450,21 +470,24 @@ class Merge:
             w1, w2, w3, n = w1[first], w2[first], w3[first], np.add.reduceat(n[order], first)
         self.held, self.size = [(words, w1, w2, w3, n)], len(n)
 
-    def often(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(g1, g2, g3, n) of the triples and pairs that occur ``least`` times."""
+    def often(self, least: int, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the three words, n) of the triples and pairs that occur
+        ``least`` times; hash 0 for no third word."""
         self.merge()
         words, w1, w2, w3, n = self.held[0]
-        at = np.flatnonzero(n >= least)
-        return words[w1[at]], words[w2[at]], words[w3[at]], n[at]
+        at, hashes = np.flatnonzero(n >= least), np.concatenate([common, words])
+        return hashes[w1[at]], hashes[w2[at]], hashes[w3[at]], n[at]
 
 
-def merge_runs(runs: DataFrame, partitions: int, least: int = LEAST) -> DataFrame:
+def merge_runs(runs: DataFrame, common: np.ndarray, partitions: int, least: int = LEAST) -> DataFrame:
     """(lang, w1, w2, w3, a) of all phrases that occur ``least`` times; w3 is 0 for pairs."""
+    shared, top = runs.sparkSession.sparkContext.broadcast(common), len(common) - 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, held, ceiling = None, Merge(), MERGE_ENTRIES
+        name, held, ceiling = None, Merge(top), MERGE_ENTRIES
 
         def close() -> Iterator[pa.RecordBatch]:
-            g1, g2, g3, n = held.often(least)
+            g1, g2, g3, n = held.often(least, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([name[1]] * len(n), pa.string()), *[pa.array(g.view(np.int64)) for g in (g1, g2, g3)], pa.array(n)],
                                              names=["lang", "w1", "w2", "w3", "a"])
 
@@ -474,7 +497,7 @@ def merge_runs(runs: DataFrame, partitions: int, least: int = LEAST) -> DataFram
                 if (part, lang) != name:
                     if held.size:
                         yield from close()
-                    name, held, ceiling = (part, lang), Merge(), MERGE_ENTRIES
+                    name, held, ceiling = (part, lang), Merge(top), MERGE_ENTRIES
                 held.add(*row_entries(words, entries))
                 if held.size > ceiling:
                     held.merge()
@@ -502,7 +525,9 @@ def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while True:
         words = stored(count_words(docs, seed), "phrase-words")
         if words.groupBy("lang", "id").count().where("count > 1").isEmpty():
-            return words, stored(merge_runs(count_phrases(docs, word_filter(words), partitions, seed), partitions), "phrases")
+            common = shared_words(words)
+            runs = count_phrases(docs, word_filter(words), common, partitions, seed)
+            return words, stored(merge_runs(runs, common, partitions), "phrases")
         seed = seed * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1
 
 
@@ -534,6 +559,9 @@ def op13(docs: DataFrame, best: int = BEST) -> DataFrame:
     most = inside.groupBy("lang", F.col("p.w1").alias("w1"), F.col("p.w2").alias("w2")).agg(F.max("a").alias("most"))
     free = pairs.join(most, ["lang", "w1", "w2"], "left").where(f"most IS NULL OR 100 * most < {SHARE} * a")
     both = free.select("lang", F.concat_ws(" ", "word1", "word2").alias("phrase"), "a", "l", "r", _score("a", "l", "r").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = both.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    every = both.unionByName(three).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    # the best of each part of a language first, so that no task ranks all of one
+    some = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= best)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= best)
     return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

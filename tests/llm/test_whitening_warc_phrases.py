@@ -133,8 +133,8 @@ def test_scan_cuts_anywhere():
 # ------------------------------------------------------------------- phrases
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=80), st.integers(0, 60)), max_size=6))
-def test_trie_counts_through_bursts_and_spills(batches):
+@given(st.lists(st.tuples(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 9), st.integers(0, 9)), min_size=1, max_size=80), st.integers(0, 60)), max_size=6), st.sampled_from([0, 4, 9]))
+def test_trie_counts_through_bursts_and_spills(batches, shared):
     """Any order of batches, bursts and spills leaves the counts right."""
     burst, phrases.BURST = phrases.BURST, 8
     try:
@@ -154,13 +154,13 @@ def test_trie_counts_through_bursts_and_spills(batches):
     merges = {}
     for keys, n in out:
         assert (np.diff(keys.astype(object)) > 0).all()
-        for r in phrases.run_rows(keys, n, hashes, "en", 5):
-            merges.setdefault(r["part"], phrases.Merge()).add(*phrases.row_entries(r["words"], r["entries"]))
+        for r in phrases.run_rows(keys, n, hashes, shared, "en", 5):
+            merges.setdefault(r["part"], phrases.Merge(shared)).add(*phrases.row_entries(r["words"], r["entries"]))
     found = Counter()
     number = {int(h): k for k, h in enumerate(hashes)}
     for m in merges.values():
         m.merge()
-        for g1, g2, g3, n in zip(*m.often(1), strict=True):
+        for g1, g2, g3, n in zip(*m.often(1, hashes[: shared + 1]), strict=True):
             assert (number[int(g1)], number[int(g2)], number[int(g3)]) not in found
             found[(number[int(g1)], number[int(g2)], number[int(g3)])] = int(n)
     pairs = Counter()
