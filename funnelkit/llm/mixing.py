@@ -238,19 +238,25 @@ def write_mix(docs: DataFrame, path: str, *, weights: tuple[float, ...] = (1, 2,
     places, plan = packed(docs, weights, cap, block_words, seed)
     b = F.lit(block_words)
     pieces = places.where("size > 0").select(
-        "row", "src", "start", "size",
+        "row", "src", "start",
         F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b))).alias("block"))
-    begin = F.greatest(F.col("start"), F.col("block") * b)
-    pieces = pieces.select("row", "src", "block", (begin - F.col("start")).alias("first"),
-                           (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b) - begin).alias("n_words"), (begin - F.col("block") * b).alias("at"))
-    drawn = slots(spark, plan, seed, shard_slots).join(pieces, ["src", "block"])
-    per_row = drawn.groupBy("row").agg(F.collect_list(F.struct("shard", "slot", "at", "first", "n_words")).alias("takes"))
+    # slots are made in the tasks: their number isn't in any statistics, and
+    # must not be taken for a small table
+    drawn = slots(spark, plan, seed, shard_slots).hint("merge").join(pieces.hint("merge"), ["src", "block"])
+    per_row = drawn.groupBy("row").agg(F.max("start").alias("start"), F.collect_list(F.struct((F.col("shard") * shard_slots + F.col("slot")).alias("place"), "block")).alias("takes"))
     text = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"),
                        text_of(docs).alias("text"))
-    words = text.join(per_row, "row").select("row", "doc_id", "source", "takes", word_array(F.col("text")).alias("words"))
-    taken = words.select("row", "doc_id", "source", F.explode(F.transform("takes", lambda t: F.struct(
-        t["shard"].alias("shard"), t["slot"].alias("slot"), t["at"].alias("at"), t["first"].alias("first"), t["n_words"].alias("n_words"),
-        F.array_join(F.slice("words", (t["first"] + 1).cast("int"), t["n_words"].cast("int")), " ").alias("text")))).alias("t")).select("row", "doc_id", "source", "t.*")
+    words = text.join(per_row.hint("merge"), "row").select("row", "doc_id", "source", "start", "takes", word_array(F.col("text")).alias("words"))
+
+    def piece(t):
+        """The part of a block that is this document's."""
+        begin = F.greatest(F.col("start"), t["block"] * b)
+        end = F.least(F.col("start") + F.size("words"), (t["block"] + 1) * b)
+        first, n = begin - F.col("start"), end - begin
+        return F.struct(F.floor(t["place"] / shard_slots).alias("shard"), (t["place"] % shard_slots).alias("slot"), (begin - t["block"] * b).alias("at"), first.alias("first"),
+                        n.alias("n_words"), F.array_join(F.slice("words", (first + 1).cast("int"), n.cast("int")), " ").alias("text"))
+
+    taken = words.select("row", "doc_id", "source", F.explode(F.transform("takes", piece)).alias("t")).select("row", "doc_id", "source", "t.*")
     shards = max(1, -(-int(plan.quota.sum()) // shard_slots))
     out = taken.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "at")
     out.select("shard", "slot", "at", "source", "doc_id", "row", "first", "n_words", "text").write.parquet(path)

@@ -2,10 +2,15 @@
 
 Every document gets a vector of transformed statistics.  For each language and
 source the minimum-covariance-determinant location and scatter are found by
-concentration steps from a deterministic start (median and quartiles): order
-the group's rows by Mahalanobis distance, keep the nearest ``H_SHARE``, take
-their mean and covariance, repeat.  A row whose squared distance exceeds the
-chi-square cutoff is rejected.
+concentration: order the group's rows by Mahalanobis distance, keep the nearest
+``H_SHARE``, take their mean and covariance, repeat until no group's kept rows
+change.  Two deterministic starts (medians with quartile ranges; means with
+covariances) are followed, and each group uses the one of smaller determinant.
+A row whose squared distance exceeds the chi-square cutoff is rejected.
+
+Every group has an estimate of its own, however small.  A group of n rows is
+shrunk towards its language with weight PRIOR_ROWS / (n + PRIOR_ROWS), and a
+language likewise towards all rows, in every step: nothing switches at a size.
 
 One concentration step is one aggregate: rows are counted and summed by
 (group, distance bin), the bins are added up from the nearest, and the first
@@ -29,17 +34,18 @@ MIN_WORDS = 50
 UNIT = 1024
 #: the statistics and the least standard deviation each is given
 FLOOR = {"length": 0.10, "symbols": 0.30, "lines": 0.12, "repeats": 0.12}
-H_SHARE = 0.75
-STEPS = 4
-#: rows that a group needs for estimates of its own; smaller ones take their
-#: language's, and small languages take those of all rows
-MIN_ROWS = 200
+#: share of a group's rows that its estimate is made of: at half, up to half
+#: of the rows may be outliers
+H_SHARE = 0.5
+#: rows that a group's parent counts for: four times the number of statistics
+PRIOR_ROWS = 4 * len(FLOOR)
 TAIL = 1e-5
 BINS = 400
 #: groups up to which their estimates (20 numbers each) are broadcast
 BROADCAST_GROUPS = 100_000
 
 _P = len(FLOOR)
+STARTS = 2
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
 
@@ -138,14 +144,44 @@ def _squared_distance(frame: DataFrame) -> DataFrame:
     return frame.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, _P)), F.col("y0") * F.col("y0")))
 
 
-def _estimates(frame: DataFrame, moments: dict[str, Column]) -> DataFrame:
-    """(grp, n, means, factor) from means and covariances given as columns."""
-    found = _cholesky(frame.select("grp", "n", *[c.alias(k) for k, c in moments.items()]))
-    return found.select("grp", "n", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS])
+_MOMENTS = [f"m{i}" for i in range(_P)] + [f"c{i}{j}" for i, j in _PAIRS]
+
+
+def _family(rows: DataFrame) -> DataFrame:
+    """(grp, up) of every group with rows: its own name and its parent's.  A
+    name starts with the number of the start that the estimate follows."""
+    pairs = rows.select("lang", "source").distinct()
+    names = pairs.select(F.explode(F.array(*[F.lit(s) for s in range(STARTS)])).alias("start"), "lang", "source")
+    named = lambda *parts: F.concat_ws("\x02", F.col("start").cast("string"), _key(*parts))
+    two, one, none = named(2, F.col("lang"), F.col("source")), named(1, F.col("lang")), named(0)
+    rows = F.array(F.struct(two.alias("grp"), one.alias("up")), F.struct(one.alias("grp"), none.alias("up")), F.struct(none.alias("grp"), F.lit(None).cast("string").alias("up")))
+    return names.select(F.explode(rows).alias("f")).select("f.*").distinct()
+
+
+def _shrunk(moments: DataFrame, family: DataFrame, groups: int) -> DataFrame:
+    """(grp, n, k, mark, means, factor): every group's moments (grp, n, k,
+    mark, m*, c*) drawn towards its parent's, all rows first."""
+    small = F.broadcast if groups <= BROADCAST_GROUPS else lambda x: x
+    m = moments.join(small(family), "grp")
+    kept = ["grp", "n", "k", "mark"]
+    done = level = m.where("up IS NULL").select(*kept, *_MOMENTS)
+    weight = F.col("n") / (F.col("n") + PRIOR_ROWS)
+    for depth in ("1", "2"):
+        above = level.select(F.col("grp").alias("up"), *[F.col(c).alias(f"_{c}") for c in _MOMENTS])
+        mine = m.where(F.col("grp").substr(3, 1) == depth).join(small(above), "up")
+        level = mine.select(*kept, *[(weight * F.col(c) + (1 - weight) * F.col(f"_{c}")).alias(c) for c in _MOMENTS])
+        done = done.unionByName(level)
+    found = _cholesky(done)
+    return found.select(*kept, *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS])
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and quartile ranges as a diagonal scatter, from histograms."""
+def _floored(cov: dict[str, Column]) -> dict[str, Column]:
+    floors = list(FLOOR.values())
+    return {f"c{i}{j}": F.greatest(cov[f"c{i}{j}"], F.lit(0.0)) + floors[i] ** 2 if i == j else cov[f"c{i}{j}"] for i, j in _PAIRS}
+
+
+def _medians(rows: DataFrame) -> DataFrame:
+    """Moments from histograms: medians, and quartile ranges as a diagonal scatter."""
     bin_ = UNIT // 64
     long = rows.select("grp", F.explode(F.array(*[
         F.struct(F.lit(i).alias("f"), F.floor(F.col(f"x{i}") / bin_).alias("b")) for i in range(_P)])).alias("v")).select("grp", "v.*")
@@ -160,10 +196,25 @@ def _start(rows: DataFrame) -> DataFrame:
         F.max("n").alias("n"),
         *[of(i, (F.col("q2") + 0.5) / 64).alias(f"m{i}") for i in range(_P)],
         *[of(i, (F.col("q3") - F.col("q1")) / 64 / 1.349).alias(f"s{i}") for i in range(_P)])
-    floors = list(FLOOR.values())
-    zero = {f"c{i}{j}": F.lit(0.0) for i, j in _PAIRS}
-    diagonal = {f"c{i}{i}": F.col(f"s{i}") * F.col(f"s{i}") + floors[i] ** 2 for i in range(_P)}
-    return _estimates(wide, {f"m{i}": F.col(f"m{i}") for i in range(_P)} | zero | diagonal)
+    cov = {f"c{i}{j}": F.col(f"s{i}") * F.col(f"s{i}") if i == j else F.lit(0.0) for i, j in _PAIRS}
+    return wide.select("grp", "n", F.lit(0.0).alias("k"), F.lit(0).cast("long").alias("mark"), *[f"m{i}" for i in range(_P)], *[c.alias(k) for k, c in _floored(cov).items()])
+
+
+_SUMS = [f"s{i}" for i in range(_P)] + [f"p{i}{j}" for i, j in _PAIRS]
+
+
+def _summed() -> list[Column]:
+    return [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
+
+
+def _moments(kept: DataFrame, factor: float) -> DataFrame:
+    """Moments from a group's n, k (rows kept) and exact sums; ``mark`` tells
+    which rows were kept."""
+    d = lambda c: F.col(c).cast("double")
+    k = d("k")
+    mean = [d(f"s{i}") / k / UNIT for i in range(_P)]
+    cov = {f"c{i}{j}": (d(f"p{i}{j}") / k - d(f"s{i}") / k * d(f"s{j}") / k) / UNIT**2 * factor for i, j in _PAIRS}
+    return kept.select("grp", "n", k.alias("k"), F.xxhash64("k", *_SUMS).alias("mark"), *[c.alias(f"m{i}") for i, c in enumerate(mean)], *[c.alias(n) for n, c in _floored(cov).items()])
 
 
 def _joined(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
@@ -171,52 +222,57 @@ def _joined(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
 
 
 def _step(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
-    """One concentration step."""
-    near = _squared_distance(_joined(rows, estimates.drop("n"), groups)).withColumn(
+    """Moments of every group after one concentration step."""
+    near = _squared_distance(_joined(rows, estimates.drop("n", "k", "mark"), groups)).withColumn(
         "bin", F.least(F.lit(BINS - 1), F.floor(F.log1p("d2") * 40)).cast("int"))
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(_P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
-    bins = near.groupBy("grp", "bin").agg(F.count("*").alias("k"), *sums)
+    bins = near.groupBy("grp", "bin").agg(F.count("*").alias("k"), *_summed())
     before = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     kept = bins.withColumn("before", F.coalesce(F.sum("k").over(before), F.lit(0))).withColumn("n", F.sum("k").over(Window.partitionBy("grp")))
-    kept = kept.where(F.col("before") < H_SHARE * F.col("n")).groupBy("grp").agg(
-        F.max("n").alias("n"), F.sum("k").cast("double").alias("k"),
-        *[F.sum(f"s{i}").cast("double").alias(f"s{i}") for i in range(_P)], *[F.sum(f"p{i}{j}").cast("double").alias(f"p{i}{j}") for i, j in _PAIRS])
-    floors = list(FLOOR.values())
-    mean = {f"m{i}": F.col(f"s{i}") / F.col("k") / UNIT for i in range(_P)}
-    cov = {}
-    for i, j in _PAIRS:
-        c = (F.col(f"p{i}{j}") / F.col("k") - F.col(f"s{i}") / F.col("k") * F.col(f"s{j}") / F.col("k")) / UNIT**2 * CONSISTENCY
-        cov[f"c{i}{j}"] = F.greatest(c, F.lit(0.0)) + floors[i] ** 2 if i == j else c
-    return _estimates(kept, mean | cov)
+    kept = kept.where(F.col("before") < H_SHARE * F.col("n")).groupBy("grp").agg(F.max("n").alias("n"), F.sum("k").alias("k"), *[F.sum(c).alias(c) for c in _SUMS])
+    return _moments(kept, CONSISTENCY)
+
+
+def robust_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(grp, n, means, factor) of every language and source among ``rows``
+    (lang, source, x0 ..), grp without its start; and how many groups were fitted."""
+    family = stored(_family(rows), "quality-groups")
+    groups = family.count()
+    own = F.array(_key(2, F.col("lang"), F.col("source")), _key(1, F.col("lang")), _key(0))
+    started = lambda s: rows.select(F.explode(F.transform(own, lambda g: F.concat_ws("\x02", F.lit(str(s)), g))).alias("grp"), *[f"x{i}" for i in range(_P)])
+    means = started(1).groupBy("grp").agg(F.count("*").alias("n"), *_summed()).withColumn("k", F.col("n"))
+    moments = stored(_medians(started(0)).unionByName(_moments(means, 1.0)), "quality-start")
+    fit = started(0).unionByName(started(1))
+    # until no group changes; a few small ones may go round between the same
+    # sets, so until all groups are as they were after some earlier step
+    seen: set = set()
+    while True:
+        moments = stored(_step(fit, _shrunk(moments, family, groups), groups), "quality-step")
+        now = moments.agg(F.sum(F.pmod(F.xxhash64("grp", "mark"), F.lit(1 << 40)))).first()[0]
+        if now in seen:
+            break
+        seen.add(now)
+    volume = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, _P)), F.log("l00"))
+    each = stored(_shrunk(moments, family, groups), "quality-estimates").where(F.col("grp").substr(3, 1) == "2").select(
+        F.col("grp").substr(F.lit(3), F.length("grp")).alias("grp"), F.struct(F.round(volume, 9).alias("volume"), F.col("grp").alias("start"), "n", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS]).alias("e"))
+    return each.groupBy("grp").agg(F.min("e").alias("e")).select("grp", "e.*").drop("volume", "start"), groups
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """Base statistics, ``base_failed``, ``d2`` and ``kept`` for every row.
 
     Null text: no words, so the base rules reject it.  Null language or source
-    are values of their own.  Repeated rows count as often as they occur; no
-    order is used, so ties cannot matter.  Rows that fail the base rules take
+    are values of their own.  Very long texts are read whole.  Repeated rows
+    count as often as they occur; no order is used, so ties cannot matter.  Rows that fail the base rules take
     no part in the estimates.  An empty table gives no rows.
     """
-    rows = stored(base_columns(docs), "quality-stats").select("*", *_vector())
-    own = F.array(_key(2, F.col("lang"), F.col("source")), _key(1, F.col("lang")), _key(0))
-    fit = rows.where(~F.col("base_failed")).select(F.explode(own).alias("grp"), *[f"x{i}" for i in range(_P)])
-    estimates = stored(_start(fit), "quality-start")
-    groups = estimates.count()
-    for _ in range(STEPS):
-        estimates = stored(_step(fit, estimates, groups), "quality-step")
-    # each language and source uses the finest level with rows enough
-    cut = chi2_at(1 - TAIL, _P)
-    part = lambda k: F.substring_index("grp", "\x01", k)
-    fine = estimates.where(F.col("grp").startswith("2")).select("grp", F.concat(F.lit("1"), F.substring(part(2), 2, 1 << 30)).alias("up"), (F.col("n") >= MIN_ROWS).alias("fine"))
-    coarse = estimates.where(F.col("grp").startswith("1")).select(F.col("grp").alias("up"), (F.col("n") >= MIN_ROWS).alias("ok"))
-    use = fine.join(coarse, "up").select("grp", F.when(F.col("fine"), F.col("grp")).when(F.col("ok"), F.col("up")).otherwise(_key(0)).alias("use"))
-    chosen = use.join(estimates.drop("n").withColumnRenamed("grp", "use"), "use").drop("use")
+    rows = stored(base_columns(docs).select("*", *_vector()), "quality-stats")
+    estimates, groups = robust_estimates(rows.where(~F.col("base_failed")).select("lang", "source", *[f"x{i}" for i in range(_P)]))
     keyed = rows.withColumn("grp", _key(2, F.col("lang"), F.col("source")))
-    found = _squared_distance(keyed.join(F.broadcast(chosen) if groups <= BROADCAST_GROUPS else chosen, "grp", "left"))
-    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(False)))
+    chosen = F.broadcast(estimates) if groups <= BROADCAST_GROUPS else estimates
+    found = _squared_distance(keyed.join(chosen.withColumnRenamed("n", "group_rows"), "grp", "left"))
+    return found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_at(1 - TAIL, _P), F.lit(False)))
 
 
 def op4(docs: DataFrame) -> DataFrame:
     return quality_rules(docs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2", "group_rows")
