@@ -42,16 +42,21 @@ KINDS = ("assign", "access", "hex", "identifier", "keylike", "endpoint", "config
 _ROLE = {"assign": "secret", "access": "id", "hex": "secret", "identifier": "id", "keylike": "secret", "endpoint": "endpoint"}
 
 
+#: parts of a text that are walked together, and repeats of a row written together
+GROUP, REPEATS = 128, 4096
+
+
 def matches(text: Column, kind: str, pattern: str, ok=None) -> Column:
     """array<struct<kind, start, end>> of the leftmost non-overlapping matches
     for which ``ok`` of the matched string holds; code points, end exclusive."""
     k = KINDS.index(kind)
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    spans = "array<struct<kind:int,start:int,end:int>>"
+    empty = F.array().cast(spans)
 
-    def found(marked: Column) -> Column:
-        # the parts at odd places are matches
-        walked = F.aggregate(
-            F.split(marked, _MARK),
+    def walked(parts: Column) -> Column:
+        """(length, spans) of some parts; the ones at odd places are matches."""
+        return F.aggregate(
+            parts,
             F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), empty.alias("out")),
             lambda s, part: F.struct(
                 (s["at"] + F.length(part)).alias("at"),
@@ -59,7 +64,18 @@ def matches(text: Column, kind: str, pattern: str, ok=None) -> Column:
                 F.when(s["hit"] & (ok(part) if ok else F.lit(True)),
                        F.concat(s["out"], F.array(F.struct(F.lit(k).alias("kind"), s["at"].alias("start"), (s["at"] + F.length(part)).alias("end")))))
                 .otherwise(s["out"]).alias("out")))
-        return F.when(F.instr(marked, _MARK) == 0, empty).otherwise(walked["out"])
+
+    def placed(groups: Column) -> Column:
+        """The spans of all groups of parts, each moved by the length of the groups before it."""
+        start = F.aggregate(groups, F.array(F.lit(0)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + g["at"])))
+        moved = lambda g, by: F.transform(g["out"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
+        return let(start, lambda at: F.flatten(F.transform(groups, lambda g, i: moved(g, F.get(at, i)))))
+
+    def found(marked: Column) -> Column:
+        # a growing array is copied at every step, so parts are walked in
+        # groups of an even number of them
+        groups = lambda parts: F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / GROUP).cast("int")), lambda i: walked(F.slice(parts, i * GROUP + 1, GROUP)))
+        return F.when(F.instr(marked, _MARK) == 0, empty).otherwise(let(F.split(marked, _MARK), lambda parts: let(groups(parts), placed)).cast(spans))
 
     return let(F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}"), found)
 
@@ -67,8 +83,9 @@ def matches(text: Column, kind: str, pattern: str, ok=None) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id and its spans (array of kind, start, end) for every row.
 
-    A null text is empty and has no spans.  Repeated rows are scanned once
-    and returned as often as they occur; spans that start together are told
+    A null text is empty and has no spans.  Repeated rows are added up before
+    the shuffle and returned as often as they occur; a very long text's matches
+    are linked in one task; spans that start together are told
     apart by kind, then end.  Other columns are not read, and an empty table
     gives no rows.
     """
@@ -85,8 +102,9 @@ def scan(docs: DataFrame) -> DataFrame:
     found = let(found, lambda x: F.when(F.size(x) < 2, x).otherwise(F.concat(x, matches(text, "config", CONFIG))))
     key = ["doc_id", "same", "chars"]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), F.length(text).alias("chars"), found.alias("found"))
-    # equal rows meet here, and all that follows keeps this partitioning
-    rows = rows.repartition(*key).groupBy(*key).agg(F.count("*").alias("rows"), F.first("found").alias("found"))
+    # equal rows meet here, added up before they move; all that follows up to
+    # the spans keeps this partitioning
+    rows = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.first("found").alias("found"))
     one = rows.select(*key, "rows", F.explode_outer("found").alias("c")).select(*key, "rows", "c.*")
     role = F.element_at(F.create_map(*[F.lit(x) for k, n in enumerate(KINDS) for x in (k, _ROLE.get(n, "line"))]), F.col("kind"))
     upto = Window.partitionBy(*key).orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
@@ -123,7 +141,11 @@ def scan(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("base_cover") < F.col("end"), F.lit(True)))
     told = F.when(F.col("kind").isNotNull() & (F.col("base") | (completed & new)), F.struct("start", "kind", "end"))
     spans = one.groupBy(*key, "rows").agg(F.sort_array(F.collect_list(told)).alias("spans"))
-    return spans.select("doc_id", "spans", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int")))).select("doc_id", "spans")
+    # a row that occurs very often is dealt over the tasks before it is repeated
+    part = spans.select("doc_id", "spans", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / REPEATS))).alias("part"))
+    part = part.repartition("doc_id", "part")
+    left = F.least(F.col("rows") - F.col("part") * REPEATS, F.lit(REPEATS)).cast("int")
+    return part.select("doc_id", "spans", F.explode(F.sequence(F.lit(1), left))).select("doc_id", "spans")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelkit.llm.common import scratch, text_of
+from funnelkit.llm.native import let
 
 #: mean bytes of text in a bucket
 BUCKET_BYTES = 8 << 20
@@ -51,19 +52,27 @@ def write_shards(docs: DataFrame, path: str, *, shards: int = 8, seed: int = 7,
     key, text = docs["doc_id"], text_of(docs)
     rows = docs.select(
         shard_of(key, shards, seed).alias("shard"),
-        F.pmod(F.xxhash64(key, text, F.lit(seed), F.monotonically_increasing_id()), F.lit(buckets)).cast("int").alias("bucket"),
+        F.xxhash64(key, text, F.lit(seed), F.monotonically_increasing_id()).alias("hash"),
         size.alias("size"),
         shard_of(key, shards + 1, seed).alias("grown_shard"),
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("record"),
-    )
+    ).withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
+
+    def in_order(r: Column) -> Column:
+        """A bucket's rows by their hash, whatever order they arrived in."""
+        places = F.array_sort(F.transform(r, lambda x, i: F.struct(x["hash"].alias("h"), i.alias("i"))))
+        return F.transform(places, lambda p: F.get(r, p["i"]))
+
     # every bucket in one place before its array is built: no partial arrays
     # are made on the map side
     shuffled = (
         rows.repartition("shard", "bucket")
         .groupBy("shard", "bucket")
-        .agg(F.collect_list(F.struct("size", "grown_shard", "record")).alias("rows"))
-        .select("shard", "bucket", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("place", "row"))
-        .select("shard", "bucket", "place", "row.*")
+        .agg(F.collect_list(F.struct("hash", "size", "grown_shard", "record")).alias("rows"))
+        # a task draws for its buckets one after the other: in a fixed order
+        .sortWithinPartitions("shard", "bucket")
+        .select("shard", "bucket", F.posexplode(F.shuffle(let(F.col("rows"), in_order), F.lit(seed))).alias("place", "row"))
+        .select("shard", "bucket", "place", "row.size", "row.grown_shard", "row.record")
     )
     shuffled.write.partitionBy("shard").parquet(path)
     written = spark.read.schema(shuffled.schema).parquet(path)

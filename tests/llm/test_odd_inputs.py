@@ -80,3 +80,55 @@ def test_pipeline_keeps_a_text_of_every_group(spark, docs_of):
     assert group == {(None, text(0)), (None, text(1)), (None, text(2)), (3, text(3)), *[(5, text(k)) for k in range(4, 12)],
                      (20, text(20)), (21, text(21)), (None, " "), (None, ""), (22, "")}
     assert len(kept) == len(group) + 1
+
+
+def test_shards_do_not_depend_on_the_order_of_arrival(spark, docs_of, tmp_path):
+    from funnelkit.llm.common import scratch
+
+    docs = docs_of([(k % 37, f"text {k % 50}") for k in range(300)] + ODD).repartition(4).cache()
+    docs.count()
+    one, two = (sharding.write_shards(docs, scratch(spark, "s"), shards=3, bucket_bytes=200).select("record", "shard", "slot", "bucket", "place").collect() for _ in range(2))
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and len(one) == 300 + len(ODD)
+
+
+def test_many_matches_and_very_frequent_rows(spark, docs_of):
+    import time
+
+    from test_results import base_spans
+
+    many = "".join(f"x token=abcdefgh{k} y\n\nplain words\n\n" for k in range(5_000))
+    docs = docs_of([(1, many), (2, "a password=abcdefgh1 b"), (3, "none")]).unionByName(docs_of([(2, "a password=abcdefgh1 b")] * 9_000))
+    t = time.perf_counter()
+    rows = secret_scan.op8(docs).collect()
+    assert time.perf_counter() - t < 60
+    assert len(rows) == 9_003 and sum(r.n_assign for r in rows) == 5_000 + 9_001
+    assert next(r.spans for r in rows if r.doc_id == 1) == base_spans(many)
+
+
+def test_whole_pipeline(spark, tmp_path):
+    """All stages in order on odd documents: columns, ids and empty tables."""
+    import shutil
+
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, "en", None, 0), (None, "", None, "x", 0), (7_000_001, "w " * 30_000, "en", "x", 1)], docs.schema)
+    docs = docs.unionByName(docs.where("doc_id < 5")).unionByName(odd).withColumn("shard", F.lit("mine")).withColumn("slot", F.lit(1.5)).withColumn("component", F.lit(None).cast("string"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "near duplicates", "benchmark decontamination", "mixing sources", "sharding"]
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "_shard", "_slot"]
+    rows = out.collect()
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    assert rows and {(r.doc_id, r.text) for r in rows} <= texts and {r.shard for r in rows} == {"mine"}
+    slots = {}
+    for r in rows:
+        slots.setdefault(r._shard, []).append(r._slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    empty = tmp_path / "none"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).limit(0).write.parquet(str(empty / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
