@@ -17,7 +17,9 @@ from funnelkit.llm.sharding import write_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; every row is
+    judged by its own text, so repeated rows and ids share their fate, and
+    empty and null texts are judged as empty.  No documents: none."""
     ship(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
@@ -51,7 +53,8 @@ def keep_first_of_groups(docs: DataFrame) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages; every row is judged by its own
+    text.  Empty and null texts stay, as do all rows if the benchmark is empty."""
     ship(spark)
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -63,11 +66,18 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shuffled shards: columns of documents, shard and slot."""
+    """The shuffled shards: the columns of documents, then shard and slot (with
+    underscores before a name that documents have already).  Every row is
+    kept, repeated, null or empty."""
     ship(spark)
     out = write_shards(docs, scratch(spark, "corpus-shards"))
-    named = [F.col("record")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
-    return out.select(*named, "shard", "slot")
+    added = []
+    for name in ("shard", "slot"):
+        own = name
+        while own in docs.columns:
+            own = f"_{own}"
+        added.append(F.col(name).alias(own))
+    return out.select(*[F.col("record")[c].alias(c) for c in docs.columns], *added)
 
 
 STAGES = [
