@@ -259,7 +259,7 @@ def write_mix(docs: DataFrame, path: str, *, weights: tuple[float, ...] = (1, 2,
     taken = words.select("row", "doc_id", "source", F.explode(F.transform("takes", piece)).alias("t")).select("row", "doc_id", "source", "t.*")
     shards = max(1, -(-int(plan.quota.sum()) // shard_slots))
     out = taken.repartition(shards, "shard").sortWithinPartitions("shard", "slot", "at")
-    out.select("shard", "slot", "at", "source", "doc_id", "row", "first", "n_words", "text").write.parquet(path)
+    out.select("shard", "slot", "at", "source", "doc_id", "row", "first", "n_words", "text").write.option("compression", "zstd").parquet(path)
     return places, plan
 
 
