@@ -4,8 +4,8 @@ Staging stays lazy (views); the multi-consumer intermediate models are
 written once as tables under the session's ``spark.checkpoint.dir`` (shared
 storage on a cluster) and read back, which cuts their lineage -- a lost
 executor then recomputes from those files, not from the raw sources -- and
-lets every mart reuse them.  Marts go to a sink: parquet tables with full
-overwrite by default.
+lets every mart reuse them.  Marts go to a sink: by default tables that are
+replaced as a whole (``sources.tables``).
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import funnel, quality, reports, steps
-from ..session import checkpoint_dir
+from ..session import run_folder
 from ..sources.raw import RawTables
+from ..sources.tables import read_table, write_table
 from .models import Models
 
 SHARED = ["expert_funnel_summary", "expert_with_engagement", "channel_spend_summary", "expert_sessions", "funnel_step_sessions"]
@@ -34,7 +35,7 @@ MARTS: dict[str, Callable[[Models], DataFrame]] = {
 
 def materialize(spark: SparkSession, m: Models, names=SHARED, base: str | None = None) -> Models:
     """Write the named nodes as parquet tables and rebind them to the files."""
-    base = base or f"{checkpoint_dir(spark).rstrip('/')}/funnelkit-{uuid.uuid4().hex[:12]}"
+    base = base or f"{run_folder(spark)}/models-{uuid.uuid4().hex[:12]}"
     for name in names:
         path = f"{base}/{name}"
         getattr(m, name).write.mode("overwrite").parquet(path)
@@ -42,10 +43,6 @@ def materialize(spark: SparkSession, m: Models, names=SHARED, base: str | None =
     return m
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
-
-
 def build_all(
     spark: SparkSession,
     sf_dir: str | None = None,
@@ -65,4 +62,5 @@ def build_all(
             sink(df)
         elif out_dir is not None:
             write_table(df, f"{out_dir}/{name}")
+            out[name] = read_table(spark, f"{out_dir}/{name}")
     return out

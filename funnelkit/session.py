@@ -70,6 +70,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder of intermediate tables in the shared folder;
+    it is removed when the application ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/funnelkit-{spark.sparkContext.applicationId}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return folder
+
+
 def scale_conf(input_bytes: int, cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings for a cluster run, from the input size and the core count.
 

@@ -209,9 +209,9 @@ def load_fixture(spark: SparkSession, sf_dir: str, base: str | None = None) -> R
     """
     import uuid
 
-    from ..session import checkpoint_dir
+    from ..session import run_folder
     from .raw import read_parquet_tables, write_raw
 
-    base = base or f"{checkpoint_dir(spark).rstrip('/')}/funnelkit-raw-{uuid.uuid4().hex[:12]}"
+    base = base or f"{run_folder(spark)}/raw-{uuid.uuid4().hex[:12]}"
     write_raw(fixture_tables(spark, sf_dir), base)
     return read_parquet_tables(spark, base)

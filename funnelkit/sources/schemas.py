@@ -56,3 +56,15 @@ RAW_SCHEMAS = {
     "engagements": ENGAGEMENTS,
     "daily_channel_spend": DAILY_CHANNEL_SPEND,
 }
+
+#: columns that hold keys; their type is the source's (staging never casts them)
+KEY_COLUMNS = ("expert_id", "event_id", "engagement_id")
+
+
+def raw_schemas(key_type: str = "bigint") -> dict[str, T.StructType]:
+    """The four schemas with keys of another type, e.g. ``string``."""
+    kind = T.StructType.fromDDL(f"k {key_type}")["k"].dataType
+    return {
+        name: T.StructType([T.StructField(f.name, kind if f.name in KEY_COLUMNS else f.dataType, f.nullable) for f in schema])
+        for name, schema in RAW_SCHEMAS.items()
+    }

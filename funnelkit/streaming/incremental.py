@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from ..operators.funnel import pivot_aggs, reached_columns
 from ..operators.staging import stg_funnel_events
 from ..sources.schemas import FUNNEL_EVENTS
+from ..sources.tables import write_table
 
 
 def session_gap(gap_minutes: int = 1440) -> str:
@@ -92,12 +93,12 @@ def refresh_summary_table(raw_events: DataFrame, table_path: str, checkpoint: st
     """Bring the per-expert summary table at ``table_path`` up to date.
 
     The streaming pivot keeps one row per expert in its state; each refresh
-    writes the whole state (complete mode) over the table, so the table is
-    always the summary of every event seen so far.
+    replaces the table by the whole state (complete mode), so the table is
+    always the summary of every event seen so far (``sources.tables.read_table``).
     """
 
     def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+        write_table(batch, table_path)
 
     q = (
         summary_stream(raw_events)

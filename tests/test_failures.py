@@ -74,7 +74,7 @@ def test_misplaced_events_in_slices(spark):
     rows = [(i, 1, i * 7 % 5, None if i % 50 == 0 else T0 + timedelta(hours=i * 13 % 97)) for i in range(600)] + [(1000 + i, 2, 5 - i, T0) for i in range(4)]
     df = spark.createDataFrame(rows, "event_id bigint, expert_id bigint, stage_order int, event_at timestamp_ntz")
     want = sorted(quality.misplaced_events(df, parts=1).collect())
-    assert len(want) > 100 and sorted(quality.misplaced_events(df, parts=60).collect()) == want
+    assert len(want) > 50 and sorted(quality.misplaced_events(df, parts=60).collect()) == want
     one, many = (quality.timestamp_ordering(df, parts=p).first() for p in (1, 60))
     assert one == many and one.total_experts == 2
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from helpers import SF0001
 from funnelkit.plans.models import Models
 from funnelkit.sources.raw import write_raw
+from funnelkit.sources.tables import read_table
 from funnelkit.streaming.incremental import read_event_stream, session_stream, summary_stream
 
 
@@ -44,7 +45,7 @@ def test_refresh_to_tables(spark):
     write_raw(m.raw, base)
     events = f"{base}/funnel_events"
     refresh_summary_table(read_event_stream(spark, events), f"{base}/summary", f"{base}/ckpt_summary")
-    got = spark.read.parquet(f"{base}/summary")
+    got = read_table(spark, f"{base}/summary")
     want = m.expert_funnel_summary
     cols = sorted(want.columns)
     assert got.select(cols).exceptAll(want.select(cols)).count() == 0 and got.count() == want.count()
