@@ -242,15 +242,17 @@ def robust_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     means = started(1).groupBy("grp").agg(F.count("*").alias("n"), *_summed()).withColumn("k", F.col("n"))
     moments = stored(_medians(started(0)).unionByName(_moments(means, 1.0)), "quality-start")
     fit = started(0).unionByName(started(1))
-    # until no group changes; a few small ones may go round between the same
-    # sets, so until all groups are as they were after some earlier step
-    seen: set = set()
+    # until every group keeps rows that it kept in some step before: most come
+    # to rest, a few small ones go round between the same sets
+    none = F.array().cast("array<long>")
+    moments = moments.select("*", none.alias("seen"), F.lit(False).alias("done"))
     while True:
-        moments = stored(_step(fit, _shrunk(moments, family, groups), groups), "quality-step")
-        now = moments.agg(F.sum(F.pmod(F.xxhash64("grp", "mark"), F.lit(1 << 40)))).first()[0]
-        if now in seen:
+        now = _step(fit, _shrunk(moments, family, groups).join(moments.where(~F.col("done")).select("grp"), "grp", "left_semi"), groups)
+        new = now.join(moments.select("grp", "seen"), "grp")
+        new = new.withColumns({"done": F.array_contains("seen", F.col("mark")), "seen": F.array_append("seen", F.col("mark"))})
+        moments = stored(moments.where("done").unionByName(new), "quality-step")
+        if moments.where(~F.col("done")).isEmpty():
             break
-        seen.add(now)
     volume = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, _P)), F.log("l00"))
     each = stored(_shrunk(moments, family, groups), "quality-estimates").where(F.col("grp").substr(3, 1) == "2").select(
         F.col("grp").substr(F.lit(3), F.length("grp")).alias("grp"), F.struct(F.round(volume, 9).alias("volume"), F.col("grp").alias("start"), "n", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS]).alias("e"))

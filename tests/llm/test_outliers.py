@@ -60,18 +60,17 @@ def brute(groups):
         return out
 
     now = [{k: medians(x) for k, x in levels.items()}, {k: moments(x, 1.0) for k, x in levels.items()}]
-    seen = set()
-    while True:
-        marks, then = [], []
-        for start in now:
-            estimates = shrunk(start)
-            stepped = {k: concentrated(x, *estimates[k]) for k, x in levels.items()}
-            then.append({k: m for k, (m, _) in stepped.items()})
-            marks.append(tuple(sorted(((k, mark) for k, (_, mark) in stepped.items()), key=repr)))
-        now = then
-        if tuple(marks) in seen:
-            break
-        seen.add(tuple(marks))
+    seen = [{k: set() for k in levels} for _ in now]
+    done = [set(), set()]
+    while any(len(d) < len(levels) for d in done):
+        for start, marks, ended in zip(range(2), seen, done, strict=True):
+            estimates = shrunk(now[start])
+            for k, x in levels.items():
+                if k not in ended:
+                    now[start][k], mark = concentrated(x, *estimates[k])
+                    if mark in marks[k]:
+                        ended.add(k)
+                    marks[k].add(mark)
     ends = [shrunk(m) for m in now]
     return {k: min((e[k] for e in ends), key=lambda e: round(0.5 * np.linalg.slogdet(e[1])[1], 9)) for k in groups}
 
@@ -83,8 +82,9 @@ def test_distances_against_numpy(spark, docs_of):
     for lang, source, n in (("en", "a", 60), ("en", "b", 7), ("de", "a", 25), ("de", None, 3), (None, "c", 1)):
         for _ in range(n):
             body = list(rng.choice(words, int(rng.integers(55, 160))))
-            for at in rng.integers(0, len(body), int(rng.integers(0, 6)) if rng.random() > 0.15 else 40):
-                body[at] = "#%|#%|#%|"
+            odd = rng.random() < 0.15
+            for at in rng.integers(0, len(body), 40 if odd else int(rng.integers(0, 6))):
+                body[at] = "#%|" * 6 if odd else "#"
             lines = [" ".join(body[a : a + 9]) for a in range(0, len(body), 9)]
             if rng.random() < 0.2:
                 lines += lines[:2]
