@@ -4,7 +4,7 @@ All funnel events of a test folder are put on ONE expert (data derived from
 the given tables), the sessions, step analysis and ordering check run on
 them, and Spark's event log (written to a fresh scratch folder) gives the
 share of shuffled rows read by the busiest task of each stage.  The textbook
-window plan puts 100 % in one task; the bucketed plans should not.
+window plan puts 100 % in one task; the sliced plans should not.
 
 usage: python tools/skew_check.py [sf_dir]
 """
@@ -52,12 +52,12 @@ def _task_reads(log_dir: str) -> dict[int, list[int]]:
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    for strategy in ("window", "bucketed"):
+    for strategy in ("window", "sliced"):
         log_dir = tempfile.mkdtemp(prefix="funnelkit-skew-")
         spark = build_session("local[8]", 16, **{"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
         hot = registry.graph(spark, sf_dir).stg_funnel_events.withColumn("expert_id", F.lit(1).cast("bigint"))
         jobs = [expert_sessions(hot, strategy=strategy)]
-        if strategy == "bucketed":
+        if strategy == "sliced":
             jobs += [steps.funnel_step_analysis(expert_sessions(hot)), quality.timestamp_ordering(hot)]
         for df in jobs:
             df.write.format("noop").mode("overwrite").save()
