@@ -43,6 +43,8 @@ TAIL = 1e-5
 BINS = 400
 #: groups up to which their estimates (20 numbers each) are broadcast
 BROADCAST_GROUPS = 100_000
+#: groups whose bins (at most BINS each) are added up in one task
+TASK_GROUPS = 2_000
 
 _P = len(FLOOR)
 STARTS = 2
@@ -126,11 +128,14 @@ def _key(level: int, *parts: Column) -> Column:
 def _cholesky(frame: DataFrame) -> DataFrame:
     """Adds the factor l_ij (i >= j) of the covariance c_ij, column by column."""
     for j in range(_P):
+        below = []
         for i in range(j, _P):
             rest = F.col(f"c{i}{j}")
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            frame = frame.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
+            below.append(rest)
+        root = F.sqrt(below[0])
+        frame = frame.withColumns({f"l{j}{j}": root} | {f"l{i}{j}": rest / root for i, rest in zip(range(j + 1, _P), below[1:], strict=True)})
     return frame
 
 
@@ -240,7 +245,8 @@ def robust_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     own = F.array(_key(2, F.col("lang"), F.col("source")), _key(1, F.col("lang")), _key(0))
     started = lambda s: rows.select(F.explode(F.transform(own, lambda g: F.concat_ws("\x02", F.lit(str(s)), g))).alias("grp"), *[f"x{i}" for i in range(_P)])
     means = started(1).groupBy("grp").agg(F.count("*").alias("n"), *_summed()).withColumn("k", F.col("n"))
-    moments = stored(_medians(started(0)).unionByName(_moments(means, 1.0)), "quality-start")
+    few = 1 + groups // TASK_GROUPS  # tables of groups are small, whatever the session's partitions
+    moments = stored(_medians(started(0)).unionByName(_moments(means, 1.0)).coalesce(few), "quality-start")
     fit = started(0).unionByName(started(1))
     # until every group keeps rows that it kept in some step before: most come
     # to rest, a few small ones go round between the same sets
@@ -250,11 +256,11 @@ def robust_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
         now = _step(fit, _shrunk(moments, family, groups).join(moments.where(~F.col("done")).select("grp"), "grp", "left_semi"), groups)
         new = now.join(moments.select("grp", "seen"), "grp")
         new = new.withColumns({"done": F.array_contains("seen", F.col("mark")), "seen": F.array_append("seen", F.col("mark"))})
-        moments = stored(moments.where("done").unionByName(new), "quality-step")
+        moments = stored(moments.where("done").unionByName(new).coalesce(few), "quality-step")
         if moments.where(~F.col("done")).isEmpty():
             break
     volume = sum((F.log(F.col(f"l{i}{i}")) for i in range(1, _P)), F.log("l00"))
-    each = stored(_shrunk(moments, family, groups), "quality-estimates").where(F.col("grp").substr(3, 1) == "2").select(
+    each = stored(_shrunk(moments, family, groups).coalesce(few), "quality-estimates").where(F.col("grp").substr(3, 1) == "2").select(
         F.col("grp").substr(F.lit(3), F.length("grp")).alias("grp"), F.struct(F.round(volume, 9).alias("volume"), F.col("grp").alias("start"), "n", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS]).alias("e"))
     return each.groupBy("grp").agg(F.min("e").alias("e")).select("grp", "e.*").drop("volume", "start"), groups
 
