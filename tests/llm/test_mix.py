@@ -77,3 +77,23 @@ def test_draws_of_any_size():
     quota = np.array([3 * 10**12, 0, 10**10, 7])
     got = mixing.split(quota, 10**12, rng)
     assert got.sum() == 10**12 and (got <= quota).all()
+
+
+def test_permutations_turn_round():
+    for n in (1, 2, 63, 64, 1_000):
+        there = mixing.permuted(np.arange(n), n, (5, 1, 2, 0))
+        assert sorted(there.tolist()) == list(range(n)) and mixing.permuted(there, n, (5, 1, 2, 0), back=True).tolist() == list(range(n))
+    total, shards = 1_003, 7
+    for shard in range(shards):
+        n = total * (shard + 1) // shards - total * shard // shards
+        assert sorted(mixing.slot_of(np.arange(n), np.full(n, shard), total, shards, 5).tolist()) == list(range(n))
+
+
+def test_starts_by_a_join_give_the_same_mix(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    paths = [scratch(spark, "mix-test") for _ in range(2)]
+    mixing.write_mix(docs, paths[0], shard_slots=300)
+    monkeypatch.setattr(mixing, "MAX_STARTS", 0)
+    mixing.write_mix(docs, paths[1], shard_slots=300)
+    one, two = (sorted(map(str, mixing.read_mix(spark, p).collect())) for p in paths)
+    assert one and one == two
