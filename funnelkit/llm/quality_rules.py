@@ -153,31 +153,32 @@ _MOMENTS = [f"m{i}" for i in range(_P)] + [f"c{i}{j}" for i, j in _PAIRS]
 
 
 def _family(rows: DataFrame) -> DataFrame:
-    """(grp, up) of every group with rows: its own name and its parent's.  A
-    name starts with the number of the start that the estimate follows."""
+    """(grp, member, depth) of every group with rows: itself and its parents.
+    A name starts with the number of the start that the estimate follows."""
     pairs = rows.select("lang", "source").distinct()
     names = pairs.select(F.explode(F.array(*[F.lit(s) for s in range(STARTS)])).alias("start"), "lang", "source")
     named = lambda *parts: F.concat_ws("\x02", F.col("start").cast("string"), _key(*parts))
-    two, one, none = named(2, F.col("lang"), F.col("source")), named(1, F.col("lang")), named(0)
-    rows = F.array(F.struct(two.alias("grp"), one.alias("up")), F.struct(one.alias("grp"), none.alias("up")), F.struct(none.alias("grp"), F.lit(None).cast("string").alias("up")))
+    line = [named(0), named(1, F.col("lang")), named(2, F.col("lang"), F.col("source"))]
+    rows = F.array(*[F.struct(line[own].alias("grp"), line[d].alias("member"), F.lit(d).alias("depth")) for own in range(3) for d in range(own + 1)])
     return names.select(F.explode(rows).alias("f")).select("f.*").distinct()
 
 
 def _shrunk(moments: DataFrame, family: DataFrame, groups: int) -> DataFrame:
-    """(grp, n, k, mark, means, factor): every group's moments (grp, n, k,
-    mark, m*, c*) drawn towards its parent's, all rows first."""
+    """(grp, n, done, means, factor): every group's moments (grp, n, done, m*,
+    c*) drawn towards its parent's, all rows first.  A group meets its parents
+    in one aggregate, so a step has few joins to plan, compile and broadcast."""
     small = F.broadcast if groups <= BROADCAST_GROUPS else lambda x: x
-    m = moments.join(small(family), "grp")
-    kept = ["grp", "n", "k", "mark"]
-    done = level = m.where("up IS NULL").select(*kept, *_MOMENTS)
-    weight = F.col("n") / (F.col("n") + PRIOR_ROWS)
-    for depth in ("1", "2"):
-        above = level.select(F.col("grp").alias("up"), *[F.col(c).alias(f"_{c}") for c in _MOMENTS])
-        mine = m.where(F.col("grp").substr(3, 1) == depth).join(small(above), "up")
-        level = mine.select(*kept, *[(weight * F.col(c) + (1 - weight) * F.col(f"_{c}")).alias(c) for c in _MOMENTS])
-        done = done.unionByName(level)
-    found = _cholesky(done)
-    return found.select(*kept, *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS])
+    each = moments.select(F.col("grp").alias("member"), "n", "done", F.array(*_MOMENTS).alias("v")).join(small(family), "member")
+    line = each.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("depth", "n", "done", "v"))).alias("line"))
+
+    def drawn(above: Column, x: Column) -> Column:
+        weight = x["n"] / (x["n"] + PRIOR_ROWS)
+        return F.when(x["depth"] == 0, x["v"]).otherwise(F.zip_with(x["v"], above, lambda a, b: weight * a + (1 - weight) * b))
+
+    own = F.element_at("line", -1)
+    found = line.select("grp", own["n"].alias("n"), own["done"].alias("done"), F.aggregate("line", F.array().cast("array<double>"), drawn).alias("v"))
+    found = _cholesky(found.select("grp", "n", "done", *[F.get("v", F.lit(i)).alias(c) for i, c in enumerate(_MOMENTS)]))
+    return found.select("grp", "n", "done", *[f"m{i}" for i in range(_P)], *[f"l{i}{j}" for i, j in _PAIRS])
 
 
 def _floored(cov: dict[str, Column]) -> dict[str, Column]:
@@ -228,7 +229,7 @@ def _joined(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
 
 def _step(rows: DataFrame, estimates: DataFrame, groups: int) -> DataFrame:
     """Moments of every group after one concentration step."""
-    near = _squared_distance(_joined(rows, estimates.drop("n", "k", "mark"), groups)).withColumn(
+    near = _squared_distance(_joined(rows, estimates.drop("n", "done"), groups)).withColumn(
         "bin", F.least(F.lit(BINS - 1), F.floor(F.log1p("d2") * 40)).cast("int"))
     bins = near.groupBy("grp", "bin").agg(F.count("*").alias("k"), *_summed())
     before = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -241,7 +242,7 @@ def robust_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     """(grp, n, means, factor) of every language and source among ``rows``
     (lang, source, x0 ..), grp without its start; and how many groups were fitted."""
     family = stored(_family(rows), "quality-groups")
-    groups = family.count()
+    groups = family.where(F.col("grp") == F.col("member")).count()
     own = F.array(_key(2, F.col("lang"), F.col("source")), _key(1, F.col("lang")), _key(0))
     started = lambda s: rows.select(F.explode(F.transform(own, lambda g: F.concat_ws("\x02", F.lit(str(s)), g))).alias("grp"), *[f"x{i}" for i in range(_P)])
     means = started(1).groupBy("grp").agg(F.count("*").alias("n"), *_summed()).withColumn("k", F.col("n"))
@@ -253,7 +254,7 @@ def robust_estimates(rows: DataFrame) -> tuple[DataFrame, int]:
     none = F.array().cast("array<long>")
     moments = moments.select("*", none.alias("seen"), F.lit(False).alias("done"))
     while True:
-        now = _step(fit, _shrunk(moments, family, groups).join(moments.where(~F.col("done")).select("grp"), "grp", "left_semi"), groups)
+        now = _step(fit, _shrunk(moments, family, groups).where(~F.col("done")), groups)
         new = now.join(moments.select("grp", "seen"), "grp")
         new = new.withColumns({"done": F.array_contains("seen", F.col("mark")), "seen": F.array_append("seen", F.col("mark"))})
         moments = stored(moments.where("done").unionByName(new).coalesce(few), "quality-step")
