@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelkit.session import run_folder
+from funnelkit.session import scratch, stored  # noqa: F401
 
 
 def ship(spark: SparkSession) -> None:
@@ -20,21 +19,6 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, own)])
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder, removed when the
-    application ends."""
-    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage, and
-    every reader after it sees the same rows even if executors are lost."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -27,6 +27,7 @@ from ..functions.vocab import (
     TIMESTAMP_ORDER_THRESHOLD,
     UNPAID_CHANNELS,
 )
+from ..session import stored
 from .slices import Sliced, sliced
 from .staging import STAGING_COLUMNS
 
@@ -83,7 +84,7 @@ def relationships(child: DataFrame, table: str, column: str, parent: DataFrame,
     child_keys = child.groupBy(F.col(column).alias("_ck")).agg(F.count(F.lit(1)).alias("_n"))
     keys = parent.select(F.col(parent_column).alias("_pk")).where(F.col("_pk").isNotNull()).distinct()
     keys = keys.withColumn("_hit", F.lit(True))
-    j = child_keys.join(keys, F.col("_ck") == F.col("_pk"), "left")
+    j = child_keys.join(keys.hint("merge"), F.col("_ck") == F.col("_pk"), "left")
     orphan = F.col("_ck").isNotNull() & F.col("_hit").isNull()
     return _report(
         j, "relationships", table, column, F.sum(F.when(orphan, F.col("_n")).otherwise(F.lit(0))), F.sum("_n")
@@ -349,7 +350,7 @@ def checked_table(m, table: str) -> DataFrame:
     from . import funnel, reports
 
     if table in SOURCE_TESTS:
-        return m.raw.as_dict()[table]
+        return m.raw.table(table)
     if table == "funnel_conversion":
         return funnel.funnel_conversion(m.expert_funnel_summary)
     if table == "cohort_conversion":
@@ -376,13 +377,28 @@ def declared(check: str) -> list[tuple[str, str]]:
     raise ValueError(f"no generic check {check!r}")
 
 
+def _repeated_keys(m, table: str, column: str) -> DataFrame:
+    """The column's values that occur more than once, stored.  Staging passes
+    keys through unchanged, so a source and its staging model share them."""
+    source = next((t for t in SOURCE_TESTS if table == STAGING_COLUMNS[t][0]), table)
+    found = m.__dict__.setdefault("_repeated", {})
+    if (source, column) not in found:
+        df = checked_table(m, source)
+        bad = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        found[source, column] = stored(bad.select(column), f"repeated-{source}")
+    return found[source, column]
+
+
 def failing_rows(m, check: str, table: str, column: str) -> DataFrame:
     """The rows of ``table`` that fail a generic check, with all their columns.
 
-    Uniqueness and relationships find the bad keys first, by an aggregate with
-    map-side combine, and read the table once more through a semi-join on them:
-    a key that a third of the rows repeat is one bad key, and a skewed semi-join
-    is split at run time.
+    Uniqueness finds the bad keys first, by an aggregate with map-side combine,
+    and stores them, so that the semi-join that reads the table once more is
+    planned by their real size: few are broadcast, many are joined.  A key that
+    a third of the rows repeat is one bad key.  For relationships, rows with a
+    key are joined to the known keys once.  Those are as many as there are
+    parents and never broadcast: the statistics of a compressed file tell less
+    than they take on the driver.  Skewed joins are split at run time.
     """
     df = checked_table(m, table)
     if check == "not_null":
@@ -391,12 +407,10 @@ def failing_rows(m, check: str, table: str, column: str) -> DataFrame:
         source = next(t for t in SOURCE_TESTS if table in (t, STAGING_COLUMNS[t][0]))
         return df.where(~F.col(column).isin(list(SOURCE_TESTS[source]["accepted"][1])))
     if check == "unique":
-        bad = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        return df.join(bad.select(column), column, "left_semi").select(*df.columns)
+        return df.join(_repeated_keys(m, table, column), column, "left_semi").select(*df.columns)
     if check == "relationships":
         known = m.raw.experts.select(F.col("expert_id").alias(column)).where(F.col(column).isNotNull())
-        orphans = df.select(column).where(F.col(column).isNotNull()).distinct().join(known, column, "left_anti")
-        return df.join(orphans, column, "left_semi").select(*df.columns)
+        return df.where(F.col(column).isNotNull()).join(known.hint("merge"), column, "left_anti").select(*df.columns)
     raise ValueError(f"no generic check {check!r}")
 
 

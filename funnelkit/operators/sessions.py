@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import minutes_between
-from .slices import Sliced, sliced
+from .slices import Sliced, sliced, spread
 
 # columns added to every event
 SESSION_COLUMNS = [
@@ -68,7 +68,7 @@ def sessionize(
     needed = list(dict.fromkeys([*carry, key, ts, *order_cols]))
     cut = sliced(df.select(*needed), key, [ts, *order_cols], parts)
     if cut.heavy is None:
-        return _sessionize_window(df, key, ts, order_cols, gap_minutes, carry)
+        return _sessionize_window(spread(df.select(*needed), cut.parts, key), key, ts, order_cols, gap_minutes, carry)
     return _sessionize_sliced(cut, ts, order_cols, gap_minutes, carry)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,22 @@ from pyspark.sql import types as T
 SAMPLE = 48
 #: a key is heavy if it holds this many shares of the input
 HEAVY = 2
+#: rows that one task sorts
+TASK_ROWS = 1_000_000
+
+
+def task_parts(spark: SparkSession, rows: int) -> int:
+    """Partitions for ordered work on so many rows: the session's, or more if
+    a task would then sort more than ``TASK_ROWS``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
+def spread(df: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` where that takes more partitions than the
+    session's; else windows on the keys deal it themselves."""
+    if parts <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(parts, *keys)
 
 
 def stand_in(key, dtype):
@@ -44,6 +60,7 @@ class Sliced:
 
     rows: DataFrame
     heavy: DataFrame | None  # (_k, _kn, _cuts) of the keys that are cut, if any
+    parts: int  # partitions that the rows fill
 
     PART = ("_k", "_kn", "_s")
 
@@ -56,10 +73,10 @@ class Sliced:
         return Window.partitionBy("_k", "_kn").orderBy("_s")
 
 
-def _heavy_keys(keyed: DataFrame, order: Sequence[str], parts: int) -> DataFrame | None:
+def _heavy_keys(keyed: DataFrame, order: Sequence[str], parts: int, total: int) -> DataFrame | None:
     """(_k, _kn, _cuts): the keys with ``HEAVY`` shares of ``parts`` or more
-    in a sample, each with its cuts.  Together fewer cuts than parts."""
-    total = keyed.count()
+    in a sample of the ``total`` rows, each with its cuts.  Together fewer
+    cuts than parts."""
     if not total:
         return None
     share = min(1.0, SAMPLE * parts / total)
@@ -82,14 +99,15 @@ def sliced(df: DataFrame, key: str, order: Sequence[str], parts: int | None = No
     """``df`` with slices; ``order`` is the key's order, ascending, NULLs first.
 
     ``parts``: slices that the whole input is meant to fill, by default the
-    session's shuffle partitions.
+    session's shuffle partitions or one for every ``TASK_ROWS`` rows, whichever
+    is more.
     """
-    spark = df.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()
+    parts = parts or task_parts(df.sparkSession, total)
     keyed = df.withColumns({"_k": stand_in(F.col(key), df.schema[key].dataType), "_kn": F.col(key).isNull()})
-    heavy = _heavy_keys(keyed, order, parts)
+    heavy = _heavy_keys(keyed, order, parts, total)
     if heavy is None:
-        return Sliced(keyed.withColumns({"_s": F.lit(0), "_cut": F.lit(False)}), None)
+        return Sliced(spread(keyed, parts, "_k", "_kn").withColumns({"_s": F.lit(0), "_cut": F.lit(False)}), None, parts)
     longest = max(len(r["_cuts"]) for r in heavy.select("_cuts").collect())
     here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(longest.bit_length()))])
@@ -101,4 +119,4 @@ def sliced(df: DataFrame, key: str, order: Sequence[str], parts: int | None = No
     # at most ``parts`` cuts in all
     joined = keyed.join(F.broadcast(heavy), ["_k", "_kn"], "left").withColumn("_here", here)
     found = joined.withColumns({"_s": F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.aggregate(steps, F.lit(0), further)), "_cut": F.col("_cuts").isNotNull()})
-    return Sliced(found.drop("_cuts", "_here"), heavy)
+    return Sliced(spread(found.drop("_cuts", "_here"), parts, *Sliced.PART), heavy, parts)

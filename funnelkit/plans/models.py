@@ -87,7 +87,7 @@ class Models:
         if industry is not None:
             cond = cond & (F.trim("industry") == F.lit(industry))
         e = e.where(cond)
-        ids = e.select("expert_id")
+        ids = e.select("expert_id").hint("merge")  # as many as experts: not for a broadcast
         raw = RawTables(
             experts=e,
             funnel_events=self.raw.funnel_events.join(ids, "expert_id", "left_semi"),

@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import add_hours, ntz
+from ..operators.slices import spread, task_parts
 from .raw import RawTables
+from .schemas import raw_schemas
 
 # --- fixed values of the derivation -----------------------------------------
 SIGNUP_EPOCH = "2024-01-01 00:00:00"
@@ -100,7 +102,9 @@ def experts(orders: DataFrame, customer: DataFrame, nation: DataFrame) -> DataFr
 
 
 def _lines_with_seq(lineitem: DataFrame) -> DataFrame:
-    """lineitem rows with their per-order sequence."""
+    """lineitem rows with their per-order sequence.  Orders are dealt over more
+    tasks the more lines there are, so a task sorts no more of a larger table."""
+    lineitem = spread(lineitem, task_parts(lineitem.sparkSession, lineitem.count()), "l_orderkey")
     order = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"
     )
@@ -202,7 +206,8 @@ def fixture_tables(spark: SparkSession, sf_dir: str) -> RawTables:
 
 
 def load_fixture(spark: SparkSession, sf_dir: str, base: str | None = None) -> RawTables:
-    """Derive the raw tables once, store them as parquet, return readers.
+    """Derive the raw tables, each once and on first use, store them as parquet
+    and return readers: a report derives the tables that it reads.
 
     ``base`` defaults to a fresh folder under the session's
     ``spark.checkpoint.dir`` (shared storage on a cluster).
@@ -210,8 +215,12 @@ def load_fixture(spark: SparkSession, sf_dir: str, base: str | None = None) -> R
     import uuid
 
     from ..session import run_folder
-    from .raw import read_parquet_tables, write_raw
 
     base = base or f"{run_folder(spark)}/raw-{uuid.uuid4().hex[:12]}"
-    write_raw(fixture_tables(spark, sf_dir), base)
-    return read_parquet_tables(spark, base)
+    derived, schemas = fixture_tables(spark, sf_dir), raw_schemas()
+
+    def load(name: str) -> DataFrame:
+        derived.table(name).write.mode("overwrite").parquet(f"{base}/{name}")
+        return spark.read.schema(schemas[name]).parquet(f"{base}/{name}")
+
+    return RawTables(loader=load)

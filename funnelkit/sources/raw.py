@@ -72,6 +72,9 @@ class RawTables:
     def daily_channel_spend(self) -> DataFrame:
         return self._get("daily_channel_spend")
 
+    def table(self, name: str) -> DataFrame:
+        return self._get(name)
+
     def as_dict(self) -> dict[str, DataFrame]:
         return {name: self._get(name) for name in TABLES}
 
